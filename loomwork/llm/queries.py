@@ -7,15 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm.packing import pack
 from loomwork.llm import quality_rules as quality
+from loomwork.llm.decontamination import contamination
+from loomwork.llm.packing import pack
 from loomwork.llm.token_counts import token_counts
+from loomwork.llm.toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
@@ -28,10 +38,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir), host="source")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), threshold=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {"op6_quality_rules": quality.ORACLE}
