@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.llm import line_dedup, secrets
 from loomwork.llm import quality_rules as quality
 from loomwork.llm.decontamination import contamination
 from loomwork.llm.packing import pack
@@ -30,10 +31,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir), host="source")
 
@@ -45,9 +54,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_secrets": op3_secrets,
     "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op6_quality_rules": quality.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_secrets": secrets.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
+    "op6_quality_rules": quality.ORACLE,
+}
