@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,42 +26,66 @@ from loomwork.llm.token_counts import load_tokenizer
 from loomwork.plans.storage import materialize
 
 END_OF_DOCUMENT = 1
-#: Words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
-#: Characters of text that are split at once.
-CHUNK = 4_000_000
+#: Blank-separated strings, and words in them, that a worker remembers; it starts anew beyond that.
+REMEMBERED_STRINGS, REMEMBERED_WORDS = 600_000, 800_000
 #: Separators to str.split, but not to the tokenizer.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
+#: Composed letters that the tokenizer's normalizer only lower-cases.
+_PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds:
-    """Little-endian 32-bit ids of texts, each distinct blank-separated word encoded once.
+class _Words(dict):
+    """Lower-case strings and their ids, encoded when first seen."""
 
-    Right for tokenizers that drop white space before they split.
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.encode, self.split, self.merge = tokenizer.encode, tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+
+    def __missing__(self, string: str) -> bytes:
+        value = self[string] = array("I", self.encode(string, add_special_tokens=False).ids).tobytes()
+        return value
+
+    def plain(self, word: str) -> bytes:
+        """The ids of lower-case composed letters, of which normalization and splitting make one piece."""
+        value = self.get(word)
+        if value is None:
+            [(piece, _)] = [(word, None)] if word.isascii() else self.split(word)
+            value = self[word] = array("I", [t.id for t in self.merge(piece)]).tobytes()
+        return value
+
+
+class WordIds(dict):
+    """Little-endian 32-bit ids of blank-separated strings, right for tokenizers that drop white space.
+
+    ``Word,`` is the word and the mark; words of plain letters are encoded once
+    whatever their case and mark, anything else is encoded as it stands.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-
-    def learn(self, words: set[str]) -> None:
-        new = list(words - self.known.keys())
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [None if _NOT_SPACE.search(t) else t.split() for t in texts]
-        self.learn(set().union(*(w for w in split if w)))
-        get = self.known.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(get, words))
-            for t, words in zip(texts, split)
-        ]
+        super().__init__()
+        self.tokenizer, self.words = tokenizer, _Words(tokenizer)
+
+    def __missing__(self, string: str) -> bytes:
+        word, mark = (string[:-1], string[-1]) if string[-1] in ".,;:!?" else (string, "")
+        if _PLAIN_WORD.fullmatch(word):
+            value = self.words.plain(word.lower())
+            if mark:
+                value += self.words[mark]
+        else:
+            value = self.words[string]
+        self[string] = value
+        return value
+
+    def of(self, text: str) -> bytes:
+        if len(self) > REMEMBERED_STRINGS:
+            self.clear()
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words.clear()
+        if _NOT_SPACE.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -68,30 +93,21 @@ _WORDS: dict[str, WordIds] = {}
 
 def _cut(tokenizer_path: str, capacity: int):
     end, most = np.array([END_OF_DOCUMENT], "<u4").tobytes(), 4 * capacity
-
-    def pieces(ids: list, texts: list[str]) -> pa.RecordBatch:
-        words = _WORDS.setdefault(tokenizer_path, WordIds(load_tokenizer(tokenizer_path)))
-        rows = []
-        for doc_id, data in zip(ids, words.of(texts)):
-            data += end
-            for k, at in enumerate(range(0, len(data), most)):
-                part = data[at : at + most]
-                rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-        columns = list(zip(*rows)) or [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tokenizer_path not in _WORDS:
+            _WORDS[tokenizer_path] = WordIds(load_tokenizer(tokenizer_path))
+        words = _WORDS[tokenizer_path]
         for batch in batches:
-            ids, texts, size = [], [], 0
+            rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                ids.append(doc_id), texts.append(text)
-                size += len(text)
-                if size > CHUNK:
-                    yield pieces(ids, texts)
-                    ids, texts, size = [], [], 0
-            yield pieces(ids, texts)
+                data = words.of(text.as_py() or "") + end
+                for k, at in enumerate(range(0, len(data), most)):
+                    part = data[at : at + most]
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

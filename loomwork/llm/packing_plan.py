@@ -130,8 +130,17 @@ def _dearest(sizes: np.ndarray, price: np.ndarray, capacity: int, deepest: int)
     return column
 
 
-def make_plan(counts: np.ndarray, capacity: int, large: float = 1 / 16, groups: int = 32) -> Plan:
-    """``counts[l]`` documents of length l, 0 < l <= capacity, into sequences of ``capacity``."""
+def make_plan(counts: np.ndarray, capacity: int, limits: tuple[float, ...] = (1 / 4, 1 / 3, 1 / 2), groups: int = 32) -> Plan:
+    """``counts[l]`` documents of length l, 0 < l <= capacity, into sequences of ``capacity``.
+
+    The scheme needs a limit, as a share of the capacity, above which a length
+    is large.  A plan takes milliseconds, so each of ``limits`` is tried and
+    the plan of fewest sequences returned.
+    """
+    return min((_plan(counts, capacity, large, groups) for large in limits), key=lambda plan: plan.sequences)
+
+
+def _plan(counts: np.ndarray, capacity: int, large: float, groups: int) -> Plan:
     build = _Builder(counts, capacity)
     if build.left[capacity]:
         n = int(build.left[capacity])
