@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwork.llm import line_dedup, secrets
 from loomwork.llm import quality_rules as quality
 from loomwork.llm.decontamination import contamination
+from loomwork.llm.jaccard_join import jaccard_components
 from loomwork.llm.packing import pack
+from loomwork.llm.repeats import remove_repeats
 from loomwork.llm.token_counts import token_counts
 from loomwork.llm.toxicity import toxicity
 
@@ -47,6 +49,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir), host="source")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir), percent=80)
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir), length=200).drop("text")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), threshold=0.8)
 
@@ -58,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_repeats": op8_repeats,
     "op10_decontamination": op10_decontamination,
 }
 
