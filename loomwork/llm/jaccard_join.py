@@ -113,7 +113,7 @@ def _prefixes(percent: int, frequent):
         words, known = WordHashes(), frequent.value
         for batch in batches:
             sizes, classes, light, heavy = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 own = _set(words, text.as_py() or "")
                 often = np.isin(own, known)
                 p = needed(len(own), percent) if len(own) else 0
@@ -122,8 +122,8 @@ def _prefixes(percent: int, frequent):
                 light.append(first.astype(np.int64)), heavy.append(own[often][: p - len(first)].astype(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(light, longs), pa.array(heavy, longs)],
-                ["doc_id", "n_shingles", "cid", "light", "heavy"],
+                [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(light, longs), pa.array(heavy, longs)],
+                ["doc_id", "k1", "k2", "n_shingles", "cid", "light", "heavy"],
             )
 
     return run
@@ -305,6 +305,11 @@ def family_links(heavy: DataFrame, roots: DataFrame, sets_of, percent: int) -> D
     return materialize(left.groupBy("group", "share").cogroup(right.groupBy("group", "share")).applyInArrow(_opened(percent), "u long, v long"), "links")
 
 
+def _keys() -> list:
+    """Two hashes that stand for a row: its id and text."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2")]
+
+
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
@@ -314,9 +319,26 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     columns are ignored; no rows give no rows.  A class is named by 64 bits of
     hash: among n distinct sets two share a name with probability n^2 / 2^65.
     """
+    return _components(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any other columns) without near copies of others.
+
+    The row of each component's smallest doc_id stays, one of them where that
+    id repeats; rows without shingles and components without any id stay.
+    """
+    keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64("text", F.lit(7), "doc_id")})
+    found = materialize(_components(docs, percent).where("component_id is not null and n_shingles > 0"), "components")
+    keepers = found.where("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+    gone = found.select("k1", "k2").distinct().join(keepers, ["k1", "k2"], "left_anti").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    return keyed.join(gone, ["_k1", "_k2"], "left_anti").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(slim.select("text"), percent))
-    rows = materialize(slim.mapInArrow(_prefixes(percent, frequent), "doc_id long, n_shingles long, cid long, light array<long>, heavy array<long>"), "prefixes")
+    rows = materialize(slim.select("doc_id", *_keys(), "text").mapInArrow(_prefixes(percent, frequent), "doc_id long, k1 long, k2 long, n_shingles long, cid long, light array<long>, heavy array<long>"), "prefixes")
     classes = materialize(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "classes")
     light = rows.select(F.explode("light").alias("token"), "cid").repartition("token").sortWithinPartitions("token", "cid")
     light = materialize(light.mapInArrow(_groups, "token long, cid long, leader long, size long"), "light")
@@ -343,4 +365,4 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     component = named.join(names, "root").select("cid", "component_id")
-    return rows.join(component, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(component, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k1", "k2")

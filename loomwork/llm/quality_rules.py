@@ -106,23 +106,23 @@ def host_verdicts(judged: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return hosts.withColumns({"rate": rate, "verdict": verdict})
 
 
-def quality_rules(docs: DataFrame, host: Column | str = "source", limits: Limits = Limits()) -> DataFrame:
+def quality_rules(docs: DataFrame, host: Column | str = "source", limits: Limits = Limits(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Measures and verdict of every row of ``docs`` (doc_id, text, a host column).
 
     kept is false for a base failure, for a blocked host, for any rule failed
     at the limits for all hosts, and on a watched host at its tighter limits.  Null text is empty and fails; a null
-    host is a host of its own; equal rows are judged one by one; other columns
-    are ignored; no rows give no rows.
+    host is a host of its own; equal rows are judged one by one; the columns
+    ``keep`` come along, others are ignored; no rows give no rows.
     """
     host = F.col(host) if isinstance(host, str) else host
     # Not the given names: the table may have columns of these names itself.
-    slim = docs.select(F.col("doc_id").alias("doc_id"), host.cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    judged = materialize(_judged(measures(slim, ["doc_id", "host"]), limits), "quality")
+    slim = docs.select(F.col("doc_id").alias("doc_id"), host.cast("string").alias("host"), F.col("text").cast("string").alias("text"), *keep)
+    judged = materialize(_judged(measures(slim, ["doc_id", "host", *keep]), limits), "quality")
     hosts = host_verdicts(judged, limits).select(F.col("host").alias("_host"), "verdict")
     joined = judged.join(hosts, F.col("host").eqNullSafe(F.col("_host")), "left")
     spared = (F.col("hard_failed") == 0) & ((F.col("verdict") != "watched") | (F.col("soft_failed") == 0))
     kept = ~F.col("base_failed") & (F.col("verdict") != "blocked") & spared
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "hard_failed", "soft_failed", F.col("verdict").alias("host_verdict"))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "hard_failed", "soft_failed", F.col("verdict").alias("host_verdict"), *keep)
 
 
 ORACLE = r"""

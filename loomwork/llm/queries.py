@@ -11,6 +11,7 @@ from loomwork.llm import line_dedup, secrets
 from loomwork.llm import quality_rules as quality
 from loomwork.llm.decontamination import contamination
 from loomwork.llm.jaccard_join import jaccard_components
+from loomwork.llm.licenses import license_scan
 from loomwork.llm.packing import pack
 from loomwork.llm.repeats import remove_repeats
 from loomwork.llm.token_counts import token_counts
@@ -57,6 +58,10 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), length=200).drop("text")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_documents(spark, sf_dir))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), threshold=0.8)
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_repeats": op8_repeats,
+    "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
 }
 
