@@ -45,27 +45,27 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
 
 
 class HammingIndex:
-    """Finds every stored fingerprint within ``radius`` of a query by blocks of bits.
+    """Finds every stored fingerprint of equal label within ``radius`` of a query by blocks of bits.
 
     Two fingerprints that differ in at most ``radius`` bits agree on one of
     ``radius + 1`` blocks, so looking each block up misses none.
     """
 
-    def __init__(self, prints: np.ndarray, radius: int):
+    def __init__(self, prints: np.ndarray, labels: np.ndarray, radius: int):
         self.prints, self.radius = prints, radius
         cuts = np.linspace(0, BITS, radius + 2).round().astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(cuts, cuts[1:]) if b > a]
+        self.blocks = [(np.uint64(a), np.uint64((1 << int(min(b - a, 32))) - 1)) for a, b in zip(cuts, cuts[1:]) if b > a]
         self.tables = []
         for shift, mask in self.blocks:
-            keys = (prints >> shift) & mask
+            keys = (prints >> shift) & mask | labels.astype(np.uint64) << np.uint64(32)
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], order))
 
-    def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, stored) within the radius."""
-        found = []
+    def search(self, queries: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, stored) of equal label within the radius."""
+        found, labels = [], labels.astype(np.uint64) << np.uint64(32)
         for (shift, mask), (keys, order) in zip(self.blocks, self.tables):
-            asked = (queries >> shift) & mask
+            asked = (queries >> shift) & mask | labels
             a, b = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
             n = b - a
             at = np.repeat(np.arange(len(queries)), n)
@@ -94,13 +94,8 @@ class Benchmark:
         self.weights = 1 / (1 + np.log([counts[h] for h in self.known.tolist()]))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.known >> np.uint64(44)] = True
-        by_length: dict[int, list[int]] = {}
-        for k, n in enumerate(self.lengths):
-            by_length.setdefault(n, []).append(k)
-        self.classes = {}
-        for n, members in by_length.items():
-            prints = np.concatenate([fingerprint((signs(mix(self.sets[k])) * self.weigh(self.sets[k])[:, None]).sum(axis=0, keepdims=True)) for k in members])
-            self.classes[n] = (np.array(members), HammingIndex(prints, radius))
+        prints = [fingerprint((signs(mix(own)) * self.weigh(own)[:, None]).sum(axis=0, keepdims=True)) for own in self.sets]
+        self.index = HammingIndex(np.concatenate(prints) if prints else np.zeros(0, np.uint64), np.array(self.lengths, np.int64), radius)
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, shingles), max(0, len(self.known) - 1))
@@ -109,7 +104,8 @@ class Benchmark:
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         maybe = self.filter[shingles >> np.uint64(44)]
         if maybe.any():
-            maybe[maybe] = np.isin(shingles[maybe], self.known)
+            asked = shingles[maybe]
+            maybe[maybe] = self.known[np.minimum(np.searchsorted(self.known, asked), len(self.known) - 1)] == asked
         return maybe
 
     def search(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
@@ -117,13 +113,11 @@ class Benchmark:
         best: dict[int, tuple[float, int, int]] = {}
         if not len(self.ids):
             return best
-        for short in (True, False):  # items below five words have shingles of their own size
-            if not short:
-                self._search(words, shingle_hashes(words), [n for n in self.classes if n >= WORDS], best)
-            else:
-                for n in [n for n in self.classes if n < WORDS]:
-                    if len(words) >= n:
-                        self._search(words, shingle_hashes(words, n), [n], best)
+        self._search(words, shingle_hashes(words), sorted({n for n in self.lengths if n >= WORDS}), best)
+        for n in sorted({n for n in self.lengths if n < WORDS <= len(words)}):  # their shingles have their own size
+            self._search(words, shingle_hashes(words, n), [n], best)
+        if len(words) < WORDS:
+            self._search(words, shingle_hashes(words), [n for n in {*self.lengths} if n == len(words)], best)
         return best
 
     def _search(self, words: np.ndarray, shingles: np.ndarray, lengths: list[int], best: dict) -> None:
@@ -134,42 +128,35 @@ class Benchmark:
             return
         before = np.concatenate([[0], np.cumsum(hit)])
         weights = self.weigh(shingles)
-        mass = np.concatenate([[0.0], np.cumsum(np.where(hit, weights, 0.0))]), np.concatenate([[0.0], np.cumsum(weights)])
+        shared, mass = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(hit, weights, 0.0), weights))
+        repeats = len(np.unique(shingles)) < len(shingles)
+        first, spans, sizes = [], [], []
         for n in lengths:
-            span = max(1, min(n, len(words)) - WORDS + 1)
-            if span > len(shingles):
-                continue
+            span = min(max(1, n - WORDS + 1), len(shingles))
             starts = np.nonzero(before[span:] > before[:-span])[0]
-            # Shared weight is at most that of the hits and the union weighs at least the window's distinct shingles;
-            # repeats inside a window only lower the latter, so they are allowed for.
-            share = mass[0][starts + span] - mass[0][starts]
-            starts = starts[share + 1e-9 >= self.threshold * self._distinct(shingles, weights, mass[1], starts, span)]
-            for k in range(0, len(starts), 2048):
-                self._verify(shingles, weights, starts[k : k + 2048], span, n, best)
-
-    @staticmethod
-    def _distinct(shingles, weights, mass, starts, span):
-        """Least weight that the distinct shingles of each window can have."""
-        if len(np.unique(shingles)) == len(shingles):
-            return mass[starts + span] - mass[starts]
-        return np.full(len(starts), weights.min())
-
-    def _verify(self, shingles, weights, starts, span, n, best) -> None:
-        if not len(starts):
-            return
-        members, index = self.classes[n]
-        first, last = int(starts[0]), int(starts[-1]) + span
-        at = starts[:, None] + np.arange(span)
-        low = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs(mix(shingles[first:last])) * weights[first:last, None], axis=0)])
-        prints = fingerprint(low[starts - first + span] - low[starts - first])
-        query, stored = index.search(prints)
-        for q, k in zip(query.tolist(), members[stored].tolist()):
-            window = np.unique(shingles[at[q]])
+            # What a window shares with an item is at most the weight of its hits; their union weighs at least its
+            # distinct shingles, of which a text with repeats may have a single one.
+            least = weights.min() if repeats else mass[starts + span] - mass[starts]
+            starts = starts[shared[starts + span] - shared[starts] + 1e-9 >= self.threshold * least]
+            first.append(starts), spans.append(np.full(len(starts), span)), sizes.append(np.full(len(starts), n))
+        first, spans, sizes = np.concatenate(first), np.concatenate(spans), np.concatenate(sizes)
+        for k in range(0, len(first), 4096):
+            self._verify(shingles, weights, first[k : k + 4096], spans[k : k + 4096], sizes[k : k + 4096], best)
+
+    def _verify(self, shingles, weights, first, spans, sizes, best) -> None:
+        low, high = int(first.min()), int((first + spans).max())
+        sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs(mix(shingles[low:high])) * weights[low:high, None], axis=0)])
+        prints = fingerprint(sums[first - low + spans] - sums[first - low])
+        query, stored = self.index.search(prints, sizes)
+        for q, k in zip(query.tolist(), stored.tolist()):
+            window = np.unique(shingles[first[q] : first[q] + spans[q]])
             both = np.intersect1d(window, self.sets[k], assume_unique=True)
-            shared = self.weigh(both).sum()
-            similarity = shared / (self.weigh(window).sum() + self.weigh(self.sets[k]).sum() - shared)
-            if similarity + 1e-9 >= self.threshold and similarity > best.get(k, (0.0,))[0] + 1e-9:
-                best[k] = (float(similarity), int(starts[q]), span + WORDS - 1 if n >= WORDS else n)
+            weight = self.weigh(both).sum()
+            similarity = weight / (self.weigh(window).sum() + self.weigh(self.sets[k]).sum() - weight)
+            start = int(first[q])
+            # More similar, or as similar and earlier.
+            if similarity + 1e-9 >= self.threshold and (similarity, -start) > (best.get(k, (0.0, 0))[0] + 1e-9, -best.get(k, (0.0, 1 << 60))[1]):
+                best[k] = (float(similarity), start, int(spans[q]) + WORDS - 1 if sizes[q] >= WORDS else int(sizes[q]))
 
 
 def _search(known):

@@ -87,8 +87,8 @@ def test_hamming_index_misses_none():
     for k in range(50):
         for bit in rng.choice(BITS, rng.integers(0, 9), replace=False):
             asked[k] ^= np.uint64(1) << np.uint64(bit)
-    at, found = HammingIndex(stored, 6).search(asked)
-    want = {(a, b) for a in range(50) for b in range(200) if int(asked[a] ^ stored[b]).bit_count() <= 6}
+    at, found = HammingIndex(stored, np.arange(200) % 2, 6).search(asked, np.arange(50) % 2)
+    want = {(a, b) for a in range(50) for b in range(200) if a % 2 == b % 2 and int(asked[a] ^ stored[b]).bit_count() <= 6}
     assert set(zip(at.tolist(), found.tolist())) == want
 
 
