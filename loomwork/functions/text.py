@@ -48,7 +48,7 @@ def meta_pairs(comment: Column) -> Column:
 def markdown_section(text: Column, heading: str) -> Column:
     """Body of a ``## heading`` up to the next heading of that level; null if it is absent."""
     body = F.regexp_extract(text, rf"(?s)(?:^|\n)## {heading}[ \t]*\n(.*?)(?=\n## |\z)", 1)
-    return F.nullif(F.trim(body), F.lit(""))
+    return F.nullif(F.trim(body, F.lit(" \t\r\n")), F.lit(""))
 
 
 def open_questions(text: Column) -> Column:

@@ -13,7 +13,7 @@ from loomwork.functions.parsing import classify
 
 def read_whole(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, name, text: one row per file."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
