@@ -31,7 +31,8 @@ _NO_ID = (1 << 63) - 1
 
 def masked_lines(text: Column) -> Column:
     """Trimmed lines, tokens with a digit masked; tokens are parted by single spaces."""
-    masked = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", MASK)
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", MASK)).otherwise(text)
     return F.transform(F.split(masked, "\n"), F.trim)
 
 
@@ -39,9 +40,10 @@ def n_tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def leaf(line: Column) -> Column:
-    """Hash of the token count and the leading tokens."""
-    return F.xxhash64(n_tokens(line), F.substring_index(line, " ", LEADING))
+def leaf(line: Column, min_tokens: int) -> Column:
+    """Hash of the token count and the leading tokens; null for lines of too few tokens."""
+    n = n_tokens(line)
+    return F.when(n >= min_tokens, F.xxhash64(n, F.substring_index(line, " ", LEADING)))
 
 
 def _key() -> list[Column]:
@@ -61,31 +63,44 @@ def _bitmap(leaves: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, min_docs: int, min_tokens: int, min_constant: float) -> tuple[DataFrame, DataFrame]:
     """(line, keeper) of the lines to drop outside document ``keeper``, and the bitmap of their leaves."""
-    # Copies of one line within a document count once.
-    lines = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.array_distinct(masked_lines(F.col("text"))).alias("lines"))
-    usable = lambda line: n_tokens(line) >= min_tokens
-    leaves = lines.select(F.explode(F.array_distinct(F.transform(F.filter("lines", usable), leaf))).alias("leaf"))
-    recurring = leaves.groupBy("leaf").count().where(F.col("count") >= min_docs)
+    lines = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), masked_lines(F.col("text")).alias("lines"))
+    leaves = lines.select(F.explode(F.array_distinct(_leaves(min_tokens))).alias("leaf"))
+    recurring = leaves.where("leaf is not null").groupBy("leaf").count().where(F.col("count") >= min_docs)
     bitmap = materialize(_bitmap(recurring.select("leaf")), "leaves")
-    candidates = lines.select("doc", F.explode("lines").alias("line")).where(usable(F.col("line")) & _in_bitmap(leaf(F.col("line")), bitmap))
+    # Copies of one line within a document count once.
+    candidates = _maybe_recurring(lines, min_tokens, bitmap).select("doc", "k1", "k2", "line").distinct()
     counted = candidates.groupBy("line").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"))
-    counted = materialize(counted.withColumn("leaf", leaf(F.col("line"))), "lines")
-    tokens = counted.select("leaf", "line", "n_docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("support")).where(F.col("support") >= min_docs).drop("support")
-    marked = tokens.join(constant.withColumn("constant", F.lit(1)), ["leaf", "pos", "token"], "left")
-    word = F.struct("pos", F.when((F.col("constant") == 1) & (F.col("token") != MASK), F.col("token")).otherwise(MASK).alias("token"))
-    templates = marked.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(word)).alias("words"), F.count_if((F.col("constant") == 1) & (F.col("token") != MASK)).alias("kept"))
+    counted = counted.withColumn("leaf", leaf(F.col("line"), min_tokens))
+    ids = {"id": F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))}
+    counted = materialize(counted.withColumns(ids), "lines")
+    # A line that recurs as it is has constant tokens only: it is its own template.
+    tokens = counted.select("leaf", "id", "n_docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("support")).where((F.col("support") >= min_docs) & (F.col("token") != MASK))
+    rare = tokens.where(F.col("n_docs") < min_docs).drop("n_docs")
+    marked = rare.join(constant.select("leaf", "pos", "token", F.lit(True).alias("constant")), ["leaf", "pos", "token"], "left")
+    word = F.struct("pos", F.when(F.col("constant"), F.col("token")).otherwise(MASK).alias("token"))
+    words = marked.groupBy("id").agg(F.sort_array(F.collect_list(word)).alias("words"), F.count_if("constant").alias("kept"))
     enough = (F.col("kept") >= F.least(F.lit(min_tokens), F.size("words"))) & (F.col("kept") >= min_constant * F.size("words"))
-    templates = templates.select("line", F.when(enough, F.array_join(F.transform("words", lambda w: w["token"]), " ")).otherwise(F.col("line")).alias("template"))
-    joined = templates.join(counted.select("line", "n_docs", "first"), "line")
+    general = words.where(enough).select("id", F.array_join(F.transform("words", lambda w: w["token"]), " ").alias("general"))
+    joined = counted.join(general, "id", "left").select("line", "n_docs", "first", F.coalesce("general", "line").alias("template"))
     known = joined.groupBy("template").agg(F.sum("n_docs").alias("support"), F.min("first").alias("keeper")).where(F.col("support") >= min_docs)
     return joined.select("line", "template").join(known.select("template", "keeper"), "template").select("line", "keeper"), bitmap
 
 
+def _leaves(min_tokens: int) -> Column:
+    return F.transform("lines", lambda line: leaf(line, min_tokens))
+
+
+def _maybe_recurring(lines: DataFrame, min_tokens: int, bitmap: DataFrame) -> DataFrame:
+    """doc, k1, k2, pos, line of the lines in leaves that may recur; the others' texts are never copied."""
+    numbered = lines.select("doc", "k1", "k2", "lines", F.posexplode(_leaves(min_tokens)).alias("pos", "leaf"))
+    return numbered.where(_in_bitmap(F.col("leaf"), bitmap)).select("doc", "k1", "k2", "pos", F.get("lines", F.col("pos")).alias("line"))
+
+
 def _in_bitmap(leaf_hash: Column, bitmap: DataFrame) -> Column:
     bit = F.pmod(leaf_hash, F.lit(BITMAP))
-    word = F.get(bitmap.select("bitmap").scalar(), F.floor(bit / 64).cast("int"))
-    return F.getbit(word, (bit % 64).cast("int")) == 1
+    word = F.get(bitmap.select("bitmap").scalar(), F.shiftright(bit, 6).cast("int"))
+    return F.coalesce(F.getbit(word, (bit % 64).cast("int")) == 1, F.lit(False))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_constant: float = 0.6) -> DataFrame:
@@ -93,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_con
 
     text has the remaining lines as they were; n_lines and n_dropped are added
     (replacing columns of these names).  A template recurs when it is in at
-    least ``min_docs`` rows; lines of fewer than ``min_tokens`` tokens and
+    least ``min_docs`` rows (rows of equal id and text count once); lines of fewer than ``min_tokens`` tokens and
     lines without a template of at least ``min_constant`` constant tokens are
     kept unless they recur as they are.  The row of the smallest doc_id keeps
     its copy (a null id counts as the largest; rows of one id keep theirs
@@ -103,8 +118,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_con
     slim = docs.select("doc_id", "text")
     dropped, bitmap = recurring_lines(slim, min_docs, min_tokens, min_constant)
     dropped = materialize(dropped, "dropped")
-    lines = slim.select(*_key(), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), F.posexplode(masked_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.where((n_tokens(F.col("line")) >= min_tokens) & _in_bitmap(leaf(F.col("line")), bitmap))
+    lines = slim.select(*_key(), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), masked_lines(F.col("text")).alias("lines"))
+    lines = _maybe_recurring(lines, min_tokens, bitmap)
     gone = lines.join(dropped, "line").where(F.col("doc") != F.col("keeper")).groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone"))
     own = docs.select("*", F.struct(*_key()).alias("_key"))
     joined = own.join(gone.select(F.struct("k1", "k2").alias("_other"), "_gone"), F.col("_key") == F.col("_other"), "left")
@@ -117,10 +132,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_con
 
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(doc_id, 9223372036854775807) AS doc FROM documents),
-l AS (SELECT r, doc, i AS pos, trim(array_to_string(list_transform(string_split(ls[i], ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' '), ' ') AS line
-      FROM (SELECT r, doc, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, doc, string_split(coalesce(text, ''), chr(10)) AS ls FROM d))),
+l AS (SELECT r, doc, text, i AS pos, trim(array_to_string(list_transform(string_split(ls[i], ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' '), ' ') AS line
+      FROM (SELECT r, doc, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, doc, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM d))),
 t AS (SELECT *, string_split(line, ' ') AS ws FROM l WHERE len(string_split(line, ' ')) >= 3),
-n AS (SELECT line, any_value(ws) AS ws, count(DISTINCT r) AS n_docs, min(doc) AS first FROM t GROUP BY line),
+n AS (SELECT line, any_value(ws) AS ws, count(DISTINCT (doc, text)) AS n_docs, min(doc) AS first FROM t GROUP BY line),
 e AS (SELECT line, n_docs, len(ws) AS n, list_slice(ws, 1, 3) AS head, unnest(range(1, len(ws) + 1)) AS pos, ws FROM n),
 c AS (SELECT n, head, pos, ws[pos] AS token FROM e GROUP BY ALL HAVING sum(n_docs) >= 5),
 m AS (SELECT e.line, e.n, e.pos, CASE WHEN c.token IS NOT NULL AND c.token <> '<*>' THEN c.token ELSE '<*>' END AS token
