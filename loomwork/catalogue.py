@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import parsing, text
 from loomwork.operators import graph, search, tables
-from loomwork.sources.logs import page_links
+from loomwork.sources.logs import page_links, referenced
 from loomwork.standin import Tables
 from loomwork.streaming import events as stream
 
@@ -511,3 +511,123 @@ def window_counts(t):
 def user_sessions(t):
     found = stream.sessions(t.events)
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+
+
+# Maintenance: proposals, migrations, freshness, evidence
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus = 'P') AS pending, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(*) FILTER (WHERE o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F') AS urgent FROM orders")
+def backlog_summary(t):
+    status, urgent = F.col("o_orderstatus"), F.col("o_orderpriority") == "1-URGENT"
+    return t.orders.agg(F.count_if(status == "O").alias("open"), F.count_if(status == "P").alias("pending"), F.count_if(status == "F").alias("finished"), F.count_if(urgent & (status != "F")).alias("urgent"))
+
+
+@query("SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
+def bounded_history(t):
+    turn = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return t.events.withColumn("turn", turn).where("turn <= 3").select("user_id", "event_id", "ts")
+
+
+@query("SELECT o_orderkey, pinned FROM (SELECT o_orderkey, o_orderpriority = '1-URGENT' AND o_orderkey % 50 = 0 AS pinned, o_orderdate FROM orders WHERE o_orderstatus = 'P') ORDER BY pinned DESC, CASE WHEN pinned THEN o_orderkey END, o_orderdate DESC, o_orderkey LIMIT 24")
+def pinned_then_recent(t):
+    pinned = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 50 == 0)
+    rows = t.orders.where("o_orderstatus = 'P'").withColumn("pinned", pinned)
+    return rows.orderBy(F.desc("pinned"), F.when(F.col("pinned"), F.col("o_orderkey")), F.desc("o_orderdate"), "o_orderkey").limit(24).select("o_orderkey", "pinned")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS v FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey AS u, l_partkey AS v FROM lineitem WHERE l_linestatus = 'F')
+    SELECT coalesce(a.u, b.u) AS u, coalesce(a.v, b.v) AS v, CASE WHEN b.u IS NULL THEN 'stale' ELSE 'new' END AS action FROM a FULL JOIN b ON a.u = b.u AND a.v = b.v WHERE a.u IS NULL OR b.u IS NULL""")
+def relation_sync(t):
+    """Registered relations that are gone and discovered ones that are new."""
+    edge = [F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v")]
+    old, new = (t.lineitem.where(p).select(*edge).distinct() for p in ("l_returnflag = 'R'", "l_linestatus = 'F'"))
+    stale = old.join(new, ["u", "v"], "left_anti").withColumn("action", F.lit("stale"))
+    return stale.unionByName(new.join(old, ["u", "v"], "left_anti").withColumn("action", F.lit("new")))
+
+
+@query("SELECT l_partkey AS id, l_suppkey AS other, CASE WHEN s >= 0.95 THEN 'approved' WHEN s >= 0.9 THEN 'review' ELSE 'rejected' END AS action FROM (SELECT l_partkey, l_suppkey, max(l_quantity) / 50.0 AS s FROM lineitem GROUP BY ALL)")
+def review_proposals(t):
+    score = t.lineitem.groupBy(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("other")).agg((F.max("l_quantity") / 50.0).alias("s"))
+    return score.select("id", "other", F.when(F.col("s") >= 0.95, "approved").when(F.col("s") >= 0.9, "review").otherwise("rejected").alias("action"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS old, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS new FROM part)
+    SELECT DISTINCT l_suppkey AS source_id, coalesce(new, l_partkey) AS target_id FROM lineitem LEFT JOIN m ON l_partkey = old WHERE l_quantity > 45""")
+def id_migration(t):
+    """Edges re-pointed to the first of equal parts, then deduplicated."""
+    mapped = t.part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("new"), F.collect_list("p_partkey").alias("olds")).select("new", F.explode("olds").alias("old"))
+    edges = t.lineitem.where("l_quantity > 45").join(mapped, F.col("l_partkey") == F.col("old"), "left")
+    return edges.select(F.col("l_suppkey").alias("source_id"), F.coalesce("new", "l_partkey").alias("target_id")).distinct()
+
+
+@query(f"WITH {NODES} SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT id FROM nodes WHERE status = 'active')")
+def active_embeddings(t):
+    active = t.nodes().where("status = 'active'").select(F.col("id").alias("vec_id"))
+    return t.embeddings.join(active, "vec_id", "left_semi").select("vec_id", "label")
+
+
+@query("""WITH c AS (SELECT a.vec_id AS query, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.label <> b.label)
+    SELECT query, vec_id FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, vec_id) <= 8""")
+def semantic_neighbours(t):
+    """Nearest vectors that are not linked already; those of one label are."""
+    near = search.nearest(t.embeddings.where("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding")
+    label = t.embeddings.select(F.col("vec_id").alias("query"), F.col("label").alias("own"))
+    other = t.embeddings.select("vec_id", "label")
+    unlinked = near.join(label, "query").join(other, "vec_id").where("own <> label")
+    turn = F.row_number().over(W.partitionBy("query").orderBy(F.round("similarity", 9).desc(), "vec_id"))
+    return unlinked.withColumn("turn", turn).where("turn <= 8").select("query", "vec_id")
+
+
+@query("SELECT conv_id, turn, substr(text, greatest(strpos(lower(text), 'the and') - 30, 1), 67) AS snippet FROM conversations WHERE contains(lower(text), 'the and')")
+def phrase_snippets(t):
+    at = F.locate("the and", F.lower("text"))
+    return t.conversations.where(at > 0).select("conv_id", "turn", F.substring(F.col("text"), F.greatest(at - 30, F.lit(1)), F.lit(67)).alias("snippet"))
+
+
+@query("SELECT doc_id, alias FROM (SELECT doc_id, lower(text) AS x FROM documents), (SELECT unnest(['apache', 'mit license', 'gnu', 'rights reserved']) AS alias) WHERE contains(x, alias)")
+def alias_references(t):
+    """Which of a short list of names each text contains; the list travels in the plan."""
+    names = ("apache", "mit license", "gnu", "rights reserved")
+    hits = F.array_compact(F.array(*[F.when(F.lower("text").contains(n), n) for n in names]))
+    return t.documents.select("doc_id", F.explode(hits).alias("alias"))
+
+
+@query("SELECT doc_id, i AS line, ref FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents), LATERAL (SELECT unnest(regexp_extract_all(l, '[Ll]icen[cs]ed?')) AS ref)")
+def line_references(t):
+    return referenced(t.documents, "doc_id", "text", "[Ll]icen[cs]ed?")
+
+
+@query("SELECT p_partkey, round(0.4 * p_size / 50 + 0.3 * (p_type = 'SMALL')::INT + 0.2 * (p_name ILIKE '%ring%')::INT + 0.1 * least(p_retailprice / 1000, 1), 6) AS score FROM part WHERE p_size >= 10")
+def promotion_score(t):
+    score = 0.4 * F.col("p_size") / 50 + 0.3 * (F.col("p_type") == "SMALL").cast("int") + 0.2 * F.col("p_name").ilike("%ring%").cast("int") + 0.1 * F.least(F.col("p_retailprice") / 1000, F.lit(1.0))
+    return t.part.where("p_size >= 10").select("p_partkey", F.round(score, 6).alias("score"))
+
+
+@query("""WITH i(item, pattern) AS (VALUES ('views', '^view$'), ('errors', 'err'), ('buys', 'purch|buy')) SELECT item, count(e.event_id) AS n FROM i LEFT JOIN events e ON regexp_matches(e.event_type, pattern) GROUP BY item""")
+def checklist_evidence(t):
+    """How many answers meet each item's evidence pattern."""
+    items = {"views": "^view$", "errors": "err", "buys": "purch|buy"}
+    counted = t.events.agg(*[F.count_if(F.col("event_type").rlike(p)).alias(k) for k, p in items.items()])
+    return counted.unpivot([], list(items), "item", "n")
+
+
+@query("SELECT n_name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48 GROUP BY n_name")
+def related_sets(t):
+    joined = t.lineitem.where("l_quantity > 48").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice >= 200000")
+def optional_parameters(t):
+    """A parameterised statement of which one parameter is not given."""
+    t.orders.createOrReplaceTempView("_lw_orders")
+    sql = "SELECT o_orderkey, o_totalprice FROM _lw_orders WHERE (:status IS NULL OR o_orderstatus = :status) AND (:priority IS NULL OR o_orderpriority = :priority) AND o_totalprice >= :least"
+    return t.spark.sql(sql, args={"status": "P", "priority": None, "least": 200000})
+
+
+@query("SELECT lang AS project, round(100.0 * count(quality) / count(*), 4) AS labelled, sum((d.doc_id * 31 + n_chars) % 1000003)::BIGINT AS checksum FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
+def coverage_and_checksum(t):
+    """Share of labelled rows, and a checksum that needs no order and gathers nothing."""
+    joined = t.documents.select("doc_id", "lang", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    checksum = F.sum((F.col("doc_id") * 31 + F.col("n_chars")) % 1000003)
+    return joined.groupBy(F.col("lang").alias("project")).agg(F.round(100.0 * F.count("quality") / F.count("*"), 4).alias("labelled"), checksum.alias("checksum"))
