@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -33,3 +34,11 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A join side of few narrow columns, broadcast if it has at most ``most`` rows; otherwise as it is.
+
+    ``df`` should read a written table, as its rows are counted first.
+    """
+    return F.broadcast(df) if df.count() <= most else df
