@@ -30,12 +30,21 @@ def conflict_score(a: Column, b: Column) -> Column:
     return F.greatest(jaccard(target_tokens(a), target_tokens(b)), F.when(inside, 0.6).otherwise(0.0))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays of equal length, in double."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(a: Column) -> Column:
+    """A vector of length 1 in the same direction; zeros stay zeros."""
+    norm = F.sqrt(dot(a, a))
+    return F.when(norm == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x / norm))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays of equal length, in double; 0 if either has no length."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    product = lambda x, y: total(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")))
-    norm = F.sqrt(product(a, a)) * F.sqrt(product(b, b))
-    return F.when(norm == 0, 0.0).otherwise(product(a, b) / norm)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
 def meta_pairs(comment: Column) -> Column:

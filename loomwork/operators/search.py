@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import cosine, jaccard, target_tokens
+from loomwork.functions.text import dot, jaccard, target_tokens, unit
 
 
 def any_like(columns: Sequence[str], keywords: Sequence[str]) -> Column:
@@ -39,19 +39,17 @@ def cross_table(tables: dict[str, tuple[DataFrame, str, Sequence[str]]], keyword
     return reduce(DataFrame.unionByName, legs)
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-
-
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score of the documents that hold every term: Okapi BM25, idf floored at 1e-6.
+    """key, score of the documents that hold every term (words of a-z and 0-9): Okapi BM25, idf floored at 1e-6.
 
     One pass counts the terms of each document; corpus totals come from the
     same small table, so no postings of other words are ever shuffled.
     """
-    own = docs.select(key, words(F.col(text)).alias("_words"))
-    count = lambda term: F.size(F.filter("_words", lambda w: w == term))
-    counted = own.select(key, F.size("_words").alias("_len"), *[count(t).alias(f"_tf{k}") for k, t in enumerate(terms)])
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    own = docs.select(key, low.alias("_low"))
+    whole = lambda term: rf"(?<![a-z0-9]){term}(?![a-z0-9])"
+    count = lambda term: F.when(F.col("_low").contains(term), F.regexp_count("_low", F.lit(whole(term)))).otherwise(0)
+    counted = own.select(key, F.regexp_count("_low", F.lit("[a-z0-9]+")).alias("_len"), *[count(t).alias(f"_tf{k}") for k, t in enumerate(terms)])
     totals = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))]).first()
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -80,10 +78,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, least
     """
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     n = 1 if n == 1 else 2 * n
+    scaled = vectors.select(key, unit(F.col(vector)).alias("_v"))  # once per vector, not once per pair
     legs = []
     for block in range(n):
-        own = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == block).select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-        met = F.broadcast(own).join(vectors, F.col("query") != F.col(key)).select("query", key, cosine(F.col("_q"), F.col(vector)).alias("similarity"))
+        own = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == block).select(F.col(key).alias("query"), unit(F.col(vector)).alias("_q"))
+        met = F.broadcast(own).join(scaled, F.col("query") != F.col(key)).select("query", key, dot(F.col("_q"), F.col("_v")).alias("similarity"))
         legs.append(met.where(F.col("similarity") >= least))
     found = reduce(DataFrame.unionByName, legs)
     if k:
@@ -117,4 +116,4 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, suppresse
     return found
 
 
-__all__ = ["any_like", "bm25", "cross_table", "fuse", "in_scope", "jaccard", "nearest", "optional", "similar_pairs", "top_k", "words"]
+__all__ = ["any_like", "bm25", "cross_table", "fuse", "in_scope", "jaccard", "nearest", "optional", "similar_pairs", "top_k"]
