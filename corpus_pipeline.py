@@ -13,7 +13,7 @@ from loomwork.llm.jaccard_join import one_of_each
 from loomwork.llm.line_dedup import dedup_lines
 from loomwork.llm.packing import pack
 from loomwork.llm.quality_rules import quality_rules
-from loomwork.plans.storage import materialize
+from loomwork.plans.storage import materialize, small_side
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
     rejected = materialize(quality_rules(keyed, host="source", keep=("_k1", "_k2")).where("not kept").select("_k1", "_k2").distinct(), "rejected")
-    return keyed.join(rejected, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    return keyed.join(small_side(rejected), ["_k1", "_k2"], "left_anti").select(*docs.columns)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     found = contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, threshold=0.8)
     leaked = materialize(found.select(F.col("doc_id").alias("_row")).distinct(), "leaked")
-    return keyed.join(leaked, "_row", "left_anti").select(*docs.columns)
+    return keyed.join(small_side(leaked), "_row", "left_anti").select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

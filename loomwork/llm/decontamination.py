@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.shingles import WORDS, WordHashes, mix, shingle_hashes
+from loomwork.llm.shingles import WORDS, distinct, mix, shingle_hashes, word_hashes
 
 BITS = 64
 #: Two windows at weighted similarity 0.8 differ in about 10 of 64 bits, with a deviation of 3.
@@ -81,12 +81,11 @@ class Benchmark:
     """The items of one block, ready to be searched."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float, radius: int):
-        words = WordHashes()
         self.ids, self.sets, self.lengths = [], [], []
         for item_id, text in items:
-            own = words.of(text or "")
+            own = word_hashes(text or "")
             if len(own):
-                self.ids.append(item_id), self.lengths.append(len(own)), self.sets.append(np.unique(shingle_hashes(own)))
+                self.ids.append(item_id), self.lengths.append(len(own)), self.sets.append(distinct(shingle_hashes(own)))
         self.threshold = threshold
         counts = Counter(h for s in self.sets for h in s.tolist())
         self.known = np.array(sorted(counts), np.uint64)
@@ -129,7 +128,7 @@ class Benchmark:
         before = np.concatenate([[0], np.cumsum(hit)])
         weights = self.weigh(shingles)
         shared, mass = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(hit, weights, 0.0), weights))
-        repeats = len(np.unique(shingles)) < len(shingles)
+        repeats = len(distinct(shingles)) < len(shingles)
         first, spans, sizes = [], [], []
         for n in lengths:
             span = min(max(1, n - WORDS + 1), len(shingles))
@@ -149,7 +148,7 @@ class Benchmark:
         prints = fingerprint(sums[first - low + spans] - sums[first - low])
         query, stored = self.index.search(prints, sizes)
         for q, k in zip(query.tolist(), stored.tolist()):
-            window = np.unique(shingles[first[q] : first[q] + spans[q]])
+            window = distinct(shingles[first[q] : first[q] + spans[q]])
             both = np.intersect1d(window, self.sets[k], assume_unique=True)
             weight = self.weigh(both).sum()
             similarity = weight / (self.weigh(window).sum() + self.weigh(self.sets[k]).sum() - weight)
@@ -161,11 +160,11 @@ class Benchmark:
 
 def _search(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmark, words = known.value, WordHashes()
+        benchmark = known.value
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = benchmark.search(words.of(text.as_py() or ""))
+                found = benchmark.search(word_hashes(text.as_py() or ""))
                 rows += [(doc_id, benchmark.ids[k], *v) for k, v in sorted(found.items())]
             columns = list(zip(*rows)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())

@@ -32,12 +32,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.llm.bitmap import bitmap, has_bit
-from loomwork.llm.shingles import WordHashes, mix, shingle_hashes
+from loomwork.llm.shingles import distinct, mix, shingle_hashes, word_hashes
 from loomwork.operators.components import connected_components
-from loomwork.plans.storage import materialize
+from loomwork.plans.storage import materialize, small_side
 
 #: A shingle in more prefixes than this is frequent, or than the least power of two that leaves at most MOST_FREQUENT.
-FREQUENT = 32
+FREQUENT = 64
 MOST_FREQUENT = 1 << 21
 #: Classes of a matrix group, and the size from which a component has groups of its own.
 GROUP, LARGE = 512, 64
@@ -49,8 +49,8 @@ def needed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _set(words: WordHashes, text: str) -> np.ndarray:
-    return np.unique(shingle_hashes(words.of(text)))
+def _set(text: str) -> np.ndarray:
+    return distinct(shingle_hashes(word_hashes(text)))
 
 
 def class_id(shingles: np.ndarray) -> int:
@@ -59,19 +59,34 @@ def class_id(shingles: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mix(both + np.arange(2, dtype=np.uint64))).astype(np.int64))
 
 
+class Members:
+    """Membership in a sorted array of hashes; most hashes are told apart by their leading bits."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.maybe = known, np.zeros(1 << 22, bool)
+        self.maybe[known >> np.uint64(42)] = True
+
+    def __call__(self, own: np.ndarray) -> np.ndarray:
+        found = self.maybe[own >> np.uint64(42)]
+        if found.any():
+            asked = own[found]
+            found[found] = self.known[np.minimum(np.searchsorted(self.known, asked), len(self.known) - 1)] == asked
+        return found
+
+
 def _tokens(percent: int, frequent):
-    """Shingles to count: plain prefixes; with ``frequent``, all shingles of texts whose prefix has one of these."""
+    """Shingles to count: plain prefixes; with ``frequent``, all shingles of texts with these in a tenth of their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = WordHashes(), frequent.value if frequent else None
+        known = Members(frequent.value) if frequent else None
         for batch in batches:
             found, size = [], 0
             for text in batch.column(0):
-                own = _set(words, text.as_py() or "")
+                own = _set(text.as_py() or "")
                 prefix = own[: needed(len(own), percent)] if len(own) else own
                 if known is None:
                     found.append(prefix)
-                elif np.isin(prefix, known).any():
+                elif 10 * known(prefix).sum() > len(prefix):
                     found.append(own)
                 else:
                     continue
@@ -105,17 +120,17 @@ def frequent_shingles(texts: DataFrame, percent: int, least: int = FREQUENT) ->
         return np.sort(counts.where(scale >= floor).select("token").toArrow()["token"].to_numpy().astype(np.uint64))
 
     first = over(None)
-    return np.union1d(first, over(spark.sparkContext.broadcast(first))) if len(first) else first
+    return np.union1d(first, over(spark.sparkContext.broadcast(first)))
 
 
 def _prefixes(percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = WordHashes(), frequent.value
+        known = Members(frequent.value)
         for batch in batches:
             sizes, classes, light, heavy = [], [], [], []
             for text in batch.column("text"):
-                own = _set(words, text.as_py() or "")
-                often = np.isin(own, known)
+                own = _set(text.as_py() or "")
+                often = known(own)
                 p = needed(len(own), percent) if len(own) else 0
                 first = own[~often][:p]
                 sizes.append(len(own)), classes.append(class_id(own) if len(own) else None)
@@ -130,11 +145,11 @@ def _prefixes(percent: int, frequent):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, cid): token, cid, leader, size of the tokens of two classes or more."""
-    names = ["token", "cid", "leader", "size"]
-    token, cid, times = (np.zeros(0, np.int64) for _ in range(3))
+    """From rows sorted by (token, cid): token, cid, n, leader, size of the tokens of two classes or more."""
+    names = ["token", "cid", "n", "leader", "size"]
+    token, cid, n, times = (np.zeros(0, np.int64) for _ in range(4))
 
-    def finished(token, cid, times) -> pa.RecordBatch:
+    def finished(token, cid, n, times) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.r_[starts, len(token)])
         most = np.repeat(np.maximum.reduceat(times, starts), size) if len(token) else times
@@ -142,40 +157,84 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.flatnonzero(times == most)
         _, first = np.unique(group[top], return_index=True)  # the class of most copies leads; the least of equal ones
         leader, many = np.repeat(cid[top[first]], size) if len(token) else cid, np.repeat(size, size) >= 2
-        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, cid, leader, np.repeat(size, size).astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (token, cid, n, leader, np.repeat(size, size).astype(np.int64))], names)
 
     for batch in batches:
         token = np.r_[token, batch.column("token").to_numpy()]
-        cid, times = np.r_[cid, batch.column("cid").to_numpy()], np.r_[times, np.ones(batch.num_rows, np.int64)]
+        cid, n, times = np.r_[cid, batch.column("cid").to_numpy()], np.r_[n, batch.column("n").to_numpy()], np.r_[times, np.ones(batch.num_rows, np.int64)]
         new = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])])
-        token, cid, times = token[new], cid[new], np.add.reduceat(times, new) if len(new) else times
+        token, cid, n, times = token[new], cid[new], n[new], np.add.reduceat(times, new) if len(new) else times
         cut = np.searchsorted(token, token[-1]) if len(token) else 0
-        yield finished(token[:cut], cid[:cut], times[:cut])
-        token, cid, times = token[cut:], cid[cut:], times[cut:]
-    yield finished(token, cid, times)
+        yield finished(token[:cut], cid[:cut], n[:cut], times[:cut])
+        token, cid, n, times = token[cut:], cid[cut:], n[cut:], times[cut:]
+    yield finished(token, cid, n, times)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (token, cid, leader, root) sorted by token: pairs of different components, leaders aside."""
-    held: list[tuple[int, int, int]] = []
-    last = None
+def shared_needed(n: int, m: int, percent: int) -> int:
+    """Shingles that the prefixes of sets of n and m must share for a link; 0 or less: no claim; sizes apart: never.
 
-    def pairs():
-        seen = set()
-        for k, (a, ra) in enumerate(held):
-            seen.update((min(a, b), max(a, b)) for b, rb in held[:k] if ra != rb)
-        return sorted(seen)
+    Beyond the earlier of the two prefix ends the sets can share what the set
+    of that prefix has left, ``ceil(t n) - 1``.
+    """
+    if 100 * min(n, m) < percent * max(n, m):
+        return n + m
+    overlap = -(-percent * (n + m) // (100 + percent))
+    return overlap - (max(n, m) - needed(max(n, m), percent))
 
-    for batch in batches:
-        found: list[tuple[int, int]] = []
-        for token, cid, leader, root in zip(*(batch.column(c).to_pylist() for c in ("token", "cid", "leader", "root"))):
-            if token != last:
-                found += pairs()
-                held, last = [], token
-            if cid != leader:
-                held.append((cid, root))
-        yield _pairs(found)
-    yield _pairs(pairs())
+
+def _across(percent: int):
+    """From rows (token, cid, n, leader, root, heavy) sorted by token: pairs of different components, leaders aside.
+
+    ``least`` is how often the pair must turn up; pairs that also share
+    frequent shingles of their prefixes need not.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+
+        def pairs():
+            for k, (a, n, ra, ha) in enumerate(held):
+                for b, m, rb, hb in held[:k]:
+                    if ra != rb and (least := shared_needed(n, m, percent)) < n + m:
+                        yield min(a, b), max(a, b), 1 if ha and hb else max(1, least)
+
+        def out(found):
+            columns = list(zip(*found)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v", "least"])
+
+        for batch in batches:
+            found: list[tuple] = []
+            for token, cid, n, leader, root, heavy in zip(*(batch.column(c).to_pylist() for c in ("token", "cid", "n", "leader", "root", "heavy"))):
+                if token != last:
+                    found += pairs()
+                    held, last = [], token
+                if cid != leader:
+                    held.append((cid, n, root, heavy))
+            yield out(found)
+        yield out(list(pairs()))
+
+    return run
+
+
+def promising(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes whose sizes and prefixes allow a link."""
+    ends = materialize(pairs.select(F.col("u").alias("cid")).union(pairs.select("v")).distinct(), "asked")
+    prefixes = rows.join(small_side(ends), "cid", "left_semi").groupBy("cid").agg(F.first(F.struct("n_shingles", F.concat("light", "heavy").alias("prefix"))).alias("p"))
+    prefixes = materialize(prefixes.select("cid", "p.n_shingles", "p.prefix"), "ends")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for u, v, n, m, a, b in zip(*(batch.column(c) for c in ("u", "v", "n", "m", "a", "b"))):
+                least = shared_needed(n.as_py(), m.as_py(), percent)
+                if least < n.as_py() + m.as_py() and len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True)) >= least:
+                    found.append((u.as_py(), v.as_py()))
+            yield _pairs(found)
+
+    sized = lambda end, n, p: prefixes.select(F.col("cid").alias(end), F.col("n_shingles").alias(n), F.col("prefix").alias(p))
+    joined = pairs.join(sized("u", "n", "a"), "u").join(sized("v", "m", "b"), "v")
+    return materialize(joined.mapInArrow(run, "u long, v long"), "promising")
 
 
 def _pairs(found) -> pa.RecordBatch:
@@ -189,12 +248,12 @@ def _place(cid: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
 
 def _wanted(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = WordHashes(), known.value
+        bits = known.value
         for batch in batches:
             ids = [i or 0 for i in batch.column(0).to_pylist()]
             classes, sets, size = [], [], 0
             for doc_id, text in zip(ids, batch.column(1)):
-                own = _set(words, text.as_py() or "")
+                own = _set(text.as_py() or "")
                 if not len(own):
                     continue
                 cid = class_id(own)
@@ -223,7 +282,7 @@ def shingle_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFr
 
     bits = bitmap(wanted.mapInArrow(places, "place long"), _BITS)
     sets = docs.mapInArrow(_wanted(docs.sparkSession.sparkContext.broadcast(bits)), "cid long, tokens binary")
-    return materialize(sets.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    return materialize(sets.join(small_side(wanted.select("cid")), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -257,7 +316,7 @@ def _opened(percent: int):
         found = []
         for q, root, tokens in zip(queries["cid"].to_pylist(), queries["root"].to_pylist(), queries["tokens"]):
             own = np.frombuffer(tokens.as_buffer(), np.uint64)
-            covered = own[np.isin(own, union, assume_unique=True)]
+            covered = own[union[np.minimum(np.searchsorted(union, own), len(union) - 1)] == own]
             if 100 * len(covered) < percent * len(own):  # no member can share more than the union does
                 continue
             a, b = np.searchsorted(every, covered, "left"), np.searchsorted(every, covered, "right")
@@ -274,8 +333,8 @@ def _opened(percent: int):
     return run
 
 
-def family_links(heavy: DataFrame, roots: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links between components of families, through the token-group matrix.
+def family_meetings(heavy: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, queries) of the groups to open, by (group, share): rows of cid and root.
 
     ``heavy``: token, cid rows of frequent prefix shingles.  Large components
     have groups of their own and are not queried by themselves: the smaller
@@ -299,7 +358,11 @@ def family_links(heavy: DataFrame, roots: DataFrame, sets_of, percent: int) -> D
     asked = met.groupBy("group").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / (8 * GROUP)))
     queries = met.join(asked.select("group", "shares"), "group").select("group", "cid", "root", F.pmod(F.xxhash64("cid"), F.col("shares")).alias("share"))
     members = grouped.join(asked.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")), "group").select("group", "cid", "root", "share")
-    sets = sets_of(queries.select("cid").union(members.select("cid")))
+    return materialize(members, "members"), materialize(queries, "queries")
+
+
+def family_links(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between queries and members of the groups that they meet."""
     left = members.join(sets, "cid")
     right = queries.join(sets, "cid").select(*[F.col(c).alias(c) for c in ("group", "share", "cid", "root", "tokens")])  # columns of their own
     return materialize(left.groupBy("group", "share").cogroup(right.groupBy("group", "share")).applyInArrow(_opened(percent), "u long, v long"), "links")
@@ -340,27 +403,27 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(slim.select("text"), percent))
     rows = materialize(slim.select("doc_id", *_keys(), "text").mapInArrow(_prefixes(percent, frequent), "doc_id long, k1 long, k2 long, n_shingles long, cid long, light array<long>, heavy array<long>"), "prefixes")
     classes = materialize(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "classes")
-    light = rows.select(F.explode("light").alias("token"), "cid").repartition("token").sortWithinPartitions("token", "cid")
-    light = materialize(light.mapInArrow(_groups, "token long, cid long, leader long, size long"), "light")
+    light = rows.select(F.explode("light").alias("token"), "cid", F.col("n_shingles").alias("n")).repartition("token").sortWithinPartitions("token", "cid")
+    light = materialize(light.mapInArrow(_groups, "token long, cid long, n long, leader long, size long"), "light")
     heavy = rows.select(F.explode("heavy").alias("token"), "cid").groupBy("token", "cid").agg(F.count("*").alias("copies"))
     heavy = materialize(heavy, "heavy")
-    leaders = heavy.groupBy("token").agg(F.max_by("cid", F.struct("copies", -F.col("cid"))).alias("leader"), F.count("*").alias("size")).where("size > 1")
+    leaders = materialize(heavy.groupBy("token").agg(F.max_by("cid", F.struct("copies", -F.col("cid"))).alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
     stars = light.select("cid", "leader").union(heavy.join(leaders, "token").select("cid", "leader")).where("cid <> leader")
     stars = materialize(stars.select(F.least("cid", "leader").alias("u"), F.greatest("cid", "leader").alias("v")).distinct(), "pairs")
-    sets_of = lambda cids: shingle_sets(slim, classes, cids)
-    links = verified(stars, sets_of(stars.select(F.col("u").alias("cid")).union(stars.select("v"))), percent)
+    ends = lambda pairs: pairs.select(F.col("u").alias("cid")).union(pairs.select("v"))
+    near = promising(stars, rows, percent)
+    links = verified(near, shingle_sets(slim, classes, ends(near)), percent)
     roots = materialize(connected_components(links), "roots")
     rooted = light.where("size > 2").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    across = rooted.repartition("token").sortWithinPartitions("token").mapInArrow(_across, "u long, v long").distinct()
-    across = materialize(across.join(stars, ["u", "v"], "left_anti"), "pairs")
-    found = []
-    if across.take(1):
-        found.append(verified(across, sets_of(across.select(F.col("u").alias("cid")).union(across.select("v"))), percent))
-    if heavy.take(1):
-        found.append(family_links(heavy.select("token", "cid"), roots, sets_of, percent))
-    for more in found:
-        links = links.union(more)
-    if found:
+    rooted = rooted.join(heavy.select("cid", F.lit(True).alias("heavy")).distinct(), "cid", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    across = rooted.repartition("token").sortWithinPartitions("token").mapInArrow(_across(percent), "u long, v long, least long")
+    across = across.groupBy("u", "v").agg(F.count("*").alias("shared"), F.max("least").alias("least")).where("shared >= least")
+    across = promising(materialize(across.select("u", "v").join(stars, ["u", "v"], "left_anti"), "pairs"), rows, percent)
+    members, queries = family_meetings(heavy.select("token", "cid"), roots)
+    cids = ends(across).union(members.select("cid")).union(queries.select("cid"))
+    if cids.take(1):
+        sets = shingle_sets(slim, classes, cids)
+        links = links.union(verified(across, sets, percent)).union(family_links(members, queries, sets, percent))
         roots = connected_components(links)
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -28,27 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.bitmap import bitmap, has_bit
-from loomwork.llm.shingles import mix
+from loomwork.llm.shingles import BASE, mix, powers
 from loomwork.plans.storage import materialize
 
 GRAM = 32
 #: Windows of a text that are handled at once; a cut anchor is settled by comparison.
 SEGMENT = 1 << 20
 _PLACE_BITS = 24
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            step = np.full(size, np.uint64(base))
-            step[0] = 1
-            _POWERS[name] = np.cumprod(step, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
 class Rolling:
@@ -56,7 +42,7 @@ class Rolling:
 
     def __init__(self, data: bytes):
         codes = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-        up, self.down = _powers(len(codes) + 1)
+        up, self.down = powers(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(codes * up[:-1], out=self.sums[1:])
 
@@ -160,7 +146,7 @@ def _compare(length: int):
             own = Rolling(row["bytes"]).windows(length)
             hashes.append(own)
             back.append(far - np.arange(len(own)))
-        values = mix(np.concatenate(hashes) + np.concatenate(back).astype(np.uint64) * np.uint64(_BASE))
+        values = mix(np.concatenate(hashes) + np.concatenate(back).astype(np.uint64) * np.uint64(BASE))
         _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
         twice = counts[inverse] > 1
         out, at = [], 0
@@ -198,6 +184,7 @@ def repeated_stretches(texts: DataFrame, length: int) -> DataFrame:
     spark = texts.sparkSession
     rows = materialize(texts.mapInArrow(_anchor_rows(length), "k1 long, k2 long, gram long, whole long, at long"), "anchors")
     groups = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("n > 1")
+    groups = materialize(groups, "grams")  # a join of two plain shuffles can split a hot gram
     shared = materialize(rows.join(groups.select("gram", (F.col("least") != F.col("most")).alias("differ")), "gram"), "shared")
     differ = shared.where("differ")
     kinds = differ.groupBy("gram", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
