@@ -1,0 +1,76 @@
+"""Lines that recur across documents, without the cuts that the SQL of op5_line_dedup fixes.
+
+The first document of a line keeps its copies.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loomwork.llm.line_dedup import LEADING, MASK, _key, _NO_ID
+from loomwork.plans.storage import materialize
+
+
+def plain_lines(text: Column) -> Column:
+    """Trimmed lines."""
+    text = F.coalesce(text, F.lit(""))
+    return F.transform(F.split(text, "\n"), F.trim)
+
+
+def _tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _masked(line: Column) -> Column:
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", MASK)).otherwise(line)
+
+
+def _leaf(masked: Column, min_tokens: int) -> Column:
+    n = _tokens(masked)
+    return F.when(n >= min_tokens, F.xxhash64(n, F.substring_index(masked, " ", LEADING)))
+
+
+def _two(*of: Column | str) -> list[Column]:
+    return [F.xxhash64(*of), F.xxhash64(F.lit(7), *of)]
+
+
+def _hashed(docs: DataFrame, min_tokens: int, long_tokens: int) -> DataFrame:
+    """doc, k1, k2, pos, long, a, b (the line), leaf, ma, mb (its masked form) of every line that is not empty."""
+    lines = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), F.posexplode(plain_lines(F.col("text"))).alias("pos", "line")).where(_tokens(F.col("line")) >= min_tokens)
+    lines = lines.withColumn("masked", _masked(F.col("line")))
+    a, b = _two("line")
+    ma, mb = _two("masked")
+    long = (_tokens(F.col("line")) >= long_tokens)
+    return lines.select("doc", "k1", "k2", "pos", long.alias("long"), a.alias("a"), b.alias("b"), _leaf(F.col("masked"), min_tokens).alias("leaf"), ma.alias("ma"), mb.alias("mb"))
+
+
+def _exact(lines: DataFrame, min_docs: int, exact_docs: int) -> DataFrame:
+    """a, b, keeper of the lines that recur as they are."""
+    once = lines.groupBy("a", "b", "long", "k1", "k2").agg(F.min("doc").alias("doc"))
+    known = once.groupBy("a", "b", "long").agg(F.count("*").alias("n"), F.min("doc").alias("keeper"))
+    return known.where(F.col("n") >= F.when(F.col("long"), exact_docs).otherwise(min_docs)).select("a", "b", "keeper")
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_constant: float = 0.6, exact_docs: int = 2, long_tokens: int = 10) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) without the lines that recur; n_lines and n_dropped are added.
+
+    A line of ``min_tokens`` tokens that is in ``min_docs`` rows as it is goes, and in
+    ``exact_docs`` rows if it has ``long_tokens`` tokens.  Rows of equal id and text
+    count once; tokens are parted by single spaces; empty lines stay.  The
+    row of the smallest doc_id keeps its copy (a null id counts as the
+    largest).  Null text stays null with no lines; no rows give no rows.
+    """
+    docs = docs.withColumn("text", F.col("text").cast("string")).drop("n_lines", "n_dropped")
+    slim = docs.select("doc_id", "text")
+    lines = materialize(_hashed(slim, min_tokens, long_tokens), "lines")
+    exact = materialize(_exact(lines, min_docs, exact_docs), "exact")
+    gone = lines.join(exact, ["a", "b"]).where("doc <> keeper").select("k1", "k2", "pos")
+    gone = gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone"))
+    own = docs.select("*", F.struct(*_key()).alias("_key"))
+    joined = own.join(gone.select(F.struct("k1", "k2").alias("_other"), "_gone"), F.col("_key") == F.col("_other"), "left")
+    split = F.split("text", "\n")
+    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.array_size("_gone"), F.lit(0))}
+    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *[v.cast("long").alias(k) for k, v in counts.items()])
