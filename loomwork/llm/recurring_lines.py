@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from loomwork.llm.line_dedup import LEADING, MASK, _key, _NO_ID
 from loomwork.plans.storage import materialize
 
+#: Twenty letters of scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = r"(?:[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿][^\n]{0,2}?){20}"
+
 
 def plain_lines(text: Column) -> Column:
-    """Trimmed lines."""
+    """Trimmed lines with single spaces for any white space."""
     text = F.coalesce(text, F.lit(""))
-    return F.transform(F.split(text, "\n"), F.trim)
+    spaced = F.when(text.rlike(r"[\s\x{85}\p{Z}&&[^ \n]]|  "), F.regexp_replace(text, r"[\s\x{85}\p{Z}&&[^\n]]+", " ")).otherwise(text)
+    return F.transform(F.split(spaced, "\n"), F.trim)
 
 
 def _tokens(line: Column) -> Column:
@@ -37,11 +41,11 @@ def _two(*of: Column | str) -> list[Column]:
 
 def _hashed(docs: DataFrame, min_tokens: int, long_tokens: int) -> DataFrame:
     """doc, k1, k2, pos, long, a, b (the line), leaf, ma, mb (its masked form) of every line that is not empty."""
-    lines = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), F.posexplode(plain_lines(F.col("text"))).alias("pos", "line")).where(_tokens(F.col("line")) >= min_tokens)
+    lines = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), F.posexplode(plain_lines(F.col("text"))).alias("pos", "line")).where("line <> ''")
     lines = lines.withColumn("masked", _masked(F.col("line")))
     a, b = _two("line")
     ma, mb = _two("masked")
-    long = (_tokens(F.col("line")) >= long_tokens)
+    long = (_tokens(F.col("line")) >= long_tokens) | F.col("line").rlike(UNSPACED)
     return lines.select("doc", "k1", "k2", "pos", long.alias("long"), a.alias("a"), b.alias("b"), _leaf(F.col("masked"), min_tokens).alias("leaf"), ma.alias("ma"), mb.alias("mb"))
 
 
@@ -55,9 +59,10 @@ def _exact(lines: DataFrame, min_docs: int, exact_docs: int) -> DataFrame:
 def drop_recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_constant: float = 0.6, exact_docs: int = 2, long_tokens: int = 10) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without the lines that recur; n_lines and n_dropped are added.
 
-    A line of ``min_tokens`` tokens that is in ``min_docs`` rows as it is goes, and in
-    ``exact_docs`` rows if it has ``long_tokens`` tokens.  Rows of equal id and text
-    count once; tokens are parted by single spaces; empty lines stay.  The
+    A line of any length that is in ``min_docs`` rows as it is goes, and in
+    ``exact_docs`` rows if it has ``long_tokens`` tokens or twenty letters of a
+    script without spaces.  Rows of equal id and text
+    count once; tokens are parted by any white space; empty lines stay.  The
     row of the smallest doc_id keeps its copy (a null id counts as the
     largest).  Null text stays null with no lines; no rows give no rows.
     """

@@ -25,3 +25,10 @@ def test_long_lines_go_from_two_documents(spark):
     figures = " ".join(str(k * 37) for k in range(12))
     texts = ["\n".join([f"{c} alone {c}" for c in "abcdefgh"[k]] + [p for n, p in passages.items() if k < n] + [figures] * (k < 2) + ["short line twice"] * (k < 2)) for k in range(8)]
     assert dropped(spark, texts) == {passages[2]: [1], passages[3]: [1, 2], passages[4]: [1, 2, 3], figures: [1]}
+
+
+def test_short_lines_and_any_white_space(spark):
+    chinese, tabs = "这是一行没有空格的文字它在几份文件里一再出现并且应当删去", "one\ttwo\tthree\tfour\tfive\tsix\tseven\teight\tnine\tten"
+    texts = ["\n".join([f"only{'abcdefg'[k]}", "", "And ornd.", "Page"] + ["Rare one"] * (k < 4) + [chinese] * (k < 2) + [tabs if k else tabs.replace("\t", "  ")] * (k < 3)) for k in range(6)]
+    got = dropped(spark, texts)
+    assert got == {"And ornd.": [1, 2, 3, 4, 5], "Page": [1, 2, 3, 4, 5], chinese: [1], tabs: [1, 2]}
