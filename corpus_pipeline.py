@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.decontamination import contamination
 from loomwork.llm.jaccard_join import one_of_each
-from loomwork.llm.line_dedup import dedup_lines
 from loomwork.llm.packing import pack
 from loomwork.llm.quality_rules import quality_rules
+from loomwork.llm.recurring_lines import drop_recurring
 from loomwork.plans.storage import materialize, small_side
 
 
@@ -29,7 +29,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines go, documents stay, even those that have no other line."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return drop_recurring(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,24 @@
-"""Lines that recur across documents, without the cuts that the SQL of op5_line_dedup fixes.
+"""Lines and templates that recur across documents, without the cuts that the SQL of op5_line_dedup fixes.
 
-The first document of a line keeps its copies.
+The text is read twice.  First every line becomes a row of hashes: of the line
+as it is (white space made single), of its masked form and of its leaf.
+
+1. A line that recurs as it is goes at ``min_docs`` documents, and a long one
+   at ``exact_docs``, whatever its leaf.
+2. Masked lines of recurring leaves are read again.  A token is constant when
+   at least ``min_docs`` distinct documents have it at its place in the leaf;
+   every line has to pass the test of constant tokens, and its template has to
+   be in ``min_docs`` distinct documents.
+
+The first document of a line or template keeps its copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.line_dedup import LEADING, MASK, _key, _NO_ID
+from loomwork.llm.line_dedup import LEADING, MASK, _bitmap, _in_bitmap, _key, _NO_ID
 from loomwork.plans.storage import materialize
 
 #: Twenty letters of scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
@@ -56,12 +66,43 @@ def _exact(lines: DataFrame, min_docs: int, exact_docs: int) -> DataFrame:
     return known.where(F.col("n") >= F.when(F.col("long"), exact_docs).otherwise(min_docs)).select("a", "b", "keeper")
 
 
+def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, min_tokens: int, min_constant: float) -> DataFrame:
+    """ma, mb, keeper of the masked lines of recurring templates."""
+    leaves = lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("k1").alias("least"), F.max("k1").alias("most"))
+    leaves = leaves.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most"))).select("leaf")
+    bits = materialize(_bitmap(leaves), "leaves")
+    ma, mb = _two("line")
+    words = docs.select(F.explode(F.transform(plain_lines(F.col("text")), _masked)).alias("line")).withColumn("leaf", _leaf(F.col("line"), min_tokens))
+    words = words.where(_in_bitmap(F.col("leaf"), bits)).distinct().select("line", "leaf", ma.alias("ma"), mb.alias("mb"))
+    # At most min_docs documents stand for those of a line: whether a union of such sets has min_docs is the same.
+    first = Window.partitionBy("ma", "mb").orderBy("doc", "k1", "k2")
+    own = lines.where(_in_bitmap(F.col("leaf"), bits)).select("ma", "mb", "doc", "k1", "k2").distinct()
+    own = own.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= min_docs)
+    own = own.groupBy("ma", "mb").agg(F.min("doc").alias("first"), F.collect_list("k1").alias("docs"))
+    each = materialize(words.join(own, ["ma", "mb"]), "masked")
+    tokens = each.select("leaf", "ma", "mb", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    apart = tokens.where(F.col("token") != MASK).select("leaf", "pos", "token", F.explode("docs").alias("k")).distinct()
+    constant = apart.groupBy("leaf", "pos", "token").count().where(F.col("count") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("constant"))
+    marked = tokens.drop("docs").join(constant, ["leaf", "pos", "token"], "left")
+    word = F.struct("pos", F.when(F.col("constant"), F.col("token")).otherwise(MASK).alias("token"))
+    formed = marked.groupBy("ma", "mb").agg(F.sort_array(F.collect_list(word)).alias("words"), F.count_if("constant").alias("kept"), F.count_if(F.col("constant") & (F.col("pos") >= LEADING)).alias("beyond"))
+    enough = (F.col("kept") >= F.least(F.lit(min_tokens), F.size("words"))) & (F.col("kept") >= min_constant * F.size("words")) & (F.col("beyond") > 0)
+    ta, tb = _two("words")
+    formed = formed.where(enough).select("ma", "mb", ta.alias("ta"), tb.alias("tb"))
+    formed = materialize(formed.join(each.select("ma", "mb", "first", "docs"), ["ma", "mb"]), "formed")
+    support = formed.select("ta", "tb", F.explode("docs").alias("k")).distinct().groupBy("ta", "tb").count().where(F.col("count") >= min_docs)
+    keeper = formed.groupBy("ta", "tb").agg(F.min("first").alias("keeper"))
+    return formed.select("ma", "mb", "ta", "tb").join(support.select("ta", "tb").join(keeper, ["ta", "tb"]), ["ta", "tb"]).select("ma", "mb", "keeper")
+
+
 def drop_recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_constant: float = 0.6, exact_docs: int = 2, long_tokens: int = 10) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without the lines that recur; n_lines and n_dropped are added.
 
     A line of any length that is in ``min_docs`` rows as it is goes, and in
     ``exact_docs`` rows if it has ``long_tokens`` tokens or twenty letters of a
-    script without spaces.  Rows of equal id and text
+    script without spaces.  So do lines of a template, of at least
+    ``min_tokens`` tokens, ``min_constant`` of them constant and one of these
+    past the leading ones, in ``min_docs`` rows.  Rows of equal id and text
     count once; tokens are parted by any white space; empty lines stay.  The
     row of the smallest doc_id keeps its copy (a null id counts as the
     largest).  Null text stays null with no lines; no rows give no rows.
@@ -70,7 +111,9 @@ def drop_recurring(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_
     slim = docs.select("doc_id", "text")
     lines = materialize(_hashed(slim, min_tokens, long_tokens), "lines")
     exact = materialize(_exact(lines, min_docs, exact_docs), "exact")
+    templates = materialize(_templates(slim, lines, min_docs, min_tokens, min_constant), "templates")
     gone = lines.join(exact, ["a", "b"]).where("doc <> keeper").select("k1", "k2", "pos")
+    gone = gone.union(lines.join(templates, ["ma", "mb"]).where("doc <> keeper").select("k1", "k2", "pos"))
     gone = gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone"))
     own = docs.select("*", F.struct(*_key()).alias("_key"))
     joined = own.join(gone.select(F.struct("k1", "k2").alias("_other"), "_gone"), F.col("_key") == F.col("_other"), "left")

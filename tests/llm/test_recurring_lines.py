@@ -32,3 +32,23 @@ def test_short_lines_and_any_white_space(spark):
     texts = ["\n".join([f"only{'abcdefg'[k]}", "", "And ornd.", "Page"] + ["Rare one"] * (k < 4) + [chinese] * (k < 2) + [tabs if k else tabs.replace("\t", "  ")] * (k < 3)) for k in range(6)]
     got = dropped(spark, texts)
     assert got == {"And ornd.": [1, 2, 3, 4, 5], "Page": [1, 2, 3, 4, 5], chinese: [1], tabs: [1, 2]}
+
+
+def test_templates_need_constant_tokens_and_distinct_documents(spark):
+    figures = [f"{k}1 {k}2 {k}3\na{k} b{k} c{k}\nrow {k} x{k} y{k} z{k}" for k in range(8)]
+    logs = [f"User x{k} logged in from host alpha at night" for k in range(8)]
+    assert dropped(spark, figures) == {}  # the data differ
+    assert dropped(spark, logs).keys() == set(logs[1:])
+    many = ["\n".join(f"name is word {a} {'xyz'[j] * 3} alike as ever" for j in range(3)) for a in ("lo", "hi")]
+    assert dropped(spark, many) == {}  # six lines of one template, but two documents
+    heads = [f"in the end {w} {w}s" for w in ("ab", "cd", "ef", "gh", "ij", "kl")]
+    assert dropped(spark, heads) == {}  # only the leading tokens are constant
+    assert dropped(spark, ["7 8 9"] * 3 + ["7 8 9\n7 8 9", "x\n7 8 9", "y\n7 8 9"]).keys() == {"7 8 9"}  # as it is
+
+
+def test_awkward_rows(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (None, "a b c\n\nq", "x"), (3, "  \n\t\n", "x"), (3, "  \n\t\n", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = drop_recurring(docs, min_docs=2)
+    assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got.collect()) == sorted([("1", None, 0, 0), ("2", "", 1, 0), ("None", "a b c\n\nq", 3, 0), ("3", "  \n\t\n", 3, 0), ("3", "  \n\t\n", 3, 0)])
+    assert drop_recurring(docs.limit(0)).count() == 0
