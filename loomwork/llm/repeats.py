@@ -13,7 +13,9 @@ it.
    the bytes before it that its windows need) is range-partitioned by sampled
    splitters on the leading bytes; a partition is sorted, equal leading bytes
    meet in it, and windows are compared within each such run.  Equal leading
-   bytes never lie on both sides of a splitter.
+   bytes never lie on both sides of a splitter.  Leading bytes of more than HOT
+   rows are not compared in one task: each of their windows becomes a row with
+   the hash of its bytes, and equal hashes are counted by Spark.
 3. The repeated windows of each text are merged and cut out.
 """
 
@@ -35,6 +37,8 @@ GRAM = 32
 #: Windows of a text that are handled at once; a cut anchor is settled by comparison.
 SEGMENT = 1 << 20
 _PLACE_BITS = 24
+#: Rows of equal leading bytes that one task may compare.
+HOT = 1_000
 
 
 class Rolling:
@@ -122,32 +126,71 @@ def _suffixes(length: int, known):
             yield batch.filter(keep)
 
     def cut(batches):
-        names = ["lead", "gram", "whole", "copies", "k1", "k2", "at", "bytes"]
-        kinds = [pa.binary(), *[pa.int64()] * 6, pa.binary()]
+        names = ["lead", "gram", "whole", "copies", "hot", "k1", "k2", "at", "bytes"]
+        kinds = [pa.binary(), *[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 3, pa.binary()]
         for batch in batches:
             for k1, k2, text, asked in zip(*(batch.column(c) for c in ("k1", "k2", "text", "asked"))):
                 data, rows = text.as_py().encode(), []
                 for a in asked.as_py():
                     at = a["at"]
                     place, far, near = at >> 16, at >> 8 & 255, at & 255
-                    rows.append((data[place : place + GRAM], a["gram"], a["whole"], a["copies"], k1.as_py(), k2.as_py(), at, data[place - far : place - near + length]))
+                    rows.append((data[place : place + GRAM], a["gram"], a["whole"], a["copies"], a["hot"], k1.as_py(), k2.as_py(), at, data[place - far : place - near + length]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return texts, cut
 
 
-def _compare(length: int):
+def _window_values(row: dict, length: int) -> np.ndarray:
+    """A hash for each window of a suffix: of its bytes and of the anchor's place in it."""
+    own = Rolling(row["bytes"]).windows(length)
+    back = (row["at"] >> 8 & 255) - np.arange(len(own))
+    return mix(own + back.astype(np.uint64) * np.uint64(BASE))
+
+
+def _windows(length: int):
+    """value, copies, k1, k2, at, start: a row for each window of the suffixes."""
+    names = ["value", "copies", "k1", "k2", "at", "start"]
+
+    def batch_of(rows: list[dict], values: list[np.ndarray]) -> pa.RecordBatch:
+        each = [len(v) for v in values]
+        start = [(r["at"] >> 16) - (r["at"] >> 8 & 255) + np.arange(n) for r, n in zip(rows, each)]
+        own = [np.repeat(np.array([r[c] for r in rows], np.int64), each) for c in ("copies", "k1", "k2", "at")]
+        value = np.concatenate(values).astype(np.int64) if values else np.zeros(0, np.int64)
+        columns = [value, *own, np.concatenate(start) if start else np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2_000):
+                rows = batch.slice(k, 2_000).to_pylist()
+                yield batch_of(rows, [_window_values(r, length) for r in rows])
+
+    return run
+
+
+def _runs(length: int):
+    """Stretches of consecutive windows, from (k1, k2, starts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                starts = np.sort(np.array(row["starts"], np.int64))
+                edge = np.flatnonzero(np.diff(starts) > 1)
+                found += [(row["k1"], row["k2"], int(a), int(b) + length) for a, b in zip(starts[np.r_[0, edge + 1]], starts[np.r_[edge, len(starts) - 1]])]
+            yield _stretches(found)
+
+    return run
+
+
+def _compare(length: int, hot: int):
     """From suffixes sorted by leading bytes: the repeated stretches of those that have no equal as a whole."""
 
     def stretches(group: list[dict]) -> list[tuple[int, int, int, int]]:
-        hashes, back = [], []
-        for row in group:
-            far = row["at"] >> 8 & 255
-            own = Rolling(row["bytes"]).windows(length)
-            hashes.append(own)
-            back.append(far - np.arange(len(own)))
-        values = mix(np.concatenate(hashes) + np.concatenate(back).astype(np.uint64) * np.uint64(BASE))
-        _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+        if len(group) > hot:
+            raise ValueError(f"{len(group)} suffixes of equal leading bytes in one task")
+        hashes = [_window_values(row, length) for row in group]
+        _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         twice = counts[inverse] > 1
         out, at = [], 0
         for row, own in zip(group, hashes):
@@ -179,28 +222,38 @@ def _stretches(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "start", "stop"])
 
 
-def repeated_stretches(texts: DataFrame, length: int) -> DataFrame:
+def repeated_windows(suffixes: DataFrame, length: int) -> DataFrame:
+    """k1, k2, start, stop of the windows of ``suffixes`` that another one has too; no task needs all of a gram."""
+    windows = suffixes.mapInArrow(_windows(length), "value long, copies long, k1 long, k2 long, at long, start long")
+    windows = materialize(windows, "windows")
+    twice = materialize(windows.groupBy("value").count().where("count > 1").select("value"), "twice")
+    hits = windows.where("copies = 1").join(twice, "value").groupBy("k1", "k2", "at").agg(F.collect_list("start").alias("starts"))
+    return hits.select("k1", "k2", "starts").mapInArrow(_runs(length), "k1 long, k2 long, start long, stop long")
+
+
+def repeated_stretches(texts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """k1, k2, start, stop: bytes of a text (by its keys) covered by strings that start elsewhere too."""
     spark = texts.sparkSession
     rows = materialize(texts.mapInArrow(_anchor_rows(length), "k1 long, k2 long, gram long, whole long, at long"), "anchors")
     groups = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("n > 1")
     groups = materialize(groups, "grams")  # a join of two plain shuffles can split a hot gram
-    shared = materialize(rows.join(groups.select("gram", (F.col("least") != F.col("most")).alias("differ")), "gram"), "shared")
+    shared = materialize(rows.join(groups.select("gram", (F.col("least") != F.col("most")).alias("differ"), (F.col("n") > hot).alias("hot")), "gram"), "shared")
     differ = shared.where("differ")
-    kinds = differ.groupBy("gram", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
+    kinds = differ.groupBy("gram", "whole", "hot").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
     kinds = materialize(kinds, "kinds")
     alike = differ.join(kinds.where("copies > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
     place, far, near = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     full = shared.where("not differ").select("k1", "k2", "at").union(alike.select("k1", "k2", "at")).select("k1", "k2", (place - far).alias("start"), (place - near + length).alias("stop"))
-    asked = kinds.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("gram", "whole", "copies", F.col("one.at").alias("at"))).alias("asked"))
+    asked = kinds.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("gram", "whole", "copies", "hot", F.col("one.at").alias("at"))).alias("asked"))
     asked = materialize(asked, "asked")
     known = spark.sparkContext.broadcast(bitmap(asked.select(F.pmod("k1", F.lit(1 << _PLACE_BITS)).alias("place")), _PLACE_BITS))
     maybe, cut = _suffixes(length, known)
     own = texts.mapInArrow(maybe, "k1 long, k2 long, text string").dropDuplicates(["k1", "k2"]).join(asked, ["k1", "k2"])
-    suffixes = own.mapInArrow(cut, "lead binary, gram long, whole long, copies long, k1 long, k2 long, at long, bytes binary")
+    suffixes = own.mapInArrow(cut, "lead binary, gram long, whole long, copies long, hot boolean, k1 long, k2 long, at long, bytes binary")
     suffixes = materialize(suffixes, "suffixes")  # repartitionByRange reads its input twice, first for the splitters
-    ranged = suffixes.repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram")
-    return full.union(ranged.mapInArrow(_compare(length), "k1 long, k2 long, start long, stop long"))
+    full = full.union(repeated_windows(suffixes.where("hot"), length))
+    ranged = suffixes.where("not hot").repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram")
+    return full.union(ranged.mapInArrow(_compare(length, hot), "k1 long, k2 long, start long, stop long"))
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,20 +283,21 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, kinds)], names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) without the bytes inside strings of ``length`` bytes that start twice.
 
     Columns: doc_id, text (binary: a cut may fall inside a character), n_bytes,
     n_removed, n_spans, kept_sha256.  Texts below ``length`` bytes keep all;
     equal texts of at least that lose all; null text counts as empty; a null
     doc_id is kept; other columns are ignored; no rows give no rows.  Strings
-    are equal when 64-bit hashes of their bytes agree.
+    are equal when 64-bit hashes of their bytes agree.  Leading bytes of more
+    than ``hot`` rows are compared by Spark, not in one task; the result is the same.
     """
     if not GRAM < length <= GRAM + 255:
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 255}")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(text), text.alias("text"))
-    found = repeated_stretches(keyed.select("k1", "k2", "text"), length).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = repeated_stretches(keyed.select("k1", "k2", "text"), length, hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = materialize(found.select("k1", "k2", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")), "spans")
     joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "starts", "stops")
     return joined.mapInArrow(_cut_out, "doc_id long, text binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

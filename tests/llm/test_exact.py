@@ -185,6 +185,18 @@ def test_repeats(spark):
     assert remove_repeats(table(spark, rows).limit(0)).count() == 0
 
 
+def test_repeats_of_a_hot_phrase(spark):
+    rng = random.Random(13)
+    own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    phrase, shared = own(150), [own(90) for _ in range(3)]
+    rows = [(k, own(rng.randint(100, 300)) + phrase + own(rng.randint(100, 300))) for k in range(60)]
+    rows += [(100 + k, own(120) + shared[k % 3] + phrase + shared[(k + 1) % 3] + own(120)) for k in range(5)]
+    rows += [rows[0], (200, rows[1][1])]
+    for hot in (1_000, 4):  # in one task, or by Spark: no task may then compare five
+        got = remove_repeats(table(spark, rows).repartition(5), hot=hot).collect()
+        assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
+
+
 def test_repeats_across_segments(spark, monkeypatch):
     from loomwork.llm import repeats
 
