@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,10 +81,10 @@ NOTICES: dict[str, list[str]] = {
 }
 UNKNOWN = "unknown"
 #: A paragraph without any of these is not about licences.
-CUE = re.compile(r"licen[cs]|copyright|rights reserved|permission|redistribut|public domain|creative commons|confidential|warrant|\bcc[ -]?(?:by|0)|\bspdx|\bmit\b|\bgnu\b|\bbsd\b|waived", re.IGNORECASE)
+CUE = re.compile(r"licen[cs]|copyright|rights[\W_]+reserved|permission|redistribut|public[\W_]+domain|creative[\W_]+commons|confidential|warrant|\bcc[ -]?(?:by|0)|\bspdx|\bmit\b|\bgnu\b|\bbsd\b|waived", re.IGNORECASE)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 SAMPLE_DOCS = 1_000
-#: Blocks of more words are taken line by line.
+#: Blocks of more words are taken by windows of lines around each cue, of at most as many words.
 BLOCK_WORDS = 80
 
 
@@ -92,27 +93,50 @@ def grams(text: str) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
-def paragraphs(text: str) -> Iterator[tuple[int, str]]:
-    """(number of the first line, text) of blocks between empty lines; lines of large blocks singly."""
+def blocks(text: str) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first line, lines) of blocks between empty lines."""
     block: list[str] = []
     first = 0
-
-    def out():
-        if len(block) == 1 or sum(map(len, map(str.split, block))) <= BLOCK_WORDS:
-            yield first, "\n".join(block)
-        else:
-            yield from ((first + k, line) for k, line in enumerate(block))
-
     for k, line in enumerate(text.split("\n")):
         if line.strip():
             if not block:
                 first = k
             block.append(line)
         elif block:
-            yield from out()
+            yield first, block
             block = []
     if block:
-        yield from out()
+        yield first, block
+
+
+def is_small(block: list[str]) -> bool:
+    return len(block) == 1 or sum(len(line.split()) for line in block) <= BLOCK_WORDS
+
+
+def paragraphs(text: str) -> Iterator[tuple[int, str]]:
+    """(number of the first line, text) of blocks between empty lines; lines of large blocks singly."""
+    for first, block in blocks(text):
+        if is_small(block):
+            yield first, "\n".join(block)
+        else:
+            yield from ((first + k, line) for k, line in enumerate(block))
+
+
+def _around(words: list[int], first: int, last: int) -> set[tuple[int, int]]:
+    """Windows (first and last line) that hold lines ``first`` to ``last``, of up to a quarter, half and all of BLOCK_WORDS."""
+    found = {(first, last)}
+    for most in (BLOCK_WORDS // 4, BLOCK_WORDS // 2, BLOCK_WORDS):
+        for back, ahead in ((1, 0), (0, 1), (1, 1)):
+            a, b, n = first, last, sum(words[first : last + 1])
+            grown = True
+            while grown:
+                grown = False
+                if ahead and b + 1 < len(words) and n + words[b + 1] <= most:
+                    b, n, grown = b + 1, n + words[b + 1], True
+                if back and a and n + words[a - 1] <= most:
+                    a, n, grown = a - 1, n + words[a - 1], True
+            found.add((a, b))
+    return found
 
 
 @dataclass
@@ -140,6 +164,54 @@ class LicenseModel:
         return family, float(p[k]), near, near >= least_similarity
 
 
+def notices_in(model: LicenseModel, text: str, least_probability: float, least_similarity: float) -> Iterator[tuple]:
+    """(number of the first line, its text, what classify says) of the parts of ``text`` with a cue.
+
+    A small block is one part.  In a large one the parts are the windows of
+    lines around each cue that a notice confirms, the best first and without
+    lines that it does not need, and then the other lines with a cue.
+    """
+    for first, block in blocks(text):
+        if is_small(block):
+            whole = "\n".join(block)
+            if CUE.search(whole):
+                yield first, whole, model.classify(whole, least_probability, least_similarity)
+            continue
+        joined, starts = "\n".join(block), [0]
+        for line in block:
+            starts.append(starts[-1] + len(line) + 1)
+        cues = sorted({(bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1) for m in CUE.finditer(joined)})
+        if not cues:
+            continue
+        words = [len(line.split()) for line in block]
+        asked: dict[tuple[int, int], tuple] = {}
+
+        def says(a: int, b: int) -> tuple:
+            if (a, b) not in asked:
+                asked[a, b] = model.classify("\n".join(block[a : b + 1]), least_probability, least_similarity)
+            return asked[a, b]
+
+        def rank(window: tuple[int, int]) -> tuple:
+            return says(*window)[2], -sum(words[window[0] : window[1] + 1]), says(*window)[1]
+
+        sure = {w for cue in cues for w in _around(words, *cue) if says(*w)[0] != UNKNOWN and says(*w)[3]}
+        taken: set[int] = set()
+        found = []
+        for a, b in sorted(sure, key=rank, reverse=True):
+            if taken.isdisjoint(range(a, b + 1)):
+                family, _, near, _ = says(a, b)
+                same = lambda a, b: says(a, b)[0] == family and says(a, b)[2] >= near
+                while a < b and same(a + 1, b):
+                    a += 1
+                while a < b and same(a, b - 1):
+                    b -= 1
+                taken |= set(range(a, b + 1))
+                found.append((a, b))
+        found += [(k, k) for k in sorted({k for a, b in cues for k in range(a, b + 1)} - taken)]
+        for a, b in sorted(found):
+            yield first + a, "\n".join(block[a : b + 1]), says(a, b)
+
+
 def _examples(rng: random.Random, others: list[str], each: int) -> tuple[list[str], list[str]]:
     texts, names = [], []
     every = [n for own in NOTICES.values() for n in own]
@@ -219,11 +291,9 @@ def _scan(known, least_probability: float, least_similarity: float, unknown: boo
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 if CUE.search(text):
-                    for line, part in paragraphs(text):
-                        if CUE.search(part):
-                            found = model.classify(part, least_probability, least_similarity)
-                            if unknown or found[0] != UNKNOWN:
-                                rows.append((doc_id, line, *found, part))
+                    for line, part, found in notices_in(model, text, least_probability, least_similarity):
+                        if unknown or found[0] != UNKNOWN:
+                            rows.append((doc_id, line, *found, part))
             columns = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "line", "family", "probability", "similarity", "confirmed", "paragraph"])
 

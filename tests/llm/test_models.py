@@ -1,5 +1,7 @@
 """Trained operators and searches: held-out accuracy, recall against brute force, awkward rows."""
 
+import textwrap
+
 import numpy as np
 import pytest
 
@@ -101,6 +103,24 @@ def test_licenses(spark):
     assert not {900, 901, 902} & got.keys() and got[None].family == "mit"
 
 
+def test_wrapped_notices_in_large_blocks(spark):
+    prose = [f"words of the {k}th line go on about rivers, hills and towns in the north" for k in range(12)]
+    rows, want = [], {}
+    for k, (family, notice) in enumerate((f, n) for f, own in NOTICES.items() for n in own if len(n.split()) >= 12):
+        wrapped = [f" * {line}" for line in textwrap.wrap(notice, 40)]
+        rows.append((k, "\n".join(prose[:6] + wrapped + prose[6:])))
+        want[k] = (family, 6, "\n".join(wrapped))
+    rows.append((900, "\n".join([*prose[:6], "all rights", "reserved.", *prose[6:]])))
+    got = {}
+    for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.confirmed:
+            got.setdefault(r.doc_id, []).append(r)
+    for k, (family, line, text) in want.items():
+        assert [r.family for r in got[k]] == [family], (k, family, got.get(k))
+        assert line <= got[k][0].line < line + text.count("\n") + 1 and got[k][0].similarity > 0.6
+    assert [(r.family, r.line) for r in got[900]] == [("proprietary", 6)]
+
+
 def test_license_classifier_on_unseen_wordings():
     model = train([])
     seen = {q: model.classify(q, 0.6, 0.6)[0] for q in ("Licensed under the Apache License 2.0", "Code under the MIT license", "GNU Lesser General Public License", "the fee for his driving license was high")}
