@@ -148,8 +148,8 @@ def _plan(counts: np.ndarray, capacity: int, large: float, groups: int) -> Plan:
     lengths = np.nonzero(build.left)[0][::-1]
     lengths = [int(x) for x in lengths if x > large * capacity]
     total = int(sum(build.left[x] for x in lengths))
-    if total >= 4 * groups:
-        _linear_grouping(build, lengths, total, groups)
+    if total:
+        _linear_grouping(build, lengths, total, min(groups, total))
     build.best_fit()
     return build.plan()
 
