@@ -2,9 +2,9 @@
 
 Strong patterns are reported wherever they match.  Weak ones, such as a long
 mixed string, a user name or an address, mean little alone: they are reported
-only when a complementary part (identifier, secret, endpoint) starts within
-``scope`` characters of them in the same document.  Candidates alone are
-dealt by document and ordered by position; a range frame of the scope's width
+only when a complementary part (identifier, secret, endpoint) that is not part
+of themselves starts within ``scope`` characters of them in the same document.
+Candidates alone are dealt by document and ordered by position; a range frame of the scope's width
 around each of them is the interval join, so no pair is ever built.
 """
 
@@ -27,27 +27,23 @@ WEAK_ID = r"""(?i)(?:user_?name|login|client_?id|account_?id)["']?\x20*[:=]\x20*
 ENDPOINT = r"""[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]+"""
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 ROLES = {"assign": "secret", "access": "id", "hex": "secret", "weak_secret": "secret", "weak_id": "id", "endpoint": "endpoint"}
-SPAN = "array<struct<start:int,kind:int,stop:int>>"
+#: Of two parts that overlap the one of lower rank stays: what is inside an address is no secret beside it.
+RANKS = {"assign": 0, "access": 0, "hex": 0, "endpoint": 1, "weak_id": 2, "weak_secret": 3}
+HITS = "array<struct<kind:int,pos:int,gap:int,size:int,keep:boolean>>"
+SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
 
 
-def _spans(text: Column, kind: str, pattern: str, keep=None, group: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches, from the lengths of matches and of what lies between.
+def _hits(text: Column, kind: str, pattern: str, keep=None, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches in order, each with its size and what lies between it and the one before.
 
     ``keep`` decides by the text of ``group`` whether a match is reported.
     """
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     shown = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    rows = F.arrays_zip(F.transform(found, F.length).alias("size"), F.transform(shown, keep or (lambda _: F.lit(True))).alias("keep"), F.transform(between, F.length).alias("gap"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(state, row):
-        start = state["at"] + row["gap"]
-        stop = start + F.coalesce(row["size"], F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), F.when(row["keep"], F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
-
-    # The last gap has no match: its keep is null.
-    return F.when(text.rlike(pattern), F.aggregate(rows, begin, step)["out"]).otherwise(F.array().cast(SPAN))
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    rows = F.arrays_zip(found.alias("m"), shown.alias("s"), gaps.alias("g"))
+    hit = lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("pos"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), (keep(x["s"]) if keep else F.lit(True)).alias("keep"))
+    return F.when(text.rlike(pattern), F.transform(rows, hit)).otherwise(F.array().cast(HITS))
 
 
 def _mixed(string: Column) -> Column:
@@ -59,37 +55,61 @@ def _key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2")]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, base and weak spans of every row; weak ones that touch a base span are left out."""
+def matches(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, hits of every row: the texts are read once, and no text goes further."""
     text = F.coalesce("text", F.lit(""))
-    base = [_spans(text, "assign", ASSIGN, lambda s: F.length(s) >= 8, group=2), _spans(text, "access", ACCESS), _spans(text, "hex", HEX)]
-    weak = [_spans(text, "weak_secret", WEAK_SECRET, _mixed), _spans(text, "weak_id", WEAK_ID), _spans(text, "endpoint", ENDPOINT)]
-    found = docs.select("doc_id", *_key(), F.sort_array(F.concat(*base)).alias("base"), F.concat(*weak).alias("_weak"))
-    apart = F.filter("_weak", lambda w: ~F.exists("base", lambda b: (w["start"] < b["stop"]) & (b["start"] < w["stop"])))
-    return found.select("doc_id", "k1", "k2", "base", apart.alias("weak"))
+    kinds = [_hits(text, "assign", ASSIGN, lambda s: F.length(s) >= 8, group=2), _hits(text, "access", ACCESS), _hits(text, "hex", HEX)]
+    kinds += [_hits(text, "weak_secret", WEAK_SECRET, _mixed), _hits(text, "weak_id", WEAK_ID), _hits(text, "endpoint", ENDPOINT)]
+    return docs.select("doc_id", *_key(), F.concat(*kinds).alias("hits"))
+
 
+def _rank(kind: Column) -> Column:
+    return F.get(F.array(*[F.lit(RANKS[k]) for k in KINDS]), kind)
 
-def linked_spans(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """k1, k2, linked: the weak spans with complementary parts in scope.
+
+def candidates(found: DataFrame) -> DataFrame:
+    """k1, k2, start, kind, stop of the parts that are kept; of those that overlap, the ones of lowest rank.
+
+    Places are running sums over a document's matches, and overlaps are seen
+    from the furthest end before and the nearest start after, so a text with
+    many matches costs a sort.
+    """
+    hits = found.where(F.size("hits") > 0).select("k1", "k2", F.inline("hits")).dropDuplicates(["k1", "k2", "kind", "pos"])
+    upto = W.partitionBy("k1", "k2", "kind").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = hits.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(upto)).where("keep")
+    placed = placed.select("k1", "k2", (F.col("stop") - F.col("size")).alias("start"), "kind", "stop", _rank(F.col("kind")).alias("rank"))
+    ahead = W.partitionBy("k1", "k2").orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow)
+    behind = W.partitionBy("k1", "k2").orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    lower = range(1, max(RANKS.values()) + 1)
+    seen = placed.withColumns({f"_stop{r}": F.max(F.when(F.col("rank") < r, F.col("stop"))).over(ahead) for r in lower})
+    seen = seen.withColumns({f"_start{r}": F.min(F.when(F.col("rank") < r, F.col("start"))).over(behind) for r in lower})
+    touched = F.lit(False)
+    for r in lower:
+        touched = touched | ((F.col("rank") == r) & F.coalesce((F.col(f"_stop{r}") > F.col("start")) | (F.col(f"_start{r}") < F.col("stop")), F.lit(False)))
+    return seen.where(~F.coalesce(touched, F.lit(False))).select("k1", "k2", "start", "kind", "stop")
+
+
+def linked_spans(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """k1, k2, base, linked: strong spans, and the weak ones with complementary parts in scope.
 
     A weak secret needs an identifier or an endpoint, a weak identifier needs a
     secret, an endpoint needs both.
     """
-    parts = found.where(F.size("weak") > 0).select("k1", "k2", F.explode(F.array_union("base", "weak")).alias("p")).distinct()
-    near = W.partitionBy("k1", "k2").orderBy(F.col("p.start")).rangeBetween(-scope, scope)
+    near = W.partitionBy("k1", "k2").orderBy("start").rangeBetween(-scope, scope)
 
     def role(name: str) -> Column:
         kinds = [k for k, kind in enumerate(KINDS) if ROLES[kind] == name]
-        return F.max(F.col("p.kind").isin(kinds)).over(near)
+        return F.max(F.col("kind").isin(kinds)).over(near)
 
     seen = parts.withColumns({"id": role("id"), "secret": role("secret"), "endpoint": role("endpoint")})
-    kind = F.col("p.kind")
+    kind, strong = F.col("kind"), F.col("kind").isin([k for k, name in enumerate(KINDS) if RANKS[name] == 0])
     linked = (
         F.when(kind == KINDS.index("weak_secret"), F.col("id") | F.col("endpoint"))
         .when(kind == KINDS.index("weak_id"), F.col("secret"))
         .when(kind == KINDS.index("endpoint"), F.col("id") & F.col("secret"))
     )
-    return seen.where(linked).groupBy("k1", "k2").agg(F.collect_list("p").alias("linked"))
+    span = F.struct("start", "kind", "stop")
+    return seen.where(strong | linked).groupBy("k1", "k2").agg(F.collect_list(F.when(strong, span)).alias("base"), F.collect_list(F.when(~strong, span)).alias("linked"))
 
 
 def _listed(spans: Column) -> Column:
@@ -106,14 +126,15 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     each; a null doc_id is kept; other columns are ignored; no rows give none.
     """
     slim = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = materialize(candidates(slim), "secrets")
-    joined = found.join(linked_spans(found, scope), ["k1", "k2"], "left")
-    linked = F.coalesce("linked", F.array().cast(SPAN))
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    found = materialize(matches(slim), "secrets")
+    spans = materialize(linked_spans(candidates(found), scope), "spans")
+    joined = found.select("doc_id", "k1", "k2").join(spans, ["k1", "k2"], "left")
+    base, linked = (F.coalesce(c, F.array().cast(SPAN)) for c in ("base", "linked"))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return joined.select(
         "doc_id", count("assign"), count("access"), count("hex"),
-        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
-        _listed(F.sort_array(F.concat("base", linked))).alias("spans"),
+        F.sha2(_listed(F.sort_array(base)), 256).alias("base_sha256"),
+        _listed(F.sort_array(F.concat(base, linked))).alias("spans"),
         F.size(linked).cast("long").alias("n_linked"),
     )
 
@@ -135,8 +156,8 @@ def _oracle() -> str:
     return f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
 f AS ({found}),
-b AS (SELECT * FROM f WHERE kind < 3),
-q AS (SELECT * FROM b UNION ALL SELECT * FROM f WHERE kind >= 3 AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = f.r AND f.start < b.stop AND b.start < f.stop)),
+o AS (SELECT *, CASE WHEN kind < 3 THEN 0 ELSE 6 - kind END AS rank FROM f),
+q AS (SELECT * FROM o AS w WHERE rank = 0 OR NOT EXISTS (SELECT 1 FROM o AS v WHERE v.r = w.r AND v.rank < w.rank AND w.start < v.stop AND v.start < w.stop)),
 s AS (SELECT *, max((kind IN (1, 4))::INT) OVER w AS has_id, max((kind IN (0, 2, 3))::INT) OVER w AS has_secret, max((kind = 5)::INT) OVER w AS has_end
       FROM q WINDOW w AS (PARTITION BY r ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
 a AS (SELECT r, kind, start, stop, concat(name, ':', start::BIGINT, ':', stop::BIGINT) AS listed FROM s
