@@ -1,49 +1,64 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
 
-A line's leaf is its token count and its leading tokens, digits masked.  Three
-passes over the texts:
-
-1. documents per leaf (hashes only, partial sums first);
-2. the lines of recurring leaves, with how many documents each is in.  Within
-   a leaf, a token that recurs at its position is constant and any other is
-   variable, which makes a line's template; templates that recur across
-   documents with enough constant tokens are boilerplate;
-3. lines of such templates are dropped from all documents but the template's
-   first, so that a group of copies never loses its text altogether.
-
-Passes 2 and 3 skip lines of leaves that cannot recur by a bitmap of fixed
-size, so only candidate lines are shuffled.
+Lines are compared with white space made single.  The texts are read three
+times:
+
+1. Every line becomes a row of hashes: of the line as it is and of its leaf in
+   the tree, which is its token count and its leading tokens with digits
+   masked.  Lines that recur as they are go at ``min_docs`` documents, long
+   ones at ``exact_docs``.
+2. Masked lines of leaves that recur are read again.  Within a leaf, a token is
+   constant when at least ``min_docs`` distinct documents have it at its place,
+   and any other is variable, which makes a line's template.  Templates with
+   enough constant tokens in ``min_docs`` distinct documents are boilerplate.
+3. Such lines are dropped from all documents but the first of their line or
+   template, so that a group of copies never loses its text altogether.
+
+Passes 2 and 3 skip lines and texts that cannot be concerned by bitmaps of
+fixed size, so only candidate lines and the texts that change are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.plans.storage import materialize
 
 MASK = "<*>"
 LEADING = 3
-#: Bits of the bitmap of recurring leaves: 512 KB, whatever the number of leaves.
+#: Bits of a bitmap: 512 KB, whatever the number of entries.
 BITMAP = 1 << 22
 _NO_ID = (1 << 63) - 1
+#: White space but the line feed, and the characters that make a look at it worthwhile.
+BLANKS = r"[\t\x0B\f\r \x{85}\p{Z}]+"
+RARE_BLANKS = ("\t", "\r", "  ", "\x0b", "\f", "\x85", "\xa0", " ", "　")
+#: Twenty letters of scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
+UNSPACED = r"(?:[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿][^\n]{0,2}?){20}"
 
 
-def masked_lines(text: Column) -> Column:
-    """Trimmed lines, tokens with a digit masked; tokens are parted by single spaces."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", MASK)).otherwise(text)
-    return F.transform(F.split(masked, "\n"), F.trim)
+def plain_lines(text: Column) -> Column:
+    """Trimmed lines with single spaces for any white space."""
+    text = F.coalesce(text, F.lit(""))
+    odd = F.lit(False)
+    for blank in RARE_BLANKS:
+        odd = odd | text.contains(blank)
+    odd = odd | ((F.octet_length(text) > F.length(text)) & text.rlike(r"[\x{2000}-\x{206f}]"))
+    return F.transform(F.split(F.when(odd, F.regexp_replace(text, BLANKS, " ")).otherwise(text), "\n"), F.trim)
 
 
 def n_tokens(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def leaf(line: Column, min_tokens: int) -> Column:
-    """Hash of the token count and the leading tokens; null for lines of too few tokens."""
-    n = n_tokens(line)
-    return F.when(n >= min_tokens, F.xxhash64(n, F.substring_index(line, " ", LEADING)))
+def masked(line: Column) -> Column:
+    """Tokens with a digit become MASK."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", MASK)).otherwise(line)
+
+
+def leaf(line: Column, n: Column, min_tokens: int) -> Column:
+    """Hash of the token count and the masked leading tokens; null for lines of too few tokens."""
+    return F.when(n >= min_tokens, F.xxhash64(n, masked(F.substring_index(line, " ", LEADING))))
 
 
 def _key() -> list[Column]:
@@ -51,101 +66,126 @@ def _key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2")]
 
 
-def _bitmap(leaves: DataFrame) -> DataFrame:
-    """One row, one array of BITMAP / 64 longs, with the bits of ``leaves`` set."""
-    spark = leaves.sparkSession
-    bit = F.pmod("leaf", F.lit(BITMAP))
-    words = leaves.groupBy(F.floor(bit / 64).cast("long").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(leaf, {BITMAP}) % 64 as int))")).alias("bits"))
-    dense = spark.range(BITMAP // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    ordered = dense.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("all"))
-    return ordered.select(F.transform("all", lambda x: x["bits"]).alias("bitmap"))
-
-
-def recurring_lines(docs: DataFrame, min_docs: int, min_tokens: int, min_constant: float) -> tuple[DataFrame, DataFrame]:
-    """(line, keeper) of the lines to drop outside document ``keeper``, and the bitmap of their leaves."""
-    lines = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), masked_lines(F.col("text")).alias("lines"))
-    leaves = lines.select(F.explode(F.array_distinct(_leaves(min_tokens))).alias("leaf"))
-    recurring = leaves.where("leaf is not null").groupBy("leaf").count().where(F.col("count") >= min_docs)
-    bitmap = materialize(_bitmap(recurring.select("leaf")), "leaves")
-    # Copies of one line within a document count once.
-    candidates = _maybe_recurring(lines, min_tokens, bitmap).select("doc", "k1", "k2", "line").distinct()
-    counted = candidates.groupBy("line").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"))
-    counted = counted.withColumn("leaf", leaf(F.col("line"), min_tokens))
-    ids = {"id": F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))}
-    counted = materialize(counted.withColumns(ids), "lines")
-    # A line that recurs as it is has constant tokens only: it is its own template.
-    tokens = counted.select("leaf", "id", "n_docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("support")).where((F.col("support") >= min_docs) & (F.col("token") != MASK))
-    rare = tokens.where(F.col("n_docs") < min_docs).drop("n_docs")
-    marked = rare.join(constant.select("leaf", "pos", "token", F.lit(True).alias("constant")), ["leaf", "pos", "token"], "left")
-    word = F.struct("pos", F.when(F.col("constant"), F.col("token")).otherwise(MASK).alias("token"))
-    words = marked.groupBy("id").agg(F.sort_array(F.collect_list(word)).alias("words"), F.count_if("constant").alias("kept"))
-    enough = (F.col("kept") >= F.least(F.lit(min_tokens), F.size("words"))) & (F.col("kept") >= min_constant * F.size("words"))
-    general = words.where(enough).select("id", F.array_join(F.transform("words", lambda w: w["token"]), " ").alias("general"))
-    joined = counted.join(general, "id", "left").select("line", "n_docs", "first", F.coalesce("general", "line").alias("template"))
-    known = joined.groupBy("template").agg(F.sum("n_docs").alias("support"), F.min("first").alias("keeper")).where(F.col("support") >= min_docs)
-    return joined.select("line", "template").join(known.select("template", "keeper"), "template").select("line", "keeper"), bitmap
+def _two(*of: Column | str) -> list[Column]:
+    return [F.xxhash64(*of), F.xxhash64(F.lit(7), *of)]
 
 
-def _leaves(min_tokens: int) -> Column:
-    return F.transform("lines", lambda line: leaf(line, min_tokens))
-
-
-def _maybe_recurring(lines: DataFrame, min_tokens: int, bitmap: DataFrame) -> DataFrame:
-    """doc, k1, k2, pos, line of the lines in leaves that may recur; the others' texts are never copied."""
-    numbered = lines.select("doc", "k1", "k2", "lines", F.posexplode(_leaves(min_tokens)).alias("pos", "leaf"))
-    return numbered.where(_in_bitmap(F.col("leaf"), bitmap)).select("doc", "k1", "k2", "pos", F.get("lines", F.col("pos")).alias("line"))
+def _bitmap(entries: DataFrame, column: str) -> DataFrame:
+    """One row, one array of BITMAP / 64 longs, with the bits of a column of hashes set."""
+    bit = F.pmod(column, F.lit(BITMAP))
+    words = entries.groupBy(F.floor(bit / 64).cast("long").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {BITMAP}) % 64 as int))")).alias("bits"))
+    dense = entries.sparkSession.range(BITMAP // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    ordered = dense.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("all"))
+    return ordered.select(F.transform("all", lambda x: x["bits"]).alias("bitmap"))
 
 
-def _in_bitmap(leaf_hash: Column, bitmap: DataFrame) -> Column:
-    bit = F.pmod(leaf_hash, F.lit(BITMAP))
+def _in_bitmap(entry: Column, bitmap: DataFrame) -> Column:
+    bit = F.pmod(entry, F.lit(BITMAP))
     word = F.get(bitmap.select("bitmap").scalar(), F.shiftright(bit, 6).cast("int"))
     return F.coalesce(F.getbit(word, (bit % 64).cast("int")) == 1, F.lit(False))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_constant: float = 0.6) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) without the lines of recurring templates.
-
-    text has the remaining lines as they were; n_lines and n_dropped are added
-    (replacing columns of these names).  A template recurs when it is in at
-    least ``min_docs`` rows (rows of equal id and text count once); lines of fewer than ``min_tokens`` tokens and
-    lines without a template of at least ``min_constant`` constant tokens are
-    kept unless they recur as they are.  The row of the smallest doc_id keeps
+def _lines(docs: DataFrame, min_tokens: int, long_tokens: int) -> DataFrame:
+    """doc, k1, k2, pos, long, a, b (the line), leaf of every line that is not empty."""
+    lines = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), F.posexplode(plain_lines(F.col("text"))).alias("pos", "line")).where("line <> ''")
+    lines = lines.withColumn("n", n_tokens(F.col("line")))
+    a, b = _two("line")
+    long = (F.col("n") >= long_tokens) | ((F.octet_length("line") - F.length("line") >= 40) & F.col("line").rlike(UNSPACED))
+    return lines.select("doc", "k1", "k2", "pos", long.alias("long"), a.alias("a"), b.alias("b"), leaf(F.col("line"), F.col("n"), min_tokens).alias("leaf"))
+
+
+def _exact(lines: DataFrame, min_docs: int, exact_docs: int) -> DataFrame:
+    """a, b, keeper of the lines that recur as they are."""
+    once = lines.groupBy("a", "b", "long", "k1", "k2").agg(F.min("doc").alias("doc"))
+    known = once.groupBy("a", "b", "long").agg(F.count("*").alias("n"), F.min("doc").alias("keeper"))
+    return known.where(F.col("n") >= F.when(F.col("long"), exact_docs).otherwise(min_docs)).select("a", "b", "keeper")
+
+
+def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, min_tokens: int, min_constant: float) -> DataFrame:
+    """k1, k2, pos, doc, keeper of the lines of recurring templates."""
+    leaves = lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("k1").alias("least"), F.max("k1").alias("most"))
+    leaves = leaves.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most"))).select("leaf")
+    bits = materialize(_bitmap(leaves, "leaf"), "leaves")
+    read = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), F.posexplode(plain_lines(F.col("text"))).alias("pos", "line")).where("line <> ''")
+    read = read.withColumn("leaf", leaf(F.col("line"), n_tokens(F.col("line")), min_tokens)).where(_in_bitmap(F.col("leaf"), bits))
+    ma, mb = _two("leaf", "line")
+    read = read.withColumn("line", masked(F.col("line"))).withColumns({"ma": ma, "mb": mb})
+    # The line of one document stands for those of all.
+    read = materialize(read, "candidates")
+    words = read.groupBy("ma", "mb").agg(F.min(F.struct("doc", "k1", "k2", "pos")).alias("one"))
+    words = words.select("ma", "mb", "one.*").join(read.select("k1", "k2", "pos", "leaf", "line").distinct(), ["k1", "k2", "pos"]).select("ma", "mb", "leaf", "line")
+    # At most min_docs documents stand for those of a line: whether a union of such sets has min_docs is the same.
+    first = Window.partitionBy("ma", "mb").orderBy("doc", "k1", "k2")
+    own = read.select("ma", "mb", "doc", "k1", "k2").distinct()
+    own = own.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= min_docs)
+    own = own.groupBy("ma", "mb").agg(F.min("doc").alias("first"), F.collect_list("k1").alias("docs"))
+    each = materialize(words.join(own, ["ma", "mb"]), "masked")
+    tokens = each.select("leaf", "ma", "mb", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    apart = tokens.where(F.col("token") != MASK).select("leaf", "pos", "token", F.explode("docs").alias("k")).distinct()
+    constant = apart.groupBy("leaf", "pos", "token").count().where(F.col("count") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("constant"))
+    constant = materialize(constant, "constant")  # a join of two plain shuffles can split a hot token
+    marked = tokens.drop("docs").join(constant, ["leaf", "pos", "token"], "left")
+    word = F.struct("pos", F.when(F.col("constant"), F.col("token")).otherwise(MASK).alias("token"))
+    formed = marked.groupBy("ma", "mb").agg(F.sort_array(F.collect_list(word)).alias("words"), F.count_if("constant").alias("kept"), F.count_if(F.col("constant") & (F.col("pos") >= LEADING)).alias("beyond"))
+    enough = (F.col("kept") >= F.least(F.lit(min_tokens), F.size("words"))) & (F.col("kept") >= min_constant * F.size("words")) & (F.col("beyond") > 0)
+    ta, tb = _two("words")
+    formed = formed.where(enough).select("ma", "mb", ta.alias("ta"), tb.alias("tb"))
+    formed = materialize(formed.join(each.select("ma", "mb", "first", "docs"), ["ma", "mb"]), "formed")
+    support = formed.select("ta", "tb", F.explode("docs").alias("k")).distinct().groupBy("ta", "tb").count().where(F.col("count") >= min_docs)
+    keeper = formed.groupBy("ta", "tb").agg(F.min("first").alias("keeper"))
+    known = formed.select("ma", "mb", "ta", "tb").join(support.select("ta", "tb").join(keeper, ["ta", "tb"]), ["ta", "tb"]).select("ma", "mb", "keeper")
+    return read.select("ma", "mb", "k1", "k2", "pos", "doc").join(materialize(known, "templates"), ["ma", "mb"])
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_constant: float = 0.6, exact_docs: int = 2, long_tokens: int = 10) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) without the lines that recur; n_lines and n_dropped are added.
+
+    A line of any length that is in ``min_docs`` rows as it is goes, and in
+    ``exact_docs`` rows if it has ``long_tokens`` tokens or twenty letters of a
+    script without spaces.  So do lines of a template, of at least
+    ``min_tokens`` tokens, ``min_constant`` of them constant and one of these
+    past the leading ones, in ``min_docs`` rows.  Rows of equal id and text
+    count once; tokens are parted by any white space; empty lines stay; the
+    remaining lines stay as they were.  The row of the smallest doc_id keeps
     its copy (a null id counts as the largest; rows of one id keep theirs
-    alike).  Null text stays null with no lines; no rows give no rows.
+    alike).  Null text stays null with no lines; columns named n_lines and
+    n_dropped are replaced; no rows give no rows.
     """
     docs = docs.withColumn("text", F.col("text").cast("string")).drop("n_lines", "n_dropped")
     slim = docs.select("doc_id", "text")
-    dropped, bitmap = recurring_lines(slim, min_docs, min_tokens, min_constant)
-    dropped = materialize(dropped, "dropped")
-    lines = slim.select(*_key(), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), masked_lines(F.col("text")).alias("lines"))
-    lines = _maybe_recurring(lines, min_tokens, bitmap)
-    gone = lines.join(dropped, "line").where(F.col("doc") != F.col("keeper")).groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone"))
+    lines = materialize(_lines(slim, min_tokens, long_tokens), "lines")
+    exact = materialize(_exact(lines, min_docs, exact_docs), "exact")
+    gone = lines.join(exact, ["a", "b"]).where("doc <> keeper").select("k1", "k2", "pos")
+    gone = gone.union(_templates(slim, lines, min_docs, min_tokens, min_constant).where("doc <> keeper").select("k1", "k2", "pos"))
+    gone = materialize(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone")), "gone")
     own = docs.select("*", F.struct(*_key()).alias("_key"))
-    joined = own.join(gone.select(F.struct("k1", "k2").alias("_other"), "_gone"), F.col("_key") == F.col("_other"), "left")
+    changes = _in_bitmap(F.col("_key.k1"), materialize(_bitmap(gone, "k1"), "changed"))
+    joined = own.where(changes).join(gone.select(F.struct("k1", "k2").alias("_other"), "_gone"), F.col("_key") == F.col("_other"), "left").drop("_other")
+    same = own.where(~changes).withColumn("_gone", F.lit(None).cast("array<int>"))
     split = F.split("text", "\n")
     kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.array_size("_gone"), F.lit(0))}
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *[v.cast("long").alias(k) for k, v in counts.items()])
-
-
-ORACLE = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(doc_id, 9223372036854775807) AS doc FROM documents),
-l AS (SELECT r, doc, text, i AS pos, trim(array_to_string(list_transform(string_split(ls[i], ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' '), ' ') AS line
-      FROM (SELECT r, doc, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, doc, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM d))),
-t AS (SELECT *, string_split(line, ' ') AS ws FROM l WHERE len(string_split(line, ' ')) >= 3),
-n AS (SELECT line, any_value(ws) AS ws, count(DISTINCT (doc, text)) AS n_docs, min(doc) AS first FROM t GROUP BY line),
-e AS (SELECT line, n_docs, len(ws) AS n, list_slice(ws, 1, 3) AS head, unnest(range(1, len(ws) + 1)) AS pos, ws FROM n),
-c AS (SELECT n, head, pos, ws[pos] AS token FROM e GROUP BY ALL HAVING sum(n_docs) >= 5),
-m AS (SELECT e.line, e.n, e.pos, CASE WHEN c.token IS NOT NULL AND c.token <> '<*>' THEN c.token ELSE '<*>' END AS token
-      FROM e LEFT JOIN c ON e.n = c.n AND e.head = c.head AND e.pos = c.pos AND e.ws[e.pos] = c.token),
-p AS (SELECT line, n, count(*) FILTER (WHERE token <> '<*>') AS kept, string_agg(token, ' ' ORDER BY pos) AS template FROM m GROUP BY line, n),
-j AS (SELECT p.line, CASE WHEN kept >= least(3, p.n) AND kept >= 0.6 * p.n THEN template ELSE p.line END AS template, n_docs, first FROM p JOIN n USING (line)),
-k AS (SELECT template, min(first) AS keeper FROM j GROUP BY template HAVING sum(n_docs) >= 5),
-g AS (SELECT DISTINCT t.r, t.pos FROM t JOIN j USING (line) JOIN k USING (template) WHERE t.doc <> k.keeper),
-x AS (SELECT r, list(pos) AS gone FROM g GROUP BY r)
+    return joined.unionByName(same).select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *[v.cast("long").alias(k) for k, v in counts.items()])
+
+
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(doc_id, 9223372036854775807) AS doc, hash(doc_id, text) AS k FROM documents),
+s AS (SELECT r, doc, k, string_split(coalesce(text, ''), chr(10)) AS ls FROM d),
+l AS (SELECT * FROM (SELECT r, doc, k, i AS pos, trim(regexp_replace(ls[i], '[\t\x0B\f\r \x{{85}}\p{{Z}}]+', ' ', 'g'), ' ') AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM s)) WHERE line <> ''),
+t AS (SELECT *, string_split(line, ' ') AS ws FROM l),
+e AS (SELECT line, min(doc) AS keeper FROM t GROUP BY line, ws HAVING count(DISTINCT k) >= CASE WHEN len(ws) >= 10 OR regexp_matches(line, '{UNSPACED}') THEN 2 ELSE 5 END),
+m AS (SELECT r, doc, k, pos, list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS ws FROM t WHERE len(ws) >= 3),
+n AS (SELECT ws, list(DISTINCT k) AS ks, min(doc) AS first FROM m GROUP BY ws),
+p AS (SELECT ws, ks, len(ws) AS n, list_slice(ws, 1, 3) AS head, unnest(range(1, len(ws) + 1)) AS pos FROM n),
+c AS (SELECT n, head, pos, token FROM (SELECT n, head, pos, ws[pos] AS token, unnest(ks) AS k FROM p) WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT k) >= 5),
+f AS (SELECT ws, ks, count(c.token) AS kept, count(c.token) FILTER (WHERE p.pos > 3) AS beyond, list(coalesce(c.token, '<*>') ORDER BY p.pos) AS template
+      FROM p LEFT JOIN c ON p.n = c.n AND p.head = c.head AND p.pos = c.pos AND p.ws[p.pos] = c.token GROUP BY ws, ks),
+g AS (SELECT template FROM (SELECT template, unnest(ks) AS k FROM f WHERE kept >= 3 AND kept >= 0.6 * len(ws) AND beyond > 0) GROUP BY template HAVING count(DISTINCT k) >= 5),
+h AS (SELECT f.ws, min(n.first) OVER (PARTITION BY f.template) AS keeper FROM f JOIN g USING (template) JOIN n ON n.ws = f.ws WHERE kept >= 3 AND kept >= 0.6 * len(f.ws) AND beyond > 0),
+x AS (SELECT t.r, t.pos FROM t JOIN e USING (line) WHERE t.doc <> e.keeper UNION SELECT m.r, m.pos FROM m JOIN h USING (ws) WHERE m.doc <> h.keeper),
+y AS (SELECT r, list(pos) AS gone FROM x GROUP BY r)
 SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda s, i: NOT list_contains(gone, i)), chr(10)) END AS text,
        coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped
-FROM d LEFT JOIN x USING (r)
+FROM d LEFT JOIN y USING (r)
 """

@@ -13,7 +13,6 @@ from loomwork.llm.decontamination import contamination
 from loomwork.llm.jaccard_join import jaccard_components
 from loomwork.llm.licenses import license_scan
 from loomwork.llm.packing import pack
-from loomwork.llm.recurring_lines import drop_recurring
 from loomwork.llm.repeats import remove_repeats
 from loomwork.llm.token_counts import token_counts
 from loomwork.llm.toxicity import toxicity
@@ -47,10 +46,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
-def op5_recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_recurring(_documents(spark, sf_dir).select("doc_id", "text"))
-
-
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_documents(spark, sf_dir), host="source")
 
@@ -77,7 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
-    "op5_recurring_lines": op5_recurring_lines,
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_repeats": op8_repeats,

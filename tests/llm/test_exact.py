@@ -241,12 +241,15 @@ def test_secrets(spark):
 def test_weak_parts_need_complements(spark):
     weak, far = "aB3" * 8, " x" * 400
     rows = [(1, weak), (2, f"login: bob99 and {weak}"), (3, f"login: bob99 {far} {weak}"), (4, f"ftp://host/x {weak} login=bobby"), (5, "ftp://host/x login=bobby")]
+    rows += [(6, "see https://example.com/Docs/Page2/IntroductionGuide"), (7, "https://a.b/?login=bobby and " + weak), (8, f"client_id={weak}"), (9, f"{weak} " * 3000 + "login=bobby")]
+    rows += [(10, f"login: bob99 and {weak}")] * 3
     got = {r.doc_id: r for r in secret_spans(table(spark, rows)).collect()}
-    assert [got[k].n_linked for k in (1, 2, 3, 4, 5)] == [0, 2, 0, 3, 0]
+    # A part is no complement of what it overlaps.
+    assert [got[k].n_linked for k in range(1, 11)] == [0, 2, 0, 3, 0, 0, 1, 0, 17, 2]
 
 
 def test_line_templates(spark):
-    rows = [(k, f"User x{k} logged in from host alpha at night\nname bob{'qwerty'[k % 6]} went far away today\nown{'abcdefghijkl'[k]} thing is here alone{k}") for k in range(9)]
+    rows = [(k, f"User x{k} logged in from host alpha at night\nname bob{'qwertyuio'[k]} went far away today\nown{'abcdefghijkl'[k]} thing is here alone{k}") for k in range(9)]
     rows += [(20, None), (21, ""), (None, "a b c\n\nq")]
     got = {r.doc_id: r for r in dedup_lines(table(spark, rows), min_docs=5).collect()}
     assert got[0].n_dropped == 0 and got[0].text == rows[0][1]  # the first keeps its copy

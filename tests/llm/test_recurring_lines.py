@@ -1,6 +1,6 @@
 """Lines that recur as they are or as templates, on planted lines."""
 
-from loomwork.llm.recurring_lines import drop_recurring
+from loomwork.llm.line_dedup import dedup_lines
 
 SCHEMA = "doc_id long, text string, n_lines string"
 
@@ -8,7 +8,7 @@ SCHEMA = "doc_id long, text string, n_lines string"
 def dropped(spark, texts, **settings):
     """Documents that lost each line, by the line."""
     rows = [(k, t, "x") for k, t in enumerate(texts)]
-    got = {r.doc_id: r for r in drop_recurring(spark.createDataFrame(rows, SCHEMA), **settings).collect()}
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, SCHEMA), **settings).collect()}
     assert len(got) == len(rows)
     out = {}
     for k, t, _ in rows:
@@ -49,6 +49,6 @@ def test_templates_need_constant_tokens_and_distinct_documents(spark):
 def test_awkward_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "a b c\n\nq", "x"), (3, "  \n\t\n", "x"), (3, "  \n\t\n", "x")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = drop_recurring(docs, min_docs=2)
+    got = dedup_lines(docs, min_docs=2)
     assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got.collect()) == sorted([("1", None, 0, 0), ("2", "", 1, 0), ("None", "a b c\n\nq", 3, 0), ("3", "  \n\t\n", 3, 0), ("3", "  \n\t\n", 3, 0)])
-    assert drop_recurring(docs.limit(0)).count() == 0
+    assert dedup_lines(docs.limit(0)).count() == 0
