@@ -7,16 +7,21 @@ at equal places, and an anchor stands for the consecutive windows that chose
 it.
 
 1. Each anchor's row has the hash of its 32 leading bytes and a hash of all
-   bytes of its windows.  Leading bytes that occur once cannot repeat; where
-   all bytes agree, all windows repeat.
-2. For leading bytes with differing surroundings, one suffix of each kind (with
-   the bytes before it that its windows need) is range-partitioned by sampled
-   splitters on the leading bytes; a partition is sorted, equal leading bytes
-   meet in it, and windows are compared within each such run.  Equal leading
-   bytes never lie on both sides of a splitter.  Leading bytes of more than HOT
-   rows are not compared in one task: each of their windows becomes a row with
-   the hash of its bytes, and equal hashes are counted by Spark.
-3. The repeated windows of each text are merged and cut out.
+   bytes of its windows.  Leading bytes that occur once cannot repeat; anchors
+   all of whose bytes agree are one kind, and all windows of a kind that occurs
+   twice repeat.
+2. Each kind of leading bytes with several kinds is read once from the texts.
+   Its windows are taken in blocks of STEP.  Two windows can be equal only if
+   the bytes that all windows of their blocks have in common are; blocks that
+   agree in all bytes repeat as a whole.  Both are counted by hashes, and what
+   is left, a few windows at the ends of repeated passages, goes on.
+3. Suffixes at these windows are range-partitioned by sampled splitters on
+   their leading bytes.  A bucket is sorted by multikey quicksort, eight bytes
+   at a time, and neighbours are compared byte by byte; the first and the last
+   suffix of every bucket are compared across the boundaries.  Equal suffixes
+   are ordered by their place, so a splitter may fall between them and no bucket
+   needs all suffixes of one beginning.
+4. The repeated windows of each text are merged and cut out.
 """
 
 from __future__ import annotations
@@ -37,8 +42,8 @@ GRAM = 32
 #: Windows of a text that are handled at once; a cut anchor is settled by comparison.
 SEGMENT = 1 << 20
 _PLACE_BITS = 24
-#: Rows of equal leading bytes that one task may compare.
-HOT = 1_000
+#: Windows of a block; suffixes of a bucket, on average.
+STEP, BUCKET = 16, 100_000
 
 
 class Rolling:
@@ -116,8 +121,17 @@ def _rows(found, keys) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*own, *columns)], ["k1", "k2", "gram", "whole", "at"])
 
 
+def _block_ranges(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, block, least and greatest distance back) of every block of windows of the anchors ``at``."""
+    far, near = at >> 8 & 255, at & 255
+    each = far // STEP - near // STEP + 1
+    row = np.repeat(np.arange(len(at)), each)
+    block = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(near // STEP, each)
+    return row, block, np.maximum(block * STEP, near[row]), np.minimum(block * STEP + STEP - 1, far[row])
+
+
 def _suffixes(length: int, known):
-    """Suffixes with what precedes them, for the texts and places asked for; first, the texts that may be."""
+    """First the texts that may be asked for; then, of those asked for, each kind's bytes and the hashes of its blocks."""
 
     def texts(batches):
         bits = known.value
@@ -125,135 +139,151 @@ def _suffixes(length: int, known):
             keep = pa.array([has_bit(bits, k % (1 << _PLACE_BITS)) for k in batch.column(0).to_pylist()], pa.bool_())
             yield batch.filter(keep)
 
+    def made(keys, copies, ats, pieces) -> pa.RecordBatch:
+        at = np.array(ats, np.int64)
+        size = np.array([len(x) for x in pieces], np.int64)
+        begin = np.cumsum(size) - size
+        row, block, lo, hi = _block_ranges(at)
+        place = (begin + (at >> 8 & 255))[row]  # of the anchor, in the joined pieces
+        rolling = Rolling(b"".join(pieces))
+        mark = np.uint64(BASE)
+        core = rolling.hashes(place - block * STEP, place - block * STEP - STEP + 1 + length)
+        core = mix(core + block.astype(np.uint64) * mark)
+        union = mix(rolling.hashes(place - hi, place - lo + length) + (hi << 8 | lo).astype(np.uint64) * mark)
+        offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(at)))], pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (core, union)]
+        k1, k2 = ([k[i] for k in keys] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(at), pa.array(copies, pa.int64()), pa.array(pieces, pa.binary()), *lists], ["k1", "k2", "at", "copies", "bytes", "cores", "unions"])
+
     def cut(batches):
-        names = ["lead", "gram", "whole", "copies", "hot", "k1", "k2", "at", "bytes"]
-        kinds = [pa.binary(), *[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 3, pa.binary()]
         for batch in batches:
+            rows: tuple[list, ...] = ([], [], [], [])
             for k1, k2, text, asked in zip(*(batch.column(c) for c in ("k1", "k2", "text", "asked"))):
-                data, rows = text.as_py().encode(), []
+                data, key = text.as_py().encode(), (k1.as_py(), k2.as_py())
                 for a in asked.as_py():
-                    at = a["at"]
-                    place, far, near = at >> 16, at >> 8 & 255, at & 255
-                    rows.append((data[place : place + GRAM], a["gram"], a["whole"], a["copies"], a["hot"], k1.as_py(), k2.as_py(), at, data[place - far : place - near + length]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                    place, far, near = a["at"] >> 16, a["at"] >> 8 & 255, a["at"] & 255
+                    for column, value in zip(rows, (key, a["copies"], a["at"], data[place - far : place - near + length])):
+                        column.append(value)
+                    if len(rows[0]) >= 2_000:
+                        yield made(*rows)
+                        rows = ([], [], [], [])
+            if rows[0]:
+                yield made(*rows)
 
     return texts, cut
 
 
-def _window_values(row: dict, length: int) -> np.ndarray:
-    """A hash for each window of a suffix: of its bytes and of the anchor's place in it."""
-    own = Rolling(row["bytes"]).windows(length)
-    back = (row["at"] >> 8 & 255) - np.arange(len(own))
-    return mix(own + back.astype(np.uint64) * np.uint64(BASE))
-
-
 def _windows(length: int):
-    """value, copies, k1, k2, at, start: a row for each window of the suffixes."""
-    names = ["value", "copies", "k1", "k2", "at", "start"]
-
-    def batch_of(rows: list[dict], values: list[np.ndarray]) -> pa.RecordBatch:
-        each = [len(v) for v in values]
-        start = [(r["at"] >> 16) - (r["at"] >> 8 & 255) + np.arange(n) for r, n in zip(rows, each)]
-        own = [np.repeat(np.array([r[c] for r in rows], np.int64), each) for c in ("copies", "k1", "k2", "at")]
-        value = np.concatenate(values).astype(np.int64) if values else np.zeros(0, np.int64)
-        columns = [value, *own, np.concatenate(start) if start else np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+    """bytes, k1, k2, start: a suffix for each window of the blocks asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2_000):
-                rows = batch.slice(k, 2_000).to_pylist()
-                yield batch_of(rows, [_window_values(r, length) for r in rows])
+            for first in range(0, batch.num_rows, 1_000):
+                part = batch.slice(first, 1_000)
+                strings, keys, starts = [], [], []
+                for k1, k2, at, data, blocks in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "at", "bytes", "blocks"))):
+                    place, far, near = at >> 16, at >> 8 & 255, at & 255
+                    for block in blocks:
+                        j = near // STEP + block
+                        for back in range(max(j * STEP, near), min(j * STEP + STEP - 1, far) + 1):
+                            strings.append(data[far - back : far - back + length])
+                            keys.append((k1, k2)), starts.append(place - back)
+                columns = [pa.array(strings, pa.binary()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(starts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["bytes", "k1", "k2", "start"])
 
     return run
 
 
-def _runs(length: int):
-    """Stretches of consecutive windows, from (k1, k2, starts)."""
+def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of a matrix, first column first, and whether each row in it equals the one before.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                starts = np.sort(np.array(row["starts"], np.int64))
-                edge = np.flatnonzero(np.diff(starts) > 1)
-                found += [(row["k1"], row["k2"], int(a), int(b) + length) for a, b in zip(starts[np.r_[0, edge + 1]], starts[np.r_[edge, len(starts) - 1]])]
-            yield _stretches(found)
-
-    return run
-
-
-def _compare(length: int, hot: int):
-    """From suffixes sorted by leading bytes: the repeated stretches of those that have no equal as a whole."""
-
-    def stretches(group: list[dict]) -> list[tuple[int, int, int, int]]:
-        if len(group) > hot:
-            raise ValueError(f"{len(group)} suffixes of equal leading bytes in one task")
-        hashes = [_window_values(row, length) for row in group]
-        _, inverse, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        twice = counts[inverse] > 1
-        out, at = [], 0
-        for row, own in zip(group, hashes):
-            hit = twice[at : at + len(own)]
-            at += len(own)
-            if row["copies"] == 1 and hit.any():
-                edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                first = (row["at"] >> 16) - (row["at"] >> 8 & 255)
-                out += [(row["k1"], row["k2"], first + int(a), first + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2])]
-        return out
+    Multikey quicksort, level by level: rows that agree so far are sorted by
+    the next column, and rows that have become single are left where they are.
+    """
+    n = len(words)
+    order, equal = np.argsort(words[:, 0], kind="stable"), np.zeros(n, bool)
+    equal[1:] = words[order[1:], 0] == words[order[:-1], 0]
+    for k in range(1, words.shape[1]):
+        tied = np.flatnonzero(equal | np.r_[equal[1:], False])
+        if not len(tied):
+            break
+        group = np.cumsum(~equal[tied])
+        own = order[tied]
+        turn = np.lexsort((words[own, k], group))
+        order[tied] = own[turn]
+        value = words[order[tied], k]
+        equal[tied[1:]] &= (value[1:] == value[:-1]) & (group[1:] == group[:-1])
+    return order, equal
+
+
+def _neighbours(length: int):
+    """A bucket's repeated suffixes (k1, k2, start), and its first and last suffix with their bytes."""
+    names = ["k1", "k2", "start", "edge"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                if held and row["gram"] != held[0]["gram"]:
-                    found += stretches(held)
-                    held = []
-                held.append(row)
-            yield _stretches(found)
-        yield _stretches(stretches(held) if held else [])
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        column = table["bytes"].chunk(0)
+        n = len(column)
+        flat = np.frombuffer(column.buffers()[2], np.uint8, n * length, int(np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0]))
+        wide = np.zeros((n, -(-length // 8) * 8), np.uint8)
+        wide[:, :length] = flat.reshape(n, length)
+        order, equal = multikey_order(wide.view(">u8").astype(np.uint64))
+        hit = order[equal | np.r_[equal[1:], False]]
+        edges = order[[0, -1]] if n > 1 else order
+        own = table.select(["k1", "k2", "start"])
+        for at, edge in ((hit, pa.nulls(len(hit), pa.binary())), (edges, column.take(pa.array(edges)))):
+            part = own.take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(pa.array(part[c].to_numpy(), pa.int64()) for c in names[:3]), edge], names)
 
     return run
 
 
-def _stretches(found) -> pa.RecordBatch:
-    columns = list(zip(*found)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "start", "stop"])
-
-
-def repeated_windows(suffixes: DataFrame, length: int) -> DataFrame:
-    """k1, k2, start, stop of the windows of ``suffixes`` that another one has too; no task needs all of a gram."""
-    windows = suffixes.mapInArrow(_windows(length), "value long, copies long, k1 long, k2 long, at long, start long")
-    windows = materialize(windows, "windows")
-    twice = materialize(windows.groupBy("value").count().where("count > 1").select("value"), "twice")
-    hits = windows.where("copies = 1").join(twice, "value").groupBy("k1", "k2", "at").agg(F.collect_list("start").alias("starts"))
-    return hits.select("k1", "k2", "starts").mapInArrow(_runs(length), "k1 long, k2 long, start long, stop long")
+def repeated_suffixes(suffixes: DataFrame, length: int) -> DataFrame:
+    """k1, k2, start of the suffixes (bytes, k1, k2, start) whose ``length`` bytes another one has too."""
+    buckets = suffixes.count() // BUCKET + 1
+    ranged = suffixes.repartitionByRange(buckets, "bytes", "k1", "k2", "start")
+    found = materialize(ranged.mapInArrow(_neighbours(length), "k1 long, k2 long, start long, edge binary"), "neighbours")
+    edges = found.where("edge is not null").groupBy("edge").agg(F.collect_set(F.struct("k1", "k2", "start")).alias("own")).where(F.size("own") > 1)
+    return found.where("edge is null").select("k1", "k2", "start").union(edges.select(F.inline("own")))
 
 
-def repeated_stretches(texts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
+def repeated_stretches(texts: DataFrame, length: int) -> DataFrame:
     """k1, k2, start, stop: bytes of a text (by its keys) covered by strings that start elsewhere too."""
     spark = texts.sparkSession
     rows = materialize(texts.mapInArrow(_anchor_rows(length), "k1 long, k2 long, gram long, whole long, at long"), "anchors")
     groups = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).where("n > 1")
     groups = materialize(groups, "grams")  # a join of two plain shuffles can split a hot gram
-    shared = materialize(rows.join(groups.select("gram", (F.col("least") != F.col("most")).alias("differ"), (F.col("n") > hot).alias("hot")), "gram"), "shared")
+    shared = materialize(rows.join(groups.select("gram", (F.col("least") != F.col("most")).alias("differ")), "gram"), "shared")
     differ = shared.where("differ")
-    kinds = differ.groupBy("gram", "whole", "hot").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
+    kinds = differ.groupBy("gram", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "at")).alias("one"))
     kinds = materialize(kinds, "kinds")
     alike = differ.join(kinds.where("copies > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
     place, far, near = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255), F.col("at").bitwiseAND(255)
     full = shared.where("not differ").select("k1", "k2", "at").union(alike.select("k1", "k2", "at")).select("k1", "k2", (place - far).alias("start"), (place - near + length).alias("stop"))
-    asked = kinds.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("gram", "whole", "copies", "hot", F.col("one.at").alias("at"))).alias("asked"))
+    asked = kinds.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("copies", F.col("one.at").alias("at"))).alias("asked"))
     asked = materialize(asked, "asked")
     known = spark.sparkContext.broadcast(bitmap(asked.select(F.pmod("k1", F.lit(1 << _PLACE_BITS)).alias("place")), _PLACE_BITS))
     maybe, cut = _suffixes(length, known)
     own = texts.mapInArrow(maybe, "k1 long, k2 long, text string").dropDuplicates(["k1", "k2"]).join(asked, ["k1", "k2"])
-    suffixes = own.mapInArrow(cut, "lead binary, gram long, whole long, copies long, hot boolean, k1 long, k2 long, at long, bytes binary")
-    suffixes = materialize(suffixes, "suffixes")  # repartitionByRange reads its input twice, first for the splitters
-    full = full.union(repeated_windows(suffixes.where("hot"), length))
-    ranged = suffixes.where("not hot").repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram")
-    return full.union(ranged.mapInArrow(_compare(length, hot), "k1 long, k2 long, start long, stop long"))
+    own = materialize(own.mapInArrow(cut, "k1 long, k2 long, at long, copies long, bytes binary, cores array<long>, unions array<long>"), "pieces")
+    each = own.select("k1", "k2", "at", "copies", F.posexplode(F.arrays_zip("cores", "unions")).alias("block", "b")).select("k1", "k2", "at", "copies", "block", F.col("b.cores").alias("core"), F.col("b.unions").alias("union"))
+    cores = each.groupBy("core").agg(F.count("*").alias("n"), F.min("union").alias("least"), F.max("union").alias("most")).where("n > 1")
+    cores = materialize(cores.select("core", (F.col("least") != F.col("most")).alias("open")), "cores")
+    blocks = materialize(each.join(cores, "core"), "blocks")
+    twice = materialize(blocks.groupBy("union").count().where("count > 1").select("union"), "unions")
+    j = F.floor(near / STEP) + F.col("block")
+    lo, hi = F.greatest(j * STEP, near), F.least(j * STEP + STEP - 1, far)
+    whole = blocks.where("copies = 1").join(twice, "union", "left_semi").select("k1", "k2", (place - hi).alias("start"), (place - lo + length).alias("stop"))
+    # Blocks that agree in all bytes are compared by one of them.
+    units = blocks.where("open").groupBy("core", "union").agg(F.min(F.struct("k1", "k2", "at", "block")).alias("one"))
+    units = materialize(units.groupBy("one.k1", "one.k2", "one.at").agg(F.collect_list("one.block").alias("blocks")), "units")
+    parts = materialize(own.select("k1", "k2", "at", "bytes").join(units, ["k1", "k2", "at"]), "parts")
+    suffixes = parts.mapInArrow(_windows(length), "bytes binary, k1 long, k2 long, start long")
+    single = repeated_suffixes(suffixes, length).select("k1", "k2", "start", (F.col("start") + length).alias("stop"))
+    return full.union(whole).union(single)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,21 +313,21 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, kinds)], names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) without the bytes inside strings of ``length`` bytes that start twice.
 
     Columns: doc_id, text (binary: a cut may fall inside a character), n_bytes,
     n_removed, n_spans, kept_sha256.  Texts below ``length`` bytes keep all;
     equal texts of at least that lose all; null text counts as empty; a null
     doc_id is kept; other columns are ignored; no rows give no rows.  Strings
-    are equal when 64-bit hashes of their bytes agree.  Leading bytes of more
-    than ``hot`` rows are compared by Spark, not in one task; the result is the same.
+    count as equal when their bytes are, or 64-bit hashes of longer strings
+    around them.
     """
     if not GRAM < length <= GRAM + 255:
         raise ValueError(f"length must be {GRAM + 1} to {GRAM + 255}")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys(text), text.alias("text"))
-    found = repeated_stretches(keyed.select("k1", "k2", "text"), length, hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = repeated_stretches(keyed.select("k1", "k2", "text"), length).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = materialize(found.select("k1", "k2", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")), "spans")
     joined = keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "starts", "stops")
     return joined.mapInArrow(_cut_out, "doc_id long, text binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loomwork.llm import queries
+from loomwork.llm import queries, repeats
 from loomwork.llm.jaccard_join import jaccard_components, one_of_each
 from loomwork.llm.line_dedup import dedup_lines
 from loomwork.llm.packing import pack
@@ -185,21 +185,29 @@ def test_repeats(spark):
     assert remove_repeats(table(spark, rows).limit(0)).count() == 0
 
 
-def test_repeats_of_a_hot_phrase(spark):
+def test_repeats_of_a_hot_phrase(spark, monkeypatch):
     rng = random.Random(13)
     own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     phrase, shared = own(150), [own(90) for _ in range(3)]
     rows = [(k, own(rng.randint(100, 300)) + phrase + own(rng.randint(100, 300))) for k in range(60)]
     rows += [(100 + k, own(120) + shared[k % 3] + phrase + shared[(k + 1) % 3] + own(120)) for k in range(5)]
     rows += [rows[0], (200, rows[1][1])]
-    for hot in (1_000, 4):  # in one task, or by Spark: no task may then compare five
-        got = remove_repeats(table(spark, rows).repartition(5), hot=hot).collect()
-        assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
+    monkeypatch.setattr(repeats, "BUCKET", 50)  # a splitter falls between equal suffixes
+    got = remove_repeats(table(spark, rows).repartition(5)).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows)
 
 
-def test_repeats_across_segments(spark, monkeypatch):
-    from loomwork.llm import repeats
+def test_multikey_order():
+    rng = np.random.default_rng(3)
+    for n, width, values in ((0, 2, 3), (1, 3, 2), (500, 4, 3), (300, 1, 9), (400, 3, 1)):
+        words = rng.integers(0, values, (n, width)).astype(np.uint64)
+        order, equal = repeats.multikey_order(words)
+        got = [tuple(words[k]) for k in order]
+        assert sorted(order) == list(range(n)) and got == sorted(got)
+        assert equal.tolist() == [k > 0 and got[k] == got[k - 1] for k in range(n)]
 
+
+def test_repeats_across_segments(spark, monkeypatch):
     rng = random.Random(4)
     shared = "".join(rng.choice("abcdefgh") for _ in range(900))
     data = ["".join(rng.choice("abcdefgh") for _ in range(700)) + shared, shared + "tail", shared[100:600]]
