@@ -4,9 +4,9 @@ Each document slides a window of each item's length over its words.  A window
 can reach the wanted similarity only if enough of its shingles are shingles of
 some item at all, so prefix sums over such hits drop the other windows before
 anything is fingerprinted.  The rest get a SimHash; the items' fingerprints are
-indexed by ``radius + 1`` blocks of bits, of which any fingerprint within the
-radius shares at least one; candidates within the radius are verified by
-weighted Jaccard similarity of their shingle sets.
+indexed by blocks of bits, of which any fingerprint within the radius is near
+on at least one; candidates within the radius are verified by weighted Jaccard
+similarity of their shingle sets.
 
 Items are handed to tasks in blocks of bounded size, so a benchmark of any
 number of items is searched by several passes and never broadcast whole.
@@ -24,56 +24,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.shingles import WORDS, distinct, mix, shingle_hashes, word_hashes
+from loomwork.plans.storage import materialize
 
-BITS = 64
-#: Two windows at weighted similarity 0.8 differ in about 10 of 64 bits, with a deviation of 3.
-RADIUS = 20
+#: 22 blocks of 16 bits.  Windows at weighted similarity 0.8 differ in about 53 bits, with a deviation of 7;
+#: random ones in 176.  A radius of 65 makes two blocks in a pair differ by at most 2 bits.
+BLOCK, BITS, RADIUS = 16, 352, 65
 #: Items, and characters of items, that one pass may broadcast.
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 4_000
 BLOCK_CHARS = 16_000_000
+#: Windows that are fingerprinted at once, and the stretch of words that they may lie in besides their own length.
+WINDOWS, STRETCH = 4_096, 8_192
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 per shingle and bit."""
-    bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    words = np.stack([mix(shingles + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(-(-BITS // 64))], axis=1)
+    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(shingles), -1), axis=1, bitorder="little", count=BITS)
     return bits.astype(np.int8) * 2 - 1
 
 
 def fingerprint(sums: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of rows of weighted sums per bit."""
-    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
+    """SimHash of rows of weighted sums per bit, as rows of BITS / BLOCK numbers."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u2")
 
 
 class HammingIndex:
     """Finds every stored fingerprint of equal label within ``radius`` of a query by blocks of bits.
 
-    Two fingerprints that differ in at most ``radius`` bits agree on one of
-    ``radius + 1`` blocks, so looking each block up misses none.
+    Two fingerprints that differ in at most ``radius`` bits differ in at most
+    ``radius // blocks`` on one of the blocks.  Each stored block is entered
+    under every value that near to it, so looking each block up once misses none.
     """
 
-    def __init__(self, prints: np.ndarray, labels: np.ndarray, radius: int):
-        self.prints, self.radius = prints, radius
-        cuts = np.linspace(0, BITS, radius + 2).round().astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(min(b - a, 32))) - 1)) for a, b in zip(cuts, cuts[1:]) if b > a]
+    def __init__(self, prints: np.ndarray, labels: np.ndarray, radius: int = RADIUS):
+        self.prints, self.labels, self.radius = prints, labels, radius
+        near = radius // (BITS // BLOCK)
+        values = np.arange(1 << BLOCK, dtype=np.uint16)
+        masks = values[np.bitwise_count(values) <= near]
         self.tables = []
-        for shift, mask in self.blocks:
-            keys = (prints >> shift) & mask | labels.astype(np.uint64) << np.uint64(32)
+        for k in range(BITS // BLOCK):
+            keys = (prints[:, k, None] ^ masks).ravel()
             order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], order))
+            starts = np.searchsorted(keys[order], np.arange((1 << BLOCK) + 1)).astype(np.int32)
+            self.tables.append((starts, (order // len(masks)).astype(np.int32)))
+
+    def candidates(self, queries: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, stored) of equal label that some block brings together."""
+        found = []
+        for k, (starts, stored) in enumerate(self.tables):
+            a = starts[queries[:, k]]
+            n = starts[queries[:, k].astype(np.int64) + 1] - a
+            at = np.repeat(np.arange(len(queries)), n)
+            item = stored[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)]
+            own = labels[at] == self.labels[item]
+            found.append(at[own].astype(np.int64) * len(self.prints) + item[own])
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
 
     def search(self, queries: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, stored) of equal label within the radius."""
-        found, labels = [], labels.astype(np.uint64) << np.uint64(32)
-        for (shift, mask), (keys, order) in zip(self.blocks, self.tables):
-            asked = (queries >> shift) & mask | labels
-            a, b = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
-            n = b - a
-            at = np.repeat(np.arange(len(queries)), n)
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-            found.append(at.astype(np.int64) * len(self.prints) + order[place])
-        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        at, item = pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
-        near = np.bitwise_count(queries[at] ^ self.prints[item]) <= self.radius
+        at, item = self.candidates(queries, labels)
+        near = np.bitwise_count(queries[at] ^ self.prints[item]).sum(axis=1) <= self.radius
         return at[near], item[near]
 
 
@@ -93,8 +104,8 @@ class Benchmark:
         self.weights = 1 / (1 + np.log([counts[h] for h in self.known.tolist()]))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.known >> np.uint64(44)] = True
-        prints = [fingerprint((signs(mix(own)) * self.weigh(own)[:, None]).sum(axis=0, keepdims=True)) for own in self.sets]
-        self.index = HammingIndex(np.concatenate(prints) if prints else np.zeros(0, np.uint64), np.array(self.lengths, np.int64), radius)
+        prints = [fingerprint((signs(own) * self.weigh(own)[:, None]).sum(axis=0, keepdims=True)) for own in self.sets]
+        self.index = HammingIndex(np.concatenate(prints) if prints else np.zeros((0, BITS // BLOCK), np.uint16), np.array(self.lengths, np.int64), radius)
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, shingles), max(0, len(self.known) - 1))
@@ -139,12 +150,17 @@ class Benchmark:
             starts = starts[shared[starts + span] - shared[starts] + 1e-9 >= self.threshold * least]
             first.append(starts), spans.append(np.full(len(starts), span)), sizes.append(np.full(len(starts), n))
         first, spans, sizes = np.concatenate(first), np.concatenate(spans), np.concatenate(sizes)
-        for k in range(0, len(first), 4096):
-            self._verify(shingles, weights, first[k : k + 4096], spans[k : k + 4096], sizes[k : k + 4096], best)
+        order = np.argsort(first, kind="stable")
+        first, spans, sizes = first[order], spans[order], sizes[order]
+        k = 0
+        while k < len(first):
+            end = min(k + WINDOWS, int(np.searchsorted(first, first[k] + STRETCH, "right")))
+            self._verify(shingles, weights, first[k:end], spans[k:end], sizes[k:end], best)
+            k = end
 
     def _verify(self, shingles, weights, first, spans, sizes, best) -> None:
         low, high = int(first.min()), int((first + spans).max())
-        sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs(mix(shingles[low:high])) * weights[low:high, None], axis=0)])
+        sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(signs(shingles[low:high]) * weights[low:high, None], axis=0)])
         prints = fingerprint(sums[first - low + spans] - sums[first - low])
         query, stored = self.index.search(prints, sizes)
         for q, k in zip(query.tolist(), stored.tolist()):
@@ -196,5 +212,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     for k, n in item_blocks(items):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         known = docs.sparkSession.sparkContext.broadcast(Benchmark([(r["item_id"], r["text"]) for r in block], threshold, radius))
-        found.append(slim.mapInArrow(_search(known), "doc_id long, item_id long, similarity double, first_word long, n_words long"))
+        part = slim.mapInArrow(_search(known), "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        if n > 1:  # one block after the other, so that the driver never holds two
+            part = materialize(part, "contamination")
+            known.destroy()
+        found.append(part)
     return reduce(DataFrame.unionByName, found)
