@@ -59,7 +59,7 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(_documents(spark, sf_dir))
+    return license_scan(_documents(spark, sf_dir), unknown=True)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
