@@ -6,18 +6,19 @@ one of the other's among its first ``n - ceil(t n) + 1``: its prefix.  The
 order puts frequent shingles last, so a passage that many documents share is
 in the prefix only of documents that consist of little else.
 
-1. Two passes count prefix shingles and name the frequent ones.
-2. A third writes each document's class and prefix.  Classes that share an
-   infrequent prefix shingle are a small group: every member is compared with
-   the group's leader, and members of different components with one another.
-3. Classes whose prefix reaches frequent shingles are families of near copies.
-   They are compared with the leaders of their shingles first.  What is then
-   in different components goes through the matrix: members are partitioned
-   into groups of bounded size, (shingle, group) rows state each group's prefix
-   union, a query meets the groups it shares one with, and a group is opened
-   only if its whole union covers enough of the query to allow a link.
-
-No step builds all pairs of a group, and a hot shingle is summed before it is
+1. Two passes count prefix shingles and name the frequent ones; a third writes
+   each document's class and prefix.
+2. Every shared shingle has a leader, and classes are compared with their
+   leaders first.  That makes components of most families of near copies, in a
+   number of comparisons that grows with the classes and not with their square.
+3. What is still apart goes through the matrix, whatever its shingles: classes
+   that share shingles with other components are partitioned into groups of
+   similar sizes and a bounded number of shingles.  (shingle, group) rows state
+   each group's prefix union; the rows that a query meets are summed per group;
+   and a group is opened only if the sum reaches the overlap that the sizes
+   require.  Members of an opened group are found through its shingles.
+
+No step builds the pairs of a group, and a hot shingle is summed before it is
 shuffled or split over groups.
 """
 
@@ -27,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.bitmap import bitmap, has_bit
+from loomwork.llm.bitmap import in_bitmap, plan_bitmap
 from loomwork.llm.shingles import distinct, mix, shingle_hashes, word_hashes
 from loomwork.operators.components import connected_components
 from loomwork.plans.storage import materialize, small_side
@@ -39,9 +39,8 @@ from loomwork.plans.storage import materialize, small_side
 #: A shingle in more prefixes than this is frequent, or than the least power of two that leaves at most MOST_FREQUENT.
 FREQUENT = 64
 MOST_FREQUENT = 1 << 21
-#: Classes of a matrix group, and the size from which a component has groups of its own.
-GROUP, LARGE = 512, 64
-_BITS = 24
+#: Classes and shingles of a matrix group, and the size from which a component has groups of its own.
+GROUP, GROUP_SHINGLES, LARGE = 512, 1 << 20, 64
 
 
 def needed(n: int, percent: int) -> int:
@@ -182,39 +181,17 @@ def shared_needed(n: int, m: int, percent: int) -> int:
     return overlap - (max(n, m) - needed(max(n, m), percent))
 
 
-def _across(percent: int):
-    """From rows (token, cid, n, leader, root, heavy) sorted by token: pairs of different components, leaders aside.
+def least_shared(n: Column, least: Column, most: Column, percent: int) -> Column:
+    """A bound from below on ``shared_needed`` of a set of n and any of ``least`` to ``most``; null where no size fits."""
+    up = lambda x, y: F.ceil(x / y)
 
-    ``least`` is how often the pair must turn up; pairs that also share
-    frequent shingles of their prefixes need not.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
-
-        def pairs():
-            for k, (a, n, ra, ha) in enumerate(held):
-                for b, m, rb, hb in held[:k]:
-                    if ra != rb and (least := shared_needed(n, m, percent)) < n + m:
-                        yield min(a, b), max(a, b), 1 if ha and hb else max(1, least)
-
-        def out(found):
-            columns = list(zip(*found)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v", "least"])
-
-        for batch in batches:
-            found: list[tuple] = []
-            for token, cid, n, leader, root, heavy in zip(*(batch.column(c).to_pylist() for c in ("token", "cid", "n", "leader", "root", "heavy"))):
-                if token != last:
-                    found += pairs()
-                    held, last = [], token
-                if cid != leader:
-                    held.append((cid, n, root, heavy))
-            yield out(found)
-        yield out(list(pairs()))
+    def at(m: Column) -> Column:
+        larger = F.greatest(n, m)
+        return up(percent * (n + m), F.lit(100 + percent)) - up(percent * larger, F.lit(100)) + 1
 
-    return run
+    low, high = F.greatest(least, up(percent * n, F.lit(100))), F.least(most, F.floor(100 * n / percent))
+    # It rises up to m = n and falls from there, but for steps of one.
+    return F.when(low <= high, F.greatest(F.lit(1), F.least(at(low), at(high)) - 1))
 
 
 def promising(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -242,46 +219,29 @@ def _pairs(found) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
 
-def _place(cid: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    return mix(cid.astype(np.uint64) * np.uint64(3) + doc_id.astype(np.uint64)) >> np.uint64(64 - _BITS)
-
-
-def _wanted(known):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = known.value
-        for batch in batches:
-            ids = [i or 0 for i in batch.column(0).to_pylist()]
-            classes, sets, size = [], [], 0
-            for doc_id, text in zip(ids, batch.column(1)):
-                own = _set(text.as_py() or "")
-                if not len(own):
-                    continue
-                cid = class_id(own)
-                if has_bit(bits, int(_place(np.array([cid]), np.array([doc_id]))[0])):
-                    classes.append(cid), sets.append(own.tobytes())
-                    size += 8 * len(own)
-                if size > 16_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["cid", "tokens"])
-                    classes, sets, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["cid", "tokens"])
-
-    return run
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["cid", "tokens"]
+    for batch in batches:
+        classes, sets, size = [], [], 0
+        for text in batch.column(0):
+            own = _set(text.as_py() or "")
+            if len(own):
+                classes.append(class_id(own)), sets.append(own.tobytes())
+                size += 8 * len(own)
+            if size > 16_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names)
+                classes, sets, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names)
 
 
 def shingle_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame) -> DataFrame:
     """cid, tokens (sorted 64-bit shingles) of the classes in ``cids``, from one document of each.
 
-    The text pass keeps what a bitmap of fixed size may contain, a join the rest.
+    Texts that a bitmap of fixed size excludes are not hashed again.
     """
-    wanted = materialize(classes.join(cids.distinct(), "cid").select("cid", "doc_id"), "wanted")
-
-    def places(batches):
-        for batch in batches:
-            doc_id = batch.column("doc_id").fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_place(batch.column("cid").to_numpy(), doc_id).astype(np.int64))], ["place"])
-
-    bits = bitmap(wanted.mapInArrow(places, "place long"), _BITS)
-    sets = docs.mapInArrow(_wanted(docs.sparkSession.sparkContext.broadcast(bits)), "cid long, tokens binary")
+    wanted = materialize(classes.join(cids.distinct(), "cid").select("cid", "one.k1"), "wanted")
+    bits = materialize(plan_bitmap(wanted, "k1"), "bits")
+    sets = docs.where(in_bitmap(F.xxhash64("doc_id", "text"), bits)).select("text").mapInArrow(_sets, "cid long, tokens binary")
     return materialize(sets.join(small_side(wanted.select("cid")), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
 
@@ -333,35 +293,56 @@ def _opened(percent: int):
     return run
 
 
-def family_meetings(heavy: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """token, cid, n, heavy, root of the shared shingles that classes of two components or more have.
+
+    ``shared``: token, cid, n, heavy of shingles in three prefixes or more (of
+    two, one is the leader, and they have been compared).  Pairs that have not
+    been compared have all the shingles that they share among these.
+    """
+    rooted = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = materialize(rooted, "rooted")
+    apart = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+    return materialize(rooted.join(small_side(materialize(apart, "apart")), "token", "left_semi"), "unsettled")
+
+
+def matrix_meetings(rows: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members, queries) of the groups to open, by (group, share): rows of cid and root.
 
-    ``heavy``: token, cid rows of frequent prefix shingles.  Large components
-    have groups of their own and are not queried by themselves: the smaller
-    side of any two components asks, members of small ones ask everywhere.
+    ``rows``: of ``unsettled``.  Large components have groups of their own and
+    are not queried by themselves: the smaller side of any two components
+    asks, members of small ones ask everywhere.
     """
-    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
-    placed = heavy.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1)))
-    first = placed.groupBy("cid", "root", "members").agg(F.min("token").alias("key"))
-    own = first.withColumn("own", F.when(F.col("members") > LARGE, F.col("root")))
-    counts = own.groupBy(F.col("key").alias("_key"), F.col("own").alias("_own")).agg(F.count("*").alias("n"))
-    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("own").eqNullSafe(F.col("_own"))
-    grouped = own.join(counts, same).select("cid", "root", "members", "own", F.xxhash64("key", "own", F.pmod(F.xxhash64("cid"), F.ceil(F.col("n") / GROUP))).alias("group"))
+    sizes = materialize(roots.groupBy("root").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.12)))
+    key = F.coalesce(F.min(F.when(F.col("heavy"), F.col("token"))), F.min("token"))  # families of near copies share their least frequent shingle
+    first = rows.groupBy("cid", "root", "n").agg(key.alias("key")).join(small_side(sizes), "root", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    own = materialize(first.withColumns({"own": F.when(F.col("members") > LARGE, F.col("root")), "band": band}), "own")
+    counts = own.groupBy(F.col("key").alias("_key"), F.col("own").alias("_own"), F.col("band").alias("_band")).agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    counts = counts.withColumn("parts", F.greatest(F.ceil(F.col("classes") / GROUP), F.ceil(F.col("shingles") / GROUP_SHINGLES)))
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("own").eqNullSafe(F.col("_own")) & F.col("band").eqNullSafe(F.col("_band"))
+    grouped = own.join(small_side(materialize(counts, "counts")), same).select("cid", "root", "n", "members", "own", F.xxhash64("key", "own", "band", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("group"))
     grouped = materialize(grouped, "groups")
+    limits = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("own").alias("own"), F.max("members").alias("weight"), F.min("root").alias("one"), F.max("root").alias("other"))
+    limits = materialize(limits, "limits")
+    matrix = materialize(rows.select("token", "cid").join(grouped.select("cid", "group"), "cid").select("token", "group").distinct().join(small_side(limits), "group"), "matrix")
+    asking = rows.select("token", "cid", "root", "n").join(grouped.select("cid", "members"), "cid")
     # A group of classes of one component only has nothing to say to a query of that component.
-    matrix = heavy.join(grouped.select("cid", "group", "own", F.when(F.col("own").isNotNull(), F.col("members")).alias("weight")), "cid").select("token", "group", "own", "weight").distinct()
-    asking = heavy.join(grouped.select("cid", "root", "members"), "cid")
+    open_to = (F.col("one") != F.col("other")) | (F.col("one") != F.col("root"))
     mixed = F.col("own").isNull() & (F.col("members") <= LARGE)
     larger = F.col("own").isNotNull() & (F.struct("members", "root") < F.struct(F.col("weight").alias("members"), F.col("own").alias("root")))
-    met = asking.join(matrix, "token").where(mixed | larger).select("cid", "root", "group").distinct()
-    met = materialize(met, "met")
-    asked = met.groupBy("group").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / (8 * GROUP)))
-    queries = met.join(asked.select("group", "shares"), "group").select("group", "cid", "root", F.pmod(F.xxhash64("cid"), F.col("shares")).alias("share"))
-    members = grouped.join(asked.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")), "group").select("group", "cid", "root", "share")
+    needed_ = least_shared(F.col("n"), F.col("least"), F.col("most"), percent)
+    met = asking.join(matrix, "token").where(open_to & (mixed | larger) & needed_.isNotNull())
+    met = met.groupBy("cid", "root", "n", "group", "least", "most").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed_)
+    met = materialize(met.select("cid", "root", "n", "group"), "met")
+    asked = met.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / (8 * GROUP)), F.ceil(F.sum("n") / (4 * GROUP_SHINGLES))).alias("shares"))
+    asked = materialize(asked, "asked")
+    queries = met.join(small_side(asked), "group").select("group", "cid", "root", F.pmod(F.xxhash64("cid"), F.col("shares")).alias("share"))
+    members = grouped.join(small_side(asked), "group").select("group", "cid", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
     return materialize(members, "members"), materialize(queries, "queries")
 
 
-def family_links(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def group_links(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between queries and members of the groups that they meet."""
     left = members.join(sets, "cid")
     right = queries.join(sets, "cid").select(*[F.col(c).alias(c) for c in ("group", "share", "cid", "root", "tokens")])  # columns of their own
@@ -402,30 +383,27 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(slim.select("text"), percent))
     rows = materialize(slim.select("doc_id", *_keys(), "text").mapInArrow(_prefixes(percent, frequent), "doc_id long, k1 long, k2 long, n_shingles long, cid long, light array<long>, heavy array<long>"), "prefixes")
-    classes = materialize(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("k1", "k2")).alias("one"))
+    classes = materialize(classes, "classes")
     light = rows.select(F.explode("light").alias("token"), "cid", F.col("n_shingles").alias("n")).repartition("token").sortWithinPartitions("token", "cid")
     light = materialize(light.mapInArrow(_groups, "token long, cid long, n long, leader long, size long"), "light")
-    heavy = rows.select(F.explode("heavy").alias("token"), "cid").groupBy("token", "cid").agg(F.count("*").alias("copies"))
+    heavy = rows.select(F.explode("heavy").alias("token"), "cid", F.col("n_shingles").alias("n")).groupBy("token", "cid", "n").agg(F.count("*").alias("copies"))
     heavy = materialize(heavy, "heavy")
     leaders = materialize(heavy.groupBy("token").agg(F.max_by("cid", F.struct("copies", -F.col("cid"))).alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
-    stars = light.select("cid", "leader").union(heavy.join(leaders, "token").select("cid", "leader")).where("cid <> leader")
+    led = materialize(heavy.join(small_side(leaders), "token"), "led")
+    stars = light.select("cid", "leader").union(led.select("cid", "leader")).where("cid <> leader")
     stars = materialize(stars.select(F.least("cid", "leader").alias("u"), F.greatest("cid", "leader").alias("v")).distinct(), "pairs")
-    ends = lambda pairs: pairs.select(F.col("u").alias("cid")).union(pairs.select("v"))
     near = promising(stars, rows, percent)
-    links = verified(near, shingle_sets(slim, classes, ends(near)), percent)
+    ends = near.select(F.col("u").alias("cid")).union(near.select("v"))
+    links = verified(near, shingle_sets(slim, classes, ends), percent)
     roots = materialize(connected_components(links), "roots")
-    rooted = light.where("size > 2").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rooted = rooted.join(heavy.select("cid", F.lit(True).alias("heavy")).distinct(), "cid", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    across = rooted.repartition("token").sortWithinPartitions("token").mapInArrow(_across(percent), "u long, v long, least long")
-    across = across.groupBy("u", "v").agg(F.count("*").alias("shared"), F.max("least").alias("least")).where("shared >= least")
-    across = promising(materialize(across.select("u", "v").join(stars, ["u", "v"], "left_anti"), "pairs"), rows, percent)
-    members, queries = family_meetings(heavy.select("token", "cid"), roots)
-    cids = ends(across).union(members.select("cid")).union(queries.select("cid"))
-    if cids.take(1):
-        sets = shingle_sets(slim, classes, cids)
-        links = links.union(verified(across, sets, percent)).union(family_links(members, queries, sets, percent))
+    shared = light.where("size > 2").select("token", "cid", "n", F.lit(False).alias("heavy")).union(led.where("size > 2").select("token", "cid", "n", F.lit(True).alias("heavy")))
+    members, queries = matrix_meetings(unsettled(shared, roots), roots, percent)
+    if queries.take(1):
+        sets = shingle_sets(slim, classes, members.select("cid").union(queries.select("cid")))
+        links = links.union(group_links(members, queries, sets, percent))
         roots = connected_components(links)
-    named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root")), "named")
+    names = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "names")
     component = named.join(names, "root").select("cid", "component_id")
     return rows.join(component, "cid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k1", "k2")

@@ -23,12 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.llm.bitmap import in_bitmap, plan_bitmap
 from loomwork.plans.storage import materialize
 
 MASK = "<*>"
 LEADING = 3
-#: Bits of a bitmap: 512 KB, whatever the number of entries.
-BITMAP = 1 << 22
 _NO_ID = (1 << 63) - 1
 #: White space but the line feed, and the characters that make a look at it worthwhile.
 BLANKS = r"[\t\x0B\f\r \x{85}\p{Z}]+"
@@ -70,21 +69,6 @@ def _two(*of: Column | str) -> list[Column]:
     return [F.xxhash64(*of), F.xxhash64(F.lit(7), *of)]
 
 
-def _bitmap(entries: DataFrame, column: str) -> DataFrame:
-    """One row, one array of BITMAP / 64 longs, with the bits of a column of hashes set."""
-    bit = F.pmod(column, F.lit(BITMAP))
-    words = entries.groupBy(F.floor(bit / 64).cast("long").alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {BITMAP}) % 64 as int))")).alias("bits"))
-    dense = entries.sparkSession.range(BITMAP // 64).join(words, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    ordered = dense.agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("all"))
-    return ordered.select(F.transform("all", lambda x: x["bits"]).alias("bitmap"))
-
-
-def _in_bitmap(entry: Column, bitmap: DataFrame) -> Column:
-    bit = F.pmod(entry, F.lit(BITMAP))
-    word = F.get(bitmap.select("bitmap").scalar(), F.shiftright(bit, 6).cast("int"))
-    return F.coalesce(F.getbit(word, (bit % 64).cast("int")) == 1, F.lit(False))
-
-
 def _lines(docs: DataFrame, min_tokens: int, long_tokens: int) -> DataFrame:
     """doc, k1, k2, pos, long, a, b (the line), leaf of every line that is not empty."""
     lines = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), F.posexplode(plain_lines(F.col("text"))).alias("pos", "line")).where("line <> ''")
@@ -105,9 +89,9 @@ def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, min_tokens: int
     """k1, k2, pos, doc, keeper of the lines of recurring templates."""
     leaves = lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("k1").alias("least"), F.max("k1").alias("most"))
     leaves = leaves.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most"))).select("leaf")
-    bits = materialize(_bitmap(leaves, "leaf"), "leaves")
+    bits = materialize(plan_bitmap(leaves, "leaf"), "leaves")
     read = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), F.posexplode(plain_lines(F.col("text"))).alias("pos", "line")).where("line <> ''")
-    read = read.withColumn("leaf", leaf(F.col("line"), n_tokens(F.col("line")), min_tokens)).where(_in_bitmap(F.col("leaf"), bits))
+    read = read.withColumn("leaf", leaf(F.col("line"), n_tokens(F.col("line")), min_tokens)).where(in_bitmap(F.col("leaf"), bits))
     ma, mb = _two("leaf", "line")
     read = read.withColumn("line", masked(F.col("line"))).withColumns({"ma": ma, "mb": mb})
     # The line of one document stands for those of all.
@@ -159,7 +143,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_con
     gone = gone.union(_templates(slim, lines, min_docs, min_tokens, min_constant).where("doc <> keeper").select("k1", "k2", "pos"))
     gone = materialize(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone")), "gone")
     own = docs.select("*", F.struct(*_key()).alias("_key"))
-    changes = _in_bitmap(F.col("_key.k1"), materialize(_bitmap(gone, "k1"), "changed"))
+    changes = in_bitmap(F.col("_key.k1"), materialize(plan_bitmap(gone, "k1"), "changed"))
     joined = own.where(changes).join(gone.select(F.struct("k1", "k2").alias("_other"), "_gone"), F.col("_key") == F.col("_other"), "left").drop("_other")
     same = own.where(~changes).withColumn("_gone", F.lit(None).cast("array<int>"))
     split = F.split("text", "\n")

@@ -9,10 +9,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomwork.llm import queries, repeats
-from loomwork.llm.jaccard_join import jaccard_components, one_of_each
+from loomwork.llm import jaccard_join, queries, repeats
+from loomwork.llm.jaccard_join import jaccard_components, one_of_each, shared_needed
 from loomwork.llm.line_dedup import dedup_lines
 from loomwork.llm.packing import pack
 from loomwork.llm.packing_plan import make_plan
@@ -147,6 +148,30 @@ def test_jaccard_join_keeps_every_link(spark):
     assert jaccard_components(table(spark, rows).limit(0)).count() == 0
 
 
+def test_matrix_finds_links_that_leaders_miss(spark, monkeypatch):
+    found = []
+    links = jaccard_join.group_links
+    monkeypatch.setattr(jaccard_join, "group_links", lambda *a: found.append(links(*a).collect()) or links(*a))
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows, words = [], [rng.choice(vocabulary) for _ in range(160)]
+    for k in range(40):  # a chain: neighbours are alike, its ends are not
+        rows.append((k, " ".join(words)))
+        for at in (4 * k + 1, 4 * k + 3):
+            words[at % 160] = rng.choice(vocabulary)
+    got = jaccard_components(table(spark, rows).repartition(3)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert len({r.component_id for r in got}) < 40 and sum(map(len, found)) > 0
+
+
+def test_least_shared_is_a_bound(spark):
+    rows = [(n, low, high) for n in (1, 5, 17, 40, 99) for low in (1, 13, 38, 80) for high in (13, 40, 120) if low <= high]
+    got = spark.createDataFrame(rows, "n long, low long, high long").withColumn("least", jaccard_join.least_shared(F.col("n"), F.col("low"), F.col("high"), 80)).collect()
+    for r in got:
+        every = [shared_needed(r.n, m, 80) for m in range(r.low, r.high + 1) if 100 * min(r.n, m) >= 80 * max(r.n, m)]
+        assert (r.least is None) == (not every) and (not every or r.least <= max(1, min(every)))
+
+
 def test_one_of_each(spark):
     rows = [(3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (4, ""), (5, None), (6, "z y x w v u")]
     got = one_of_each(table(spark, rows))
