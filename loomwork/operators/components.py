@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.plans.storage import materialize
+from loomwork.plans.storage import materialize, small_side
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,8 +14,9 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    # Written first: the join then has two plain sides, and the neighbours of a large family's root can be split.
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    joined = both.join(small_side(least), "u")
     if large:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
