@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +102,67 @@ def embed_text(target: Column, summary: Column, body: Column) -> Column:
     """Parts that are not empty, joined by bars, the body's beginning last."""
     blank = F.lit("")
     return F.concat_ws(" | ", F.nullif(target, blank), F.nullif(summary, blank), F.nullif(F.substring(body, 1, 500), blank))
+
+
+def pack_floats(vector: Column) -> Column:
+    """A vector of floats as little-endian bytes."""
+
+    @F.pandas_udf("binary")
+    def pack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return pack(vector)
+
+
+def unpack_floats(blob: Column) -> Column:
+    """A vector from its little-endian bytes; null where their number is no multiple of four."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+    return unpack(blob)
+
+
+def timestamp_or_null(raw: Column) -> Column:
+    """A timestamp from ISO text, null where it is none."""
+    return F.try_to_timestamp(F.trim(raw))
+
+
+def heading(text: Column) -> Column:
+    """The first heading in the first 500 characters: chapter, numbered, Markdown or capitals; null if there is none."""
+    head = F.substring(text, 1, 500)
+    patterns = (r"(?im)^(chapter \d+[^\n]*)$", r"(?m)^(\d+(?:\.\d+)* +[A-Z][^\n]*)$", r"(?m)^#+ +([^\n]+)$", r"(?m)^([A-Z][A-Z ]{4,})$")
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(head, p, 1)), F.lit("")) for p in patterns])
+
+
+def without_boilerplate(text: Column, patterns: Sequence[str] = (r"(?im)^\s*page \d+( of \d+)?\s*$", r"(?im)^\s*confidential\s*$")) -> Column:
+    """A text without the lines of page numbers and marks, and without runs of empty lines."""
+    for pattern in patterns:
+        text = F.regexp_replace(text, pattern, "")
+    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit("\n"))
+
+
+def short_target(text: Column, limit: int = 80) -> Column:
+    """The first line, cut after its last sentence that fits, else at the limit."""
+    line = F.trim(F.substring_index(text, "\n", 1))
+    head = F.substring(line, 1, limit)
+    cut = F.regexp_extract(head, r"^(.*[.;!?])(?:\s|$)", 1)
+    return F.when(F.length(line) <= limit, line).when(cut != "", cut).otherwise(head)
+
+
+def superseded_ids(text: Column, own: Column, pattern: str = r"[A-Z]-\d+") -> Column:
+    """Distinct ids after the word supersedes, in order, the text's own left out."""
+    lines = F.regexp_extract_all(text, F.lit(rf"(?i)supersedes[: ]+((?:{pattern}[, ]*)+)"), F.lit(1))
+    return F.array_remove(F.array_distinct(F.regexp_extract_all(F.array_join(lines, " "), F.lit(pattern), F.lit(0))), own)
+
+
+def meta_line(**parts: Column) -> Column:
+    """``<!-- key=value ... -->`` of the parts that are not null; lists are joined by bars."""
+    return F.concat(F.lit("<!-- "), F.concat_ws(" ", *[F.when(v.isNotNull() & (v != ""), F.concat(F.lit(f"{k}="), v)) for k, v in parts.items()]), F.lit(" -->"))
+
+
+def question_class(line: Column) -> Column:
+    """blocking, decision, data or other, by the words of an open question."""
+    low = F.lower(line)
+    return F.when(low.rlike("block|cannot|must"), "blocking").when(low.rlike("decide|choose|whether"), "decision").when(low.rlike("data|missing|value"), "data").otherwise("other")

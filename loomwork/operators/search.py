@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import dot, jaccard, target_tokens, unit
+from loomwork.functions.text import conflict_score, jaccard, target_tokens
+from loomwork.plans.storage import materialize
 
 
 def any_like(columns: Sequence[str], keywords: Sequence[str]) -> Column:
@@ -70,21 +73,70 @@ def top_k(scored: DataFrame, key: str, k: int, score: str = "score") -> DataFram
 QUERY_BLOCK = 1_000
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, least: float = -1.0, k: int | None = None) -> DataFrame:
-    """query, key, similarity of vectors by cosine, other than the query itself.
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of length 1 (zeros stay zeros) from a column of lists of equal length."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(norm == 0, 1, norm)
 
-    The stated queries meet all vectors in blocks of QUERY_BLOCK; ``k`` keeps
-    the best of each query.
+
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, least: float = -1.0, k: int | None = None, unless: str | None = None) -> DataFrame:
+    """query, key, similarity of vectors by cosine, other than the query itself; with ``k`` the best of each query, and rank.
+
+    The stated queries meet all vectors in blocks of QUERY_BLOCK, one matrix
+    product per batch of vectors; with ``k`` a task passes on its best of each
+    query only.  Pairs that agree in the column ``unless`` are left out.
+    Vectors that are null are skipped.
     """
+    spark, kind = vectors.sparkSession, dict(vectors.dtypes)[key]
+    extra = [unless] if unless else []
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     n = 1 if n == 1 else 2 * n
-    scaled = vectors.select(key, unit(F.col(vector)).alias("_v"))  # once per vector, not once per pair
+    schema = f"query {kind}, {key} {kind}, similarity double"
+
+    def search(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, own, marks = block.value
+            best: list[tuple] = []  # (query, key, similarity) arrays
+
+            def cut(found):
+                q, at, s = (np.concatenate(c) for c in zip(*found))
+                order = np.lexsort((at, -s, q))
+                q, at, s = q[order], at[order], s[order]
+                first = np.r_[True, q[1:] != q[:-1]]
+                turn = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+                return [(q[turn < k], at[turn < k], s[turn < k])]
+
+            def out(q, at, s):
+                return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(at), pa.array(s)], schema=wanted)
+
+            wanted = None
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                wanted = wanted or pa.schema([("query", batch.column(0).type), (key, batch.column(0).type), ("similarity", pa.float64())])
+                near = own @ _matrix(batch.column(1)).T
+                ok = (near >= least) & (ids[:, None] != keys[None])
+                if marks is not None:
+                    ok &= marks[:, None] != batch.column(2).to_numpy(zero_copy_only=False)[None]
+                q, at = np.nonzero(ok)
+                if k is None:
+                    yield out(q, keys[at], near[q, at])
+                elif len(q):
+                    best = cut([*best, (q, keys[at], near[q, at])])
+            if best:
+                yield out(*best[0])
+
+        return run
+
     legs = []
-    for block in range(n):
-        own = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == block).select(F.col(key).alias("query"), unit(F.col(vector)).alias("_q"))
-        met = F.broadcast(own).join(scaled, F.col("query") != F.col(key)).select("query", key, dot(F.col("_q"), F.col("_v")).alias("similarity"))
-        legs.append(met.where(F.col("similarity") >= least))
-    found = reduce(DataFrame.unionByName, legs)
+    slim = vectors.where(F.col(vector).isNotNull()).select(key, vector, *extra)
+    for part in range(n):
+        rows = queries.where(F.col(vector).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(n)) == part)).select(key, vector, *extra).toArrow().combine_chunks()
+        if rows.num_rows:
+            columns = [rows[c].combine_chunks() for c in rows.column_names]
+            block = spark.sparkContext.broadcast((columns[0].to_numpy(zero_copy_only=False), _matrix(columns[1]), columns[2].to_numpy(zero_copy_only=False) if unless else None))
+            legs.append(slim.mapInArrow(search(block), schema))
+    found = reduce(DataFrame.unionByName, legs) if legs else spark.createDataFrame([], schema)
     if k:
         order = W.partitionBy("query").orderBy(F.desc("similarity"), key)
         found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -97,23 +149,81 @@ def fuse(legs: Sequence[DataFrame], key: str, k: int, constant: int = 60) -> Dat
     return points.groupBy(key).agg(F.sum("p").alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, suppressed: DataFrame | None = None) -> DataFrame:
+def unmarked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``marked`` (a, b) does not have, either way round."""
+    known = marked.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    return pairs.join(known, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, suppressed: DataFrame | None = None, ordered: bool = False) -> DataFrame:
     """left_id, right_id, score of texts (id, text) whose token sets have at least this Jaccard similarity.
 
-    Texts meet on shared tokens; sizes and counts give the score.  Pairs in
-    ``suppressed`` (a, b, either way round) are left out.
+    Texts meet on the least frequent of their tokens only: of a set of n the
+    first ``n - ceil(threshold n) + 1``, so frequent words make pairs of none
+    but texts of little else; sizes too far apart never meet.  Pairs in
+    ``suppressed`` (a, b, either way round) are left out; with ``ordered`` only
+    those with left_id < right_id are made.
     """
-    def tokens(df: DataFrame, side: str) -> DataFrame:
-        own = df.select(F.col("id").alias(f"{side}_id"), target_tokens(F.col("text")).alias("t"))
-        return own.select(f"{side}_id", F.size("t").alias(f"{side}_n"), F.explode("t").alias("token"))
 
-    met = tokens(left, "left").join(tokens(right, "right"), "token").groupBy("left_id", "left_n", "right_id", "right_n").agg(F.count("*").alias("both"))
-    score = F.col("both") / (F.col("left_n") + F.col("right_n") - F.col("both"))
-    found = met.where(score >= threshold).select("left_id", "right_id", score.alias("score"))
+    def sets(df: DataFrame) -> DataFrame:
+        return materialize(df.select("id", target_tokens(F.col("text")).alias("t")).where(F.size("t") > 0), "tokens")
+
+    a, b = sets(left), sets(right)
+    words = a.select(F.explode("t").alias("token")).union(b.select(F.explode("t")))
+    frequency = materialize(words.groupBy("token").agg(F.count("*").alias("f")), "frequency")
+
+    def prefix(df: DataFrame, side: str) -> DataFrame:
+        own = df.select("id", F.size("t").alias("n"), F.explode("t").alias("token")).join(frequency, "token")
+        ranked = own.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s"))
+        first = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+        return ranked.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.explode(F.transform(first, lambda x: x["token"])).alias("token"))
+
+    near = (F.col("left_n") >= threshold * F.col("right_n") - 1e-9) & (F.col("right_n") >= threshold * F.col("left_n") - 1e-9)
+    met = prefix(a, "left").join(prefix(b, "right"), "token").where(near & (F.col("left_id") < F.col("right_id") if ordered else F.lit(True))).select("left_id", "right_id").distinct()
+    full = met.join(a.select(F.col("id").alias("left_id"), F.col("t").alias("x")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("t").alias("y")), "right_id")
+    both = F.size(F.array_intersect("x", "y"))
+    score = both / (F.size("x") + F.size("y") - both)
+    found = full.where(score >= threshold).select("left_id", "right_id", score.alias("score"))
     if suppressed is not None:
-        pair = suppressed.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        found = found.join(pair, (F.least("left_id", "right_id") == F.col("lo")) & (F.greatest("left_id", "right_id") == F.col("hi")), "left_anti")
+        renamed = found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "score")
+        found = unmarked(renamed, suppressed).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), "score")
     return found
 
 
-__all__ = ["any_like", "bm25", "cross_table", "fuse", "in_scope", "jaccard", "nearest", "optional", "similar_pairs", "top_k"]
+def phrase_bm25(docs: DataFrame, key: str, text: str, phrases: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """key, score of the documents that contain every phrase, in any script: BM25 over three-letter grams.
+
+    A phrase of three letters or more is in a text's grams, in order, where the
+    lower-cased text contains it; a document's length is its number of grams.
+    """
+    own = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    count = lambda p: (F.length("_low") - F.length(F.replace("_low", F.lit(p), F.lit("")))) / len(p)
+    counted = own.select(key, F.greatest(F.length("_low") - 2, F.lit(0)).alias("_len"), *[count(p.lower()).alias(f"_tf{i}") for i, p in enumerate(phrases)])
+    totals = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))])
+    joined, score, every = counted.crossJoin(F.broadcast(totals)), F.lit(0.0), F.lit(True)  # one row
+    for i in range(len(phrases)):
+        tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
+        idf = F.greatest(F.log((F.col("_n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
+        every = every & (tf > 0)
+    return joined.where(every).select(key, score.alias("score"))
+
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """term, key, tf of the words of a-z and 0-9: the rows of a text index."""
+    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
+    return words.groupBy("term", key).agg(F.count("*").alias("tf"))
+
+
+def conflicts(left: DataFrame, right: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """left_id, right_id, score of short texts (id, text) that may contradict: token Jaccard, at least 0.6 if one contains the other.
+
+    Texts meet on shared tokens; a text inside another shares all of its own.
+    """
+    own = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text"), F.explode(target_tokens(F.col("text"))).alias("token"))
+    met = own(left, "left").join(own(right, "right"), "token").drop("token").distinct()
+    scored = met.withColumn("score", conflict_score(F.col("left_text"), F.col("right_text")))
+    return scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
+
+
+__all__ = ["any_like", "bm25", "conflicts", "cross_table", "fuse", "in_scope", "jaccard", "nearest", "optional", "phrase_bm25", "postings", "similar_pairs", "top_k", "unmarked"]

@@ -89,9 +89,22 @@ def excluded_by(column: str, prefixes: Sequence[str]) -> Column:
 
 
 def exclusion_summary(df: DataFrame, key: str, rule: Column, samples: int = 5) -> DataFrame:
-    """rule, n, sample of the smallest keys per rule."""
-    ranked = df.withColumn("rule", rule).where("rule is not null").withColumn("_turn", F.row_number().over(W.partitionBy("rule").orderBy(key)))
-    return ranked.groupBy("rule").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("_turn") <= samples, F.col(key)))), ",").alias("sample"))
+    """rule, n, sample of the smallest keys per rule.
+
+    Every part of the table first keeps its own smallest keys, so no task sees
+    all rows of a rule.
+    """
+    ruled = df.select(rule.alias("rule"), F.col(key).alias("key")).where("rule is not null")
+    salted = ruled.groupBy("rule", F.pmod(F.xxhash64("key"), F.lit(1024)).alias("salt")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("key")), 1, samples).alias("own"))
+    return salted.groupBy("rule").agg(F.sum("n").alias("n"), F.array_join(F.slice(F.sort_array(F.flatten(F.collect_list("own"))), 1, samples), ",").alias("sample"))
+
+
+def not_in(df: DataFrame, key: str, listed: DataFrame, value: str) -> DataFrame:
+    """Rows whose key is NOT IN the listed values, with SQL's nulls, by an anti join and one row about the list."""
+    about = listed.agg(F.count("*").alias("_n"), F.count_if(F.col(value).isNull()).alias("_nulls"))
+    kept = df.join(listed.select(F.col(value).alias("_value")), F.col(key) == F.col("_value"), "left_anti")
+    allowed = (F.col("_nulls") == 0) & (F.col(key).isNotNull() | (F.col("_n") == 0))
+    return kept.crossJoin(F.broadcast(about)).where(allowed).drop("_n", "_nulls")
 
 
 ISSUE = "severity string, check string, key string, message string"
@@ -125,17 +138,74 @@ def cooling(result: Column, age: Column) -> Column:
     return F.when(result.isNull(), False).otherwise((wait > 0) & F.coalesce(age < wait, F.lit(True)))
 
 
-def overlapping(rects: DataFrame, cell: float) -> DataFrame:
-    """Pairs of rectangles (id, page, x0, y0, x1, y1) of a page that overlap: a, b, area.
+def overlapping(rects: DataFrame, cell: float, tolerance: float = 0.0) -> DataFrame:
+    """Pairs of rectangles (id, page, x0, y0, x1, y1) of a page that overlap by more than ``tolerance`` both ways: a, b, area.
 
-    Rectangles meet in the grid cells that they touch; edges that only touch
-    do not overlap.
+    Rectangles meet in the grid cells that they touch, and a pair is reported
+    in the cell of its overlap's lower corner alone; edges that only touch do
+    not overlap.
     """
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
     gridded = rects.withColumn("cx", cells("x0", "x1")).withColumn("cy", cells("y0", "y1"))
     a, b = gridded.alias("a"), gridded.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("page", "cx", "cy")]
-    met = a.join(b, [*same, F.col("a.id") < F.col("b.id")])
-    w = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
-    h = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
-    return met.where((w > 0) & (h > 0)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (w * h).alias("area")).distinct()
+    x, y = F.greatest("a.x0", "b.x0"), F.greatest("a.y0", "b.y0")
+    corner = (F.floor(x / cell) == F.col("a.cx")) & (F.floor(y / cell) == F.col("a.cy"))
+    w, h = F.least("a.x1", "b.x1") - x, F.least("a.y1", "b.y1") - y
+    met = a.join(b, [*same, F.col("a.id") < F.col("b.id"), corner, w > tolerance, h > tolerance])
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (w * h).alias("area"))
+
+
+def table_counts(named: dict[str, DataFrame]) -> DataFrame:
+    """table_name, n, columns of several tables."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n", F.lit(len(df.columns)).alias("columns")) for name, df in named.items()])
+
+
+def next_id(df: DataFrame, ids: Column, prefix: str) -> DataFrame:
+    """One row: the number after the greatest of ``PREFIX-nnn`` ids (as numbers, not as texts), and that id."""
+    number = F.regexp_extract(ids, rf"^{prefix}-(\d+)$", 1).try_cast("long")
+    return df.agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next")).select("next", F.format_string(f"{prefix}-%03d", "next").alias("id"))
+
+
+def sample_values(df: DataFrame, columns: Sequence[str], n: int = 3) -> DataFrame:
+    """column_name, samples: the least distinct values of each column, as text."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value").where("value is not null").distinct()
+    salted = long.groupBy("column_name", F.pmod(F.xxhash64("value"), F.lit(256)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("value")), 1, n).alias("own"))
+    return salted.groupBy("column_name").agg(F.array_join(F.slice(F.sort_array(F.flatten(F.collect_list("own"))), 1, n), ",").alias("samples"))
+
+
+TRACKING = ("_operation_id", "_source_file", "_source_version", "_source_row")
+
+
+def traceability(df: DataFrame, columns: Sequence[str] = TRACKING) -> DataFrame:
+    """column_name, present, nulls of the tracking columns of an ingested batch."""
+    have = [c for c in columns if c in df.columns]
+    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in have]) if have else df.agg(F.lit(0).alias("_none"))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(c in have).alias("present"), (F.col(c) if c in have else F.lit(None).cast("long")).alias("nulls")) for c in columns]
+    return counted.select(F.inline(F.array(*rows)))
+
+
+def bands(lines: DataFrame) -> DataFrame:
+    """page, top, bottom of the stretches between lines (page, y) of a page."""
+    below = F.lead("y").over(W.partitionBy("page").orderBy("y"))
+    return lines.select("page", "y").distinct().withColumn("bottom", below).where("bottom is not null").select("page", F.col("y").alias("top"), "bottom")
+
+
+def top_details(df: DataFrame, group: str, order: Sequence[Column], key: str, n: int = 3) -> DataFrame:
+    """group, n, detail: rows of each group and the first keys of an order."""
+    turn = F.row_number().over(W.partitionBy(group).orderBy(*order))
+    first = df.withColumn("_turn", turn).where(F.col("_turn") <= n).groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_turn", key))), lambda x: x[key].cast("string")), ",").alias("detail"))
+    return df.groupBy(group).agg(F.count("*").alias("n")).join(first, group)
+
+
+def stale(df: DataFrame, at: str, now: Column, days: float) -> Column:
+    """Whether a time is null or older than so many days."""
+    return F.col(at).isNull() | ((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 86_400_000_000 > days)
+
+
+def responses(raw: Column) -> Column:
+    """Checklist answers as an array of (id, evidence), from a JSON map of ids or a JSON list of objects with id and evidence."""
+    listed = F.from_json(raw, "array<struct<id:string,evidence:string>>")
+    mapped = F.from_json(raw, "map<string,string>")
+    entries = F.transform(F.map_entries(mapped), lambda e: F.struct(e["key"].alias("id"), e["value"].alias("evidence")))
+    return F.coalesce(F.when(F.ltrim(raw).startswith("["), listed), F.when(F.ltrim(raw).startswith("{"), entries), F.array().cast("array<struct<id:string,evidence:string>>"))

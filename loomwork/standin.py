@@ -16,19 +16,19 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def nodes(self) -> DataFrame:
-        """Documents and labels as nodes: status from the labels, target and summary from the text."""
+        """Documents and labels as nodes: status from the labels, target and summary are its first line and the text."""
         labels = self.labels.select("doc_id", "quality", "toxic")
         status = F.when(F.col("toxic").isNull(), "draft").when(F.col("toxic") == 1, "superseded").when(F.col("quality") == 1, "active").otherwise("stale")
         return self.documents.join(labels, "doc_id", "left").select(
             F.col("doc_id").alias("id"), F.col("source").alias("node_type"), F.col("lang").alias("project"), status.alias("status"),
-            F.substring("text", 1, 80).alias("target"), F.substring("text", 1, 120).alias("summary"), "n_chars",
+            F.substring_index("text", "\n", 1).alias("target"), F.col("text").alias("summary"), "n_chars",
         )
 
     def relations(self) -> DataFrame:
         """Distinct supplier to part relations."""
         return self.lineitem.select("l_suppkey", "l_partkey").distinct()
 
-    def sparse_edges(self) -> DataFrame:
-        """(u, v) both ways between suppliers and parts, thinned by a predicate so that depth means something."""
-        few = self.lineitem.where("l_quantity >= 49 and l_returnflag = 'R'").select(F.concat(F.lit("S:"), "l_suppkey").alias("u"), F.concat(F.lit("P:"), "l_partkey").alias("v")).distinct()
-        return few.union(few.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    def edges(self) -> DataFrame:
+        """(u, v) both ways between suppliers and parts."""
+        one = self.relations().select(F.concat(F.lit("S:"), "l_suppkey").alias("u"), F.concat(F.lit("P:"), "l_partkey").alias("v"))
+        return one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v")))
