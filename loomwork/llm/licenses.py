@@ -7,6 +7,7 @@
    sample of the corpus as unknown.  A temperature, fitted on other notices and
    other paragraphs, calibrates the probabilities; a prediction below
    ``least_probability`` is unknown.
+   N-grams of words that are common in that sample are no features.
 2. A paragraph of any length is scored as a whole and by windows of several
    lengths, from prefix sums over its words' weights, so a notice is found in a
    text without empty lines as well.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -148,8 +150,8 @@ UNKNOWN = "unknown"
 SAMPLE_DOCS, SAMPLE_CHARS = 1_000, 500_000
 #: Words of the windows in which a longer paragraph is scored besides as a whole.
 WINDOWS = (12, 40, 120)
-#: Words that a worker remembers.
-REMEMBERED = 300_000
+#: Words that a worker remembers; share of the sample's paragraphs that has a common word.
+REMEMBERED, COMMON = 300_000, 0.02
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _GLUED = re.compile(r"(a?l?gpl|mpl|epl|apache|bsd|cc)v?([0-9.]+)|v([0-9.]+)")
 #: Words whose presence tells variants of one licence apart.
@@ -204,6 +206,7 @@ class LicenseModel:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
+    common: frozenset  # words of the corpus at large: n-grams of these alone are no features
     templates: list[tuple[str, set[str], frozenset, frozenset]]
 
     def columns_of(self, ids: np.ndarray) -> list[np.ndarray]:
@@ -267,29 +270,36 @@ class Scanner:
     def __init__(self, model: LicenseModel, least_probability: float, least_similarity: float):
         self.model, self.least_probability, self.least_similarity = model, least_probability, least_similarity
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.marking: set[str] = set()  # words seen that some feature can contain
         self.telling = np.append(model.telling(), False)  # column -1 is no column
 
-    def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the parts of words, and the word of each."""
+    def read(self, low: str) -> list[str] | None:
+        """The words of a lower-cased text; None if no feature can be in it, so that every class has its bias."""
+        found = _WORD.findall(low)
+        own = set(found)
         if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        seen, known = self.seen, self.model.words
-        each = []
-        for w in found:
-            own = seen.get(w)
-            if own is None:
-                own = seen[w] = tuple(known.get(p, -1) for p in parts_of(w))
-            each.append(own)
-        sizes = [len(x) for x in each]
-        return np.array([i for x in each for i in x], np.int64), np.repeat(np.arange(len(each)), sizes)
+            self.seen.clear(), self.marking.clear()
+        words, common = self.model.words, self.model.common
+        for w in [w for w in own if w not in self.seen]:
+            parts = parts_of(w)
+            self.seen[w] = tuple(words.get(p, -1) for p in parts)
+            if any(p in words and p not in common for p in parts):
+                self.marking.add(w)
+        return None if self.marking.isdisjoint(own) else found
+
+    def ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the parts of words that were read, and the word of each."""
+        each = [self.seen[w] for w in found]
+        return np.array([i for x in each for i in x], np.int64), np.repeat(np.arange(len(each)), [len(x) for x in each])
 
     def scan(self, text: str) -> Iterator[tuple]:
         """(line, family, probability, similarity, confirmed, words) of the parts of a paragraph that speak of a licence."""
         low = text.lower()
-        ids, owner = self.ids(_WORD.findall(low))
-        n = len(ids)
-        if (ids < 0).all():
+        found = self.read(low)
+        if found is None:
             return
+        ids, owner = self.ids(found)
+        n = len(ids)
         columns = self.model.columns_of(ids)
         if not any(self.telling[c].any() for c in columns):
             return
@@ -362,12 +372,14 @@ def train(others: list[str], seed: int = 11, each: int = 72, rounds: int = 200)
     families = [*NOTICES, UNKNOWN]
     own = [tokens(n) for every in (*NOTICES.values(), OTHERS) for n in every]
     words = {w: k for k, w in enumerate(sorted({w for t in own for w in t}))}
-    names = sorted({g for t in own for g in grams(t)}, key=lambda g: (g.count(" "), g))
+    spread = Counter(w for t in others for w in set(tokens(t)))
+    common = frozenset(w for w, n in spread.items() if n >= max(3, COMMON * len(others)))
+    names = sorted({g for t in own for g in grams(t) if not common.issuperset(g.split(" "))}, key=lambda g: (g.count(" "), g))
     base = len(words) + 1
     keys = np.array([sum((words[w] + 1) * base**k for k, w in enumerate(reversed(g.split(" ")))) for g in names], np.int64)
     order = np.argsort(keys)
     templates = [(family, grams(t), *_named(t)) for family, every in NOTICES.items() for t in map(tokens, every)]
-    model = LicenseModel(families, words, keys[order], order.astype(np.int64), np.zeros((len(names), len(families))), np.zeros(len(families)), 1.0, templates)
+    model = LicenseModel(families, words, keys[order], order.astype(np.int64), np.zeros((len(names), len(families))), np.zeros(len(families)), 1.0, common, templates)
 
     def matrix(texts, labels):
         x = np.zeros((len(texts), len(names)), np.float32)
@@ -421,7 +433,10 @@ def _scan(known, least_probability: float, least_similarity: float, unknown: boo
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for first, part in paragraphs(text.as_py() or ""):
+                text = text.as_py() or ""
+                if scanner.read(text.lower()) is None:
+                    continue
+                for first, part in paragraphs(text):
                     for line, family, *found in scanner.scan(part):
                         if unknown or family != UNKNOWN:
                             rows.append((doc_id, first + line, family, *found))
