@@ -303,7 +303,7 @@ def unsettled(shared: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = shared.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     rooted = materialize(rooted, "rooted")
     apart = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-    return materialize(rooted.join(small_side(materialize(apart, "apart")), "token", "left_semi"), "unsettled")
+    return materialize(rooted.join(materialize(apart, "apart"), "token", "left_semi"), "unsettled")
 
 
 def matrix_meetings(rows: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -316,17 +316,18 @@ def matrix_meetings(rows: DataFrame, roots: DataFrame, percent: int) -> tuple[Da
     sizes = materialize(roots.groupBy("root").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.12)))
     key = F.coalesce(F.min(F.when(F.col("heavy"), F.col("token"))), F.min("token"))  # families of near copies share their least frequent shingle
-    first = rows.groupBy("cid", "root", "n").agg(key.alias("key")).join(small_side(sizes), "root", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    first = rows.groupBy("cid", "root", "n").agg(key.alias("key")).join(sizes, "root", "left").withColumn("members", F.coalesce("members", F.lit(1)))
     own = materialize(first.withColumns({"own": F.when(F.col("members") > LARGE, F.col("root")), "band": band}), "own")
     counts = own.groupBy(F.col("key").alias("_key"), F.col("own").alias("_own"), F.col("band").alias("_band")).agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
     counts = counts.withColumn("parts", F.greatest(F.ceil(F.col("classes") / GROUP), F.ceil(F.col("shingles") / GROUP_SHINGLES)))
     same = F.col("key").eqNullSafe(F.col("_key")) & F.col("own").eqNullSafe(F.col("_own")) & F.col("band").eqNullSafe(F.col("_band"))
-    grouped = own.join(small_side(materialize(counts, "counts")), same).select("cid", "root", "n", "members", "own", F.xxhash64("key", "own", "band", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("group"))
+    grouped = own.join(materialize(counts, "counts"), same).select("cid", "root", "n", "members", "own", F.xxhash64("key", "own", "band", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("group"))
     grouped = materialize(grouped, "groups")
     limits = grouped.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("own").alias("own"), F.max("members").alias("weight"), F.min("root").alias("one"), F.max("root").alias("other"))
     limits = materialize(limits, "limits")
-    matrix = materialize(rows.select("token", "cid").join(grouped.select("cid", "group"), "cid").select("token", "group").distinct().join(small_side(limits), "group"), "matrix")
-    asking = rows.select("token", "cid", "root", "n").join(grouped.select("cid", "members"), "cid")
+    placed = materialize(rows.select("token", "cid").join(grouped.select("cid", "root", "n", "members", "group"), "cid"), "placed")
+    matrix = materialize(placed.select("token", "group").distinct().join(limits, "group"), "matrix")
+    asking = placed.select("token", "cid", "root", "n", "members")
     # A group of classes of one component only has nothing to say to a query of that component.
     open_to = (F.col("one") != F.col("other")) | (F.col("one") != F.col("root"))
     mixed = F.col("own").isNull() & (F.col("members") <= LARGE)
@@ -337,8 +338,8 @@ def matrix_meetings(rows: DataFrame, roots: DataFrame, percent: int) -> tuple[Da
     met = materialize(met.select("cid", "root", "n", "group"), "met")
     asked = met.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / (8 * GROUP)), F.ceil(F.sum("n") / (4 * GROUP_SHINGLES))).alias("shares"))
     asked = materialize(asked, "asked")
-    queries = met.join(small_side(asked), "group").select("group", "cid", "root", F.pmod(F.xxhash64("cid"), F.col("shares")).alias("share"))
-    members = grouped.join(small_side(asked), "group").select("group", "cid", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    queries = met.join(asked, "group").select("group", "cid", "root", F.pmod(F.xxhash64("cid"), F.col("shares")).alias("share"))
+    members = grouped.join(asked, "group").select("group", "cid", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
     return materialize(members, "members"), materialize(queries, "queries")
 
 
@@ -390,7 +391,7 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     heavy = rows.select(F.explode("heavy").alias("token"), "cid", F.col("n_shingles").alias("n")).groupBy("token", "cid", "n").agg(F.count("*").alias("copies"))
     heavy = materialize(heavy, "heavy")
     leaders = materialize(heavy.groupBy("token").agg(F.max_by("cid", F.struct("copies", -F.col("cid"))).alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
-    led = materialize(heavy.join(small_side(leaders), "token"), "led")
+    led = materialize(heavy.join(leaders, "token"), "led")
     stars = light.select("cid", "leader").union(led.select("cid", "leader")).where("cid <> leader")
     stars = materialize(stars.select(F.least("cid", "leader").alias("u"), F.greatest("cid", "leader").alias("v")).distinct(), "pairs")
     near = promising(stars, rows, percent)
