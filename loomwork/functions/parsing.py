@@ -8,9 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed values, the notation of sizes in the input: a number has digits and perhaps a point and more digits.
+#: Descriptions write a die as ``/W/*L mil`` or, if it is square, ``/W mil/`` with two digits at least;
+#: the raw size is ``W x L`` (or *, X, ×) or one number.
+NUMBER = r"(\d+\.?\d*)"
+PAIR, SQUARE = rf"(?i)/{NUMBER}/\*{NUMBER}\s*mil", r"(?i)/\*?(\d+\.?\d+)\s*mil/"
+RAW_PAIR, RAW_ONE = rf"^{NUMBER}\s*[x×X*]\s*{NUMBER}$", rf"^{NUMBER}$"
+
+
 def number_in(text: Column) -> Column:
     """The first number of a text, null if none."""
-    return F.regexp_extract(text, r"(\d+\.?\d*)", 1).try_cast("double")
+    return F.regexp_extract(text, NUMBER, 1).try_cast("double")
 
 
 def safe_number(text: Column, blanks: Sequence[str] = ("", "-")) -> Column:
@@ -26,17 +34,14 @@ def die_geometry(description: Column, raw_size: Column, thickness: Column) -> Co
     single raw number (square), ``/W mil/`` in the description (square, two
     digits at least).  No match leaves the first three null.
     """
-    pair = r"(?i)/(\d+\.?\d*)/\*(\d+\.?\d*)\s*mil"
-    raw_pair = r"^(\d+\.?\d*)\s*[x×X*]\s*(\d+\.?\d*)$"
-    raw_one, square = r"^(\d+\.?\d*)$", r"(?i)/\*?(\d+\.?\d+)\s*mil/"
     raw = F.trim(raw_size)
 
     def side(k: int) -> Column:
         found = (
-            F.when(description.rlike(pair), F.regexp_extract(description, pair, k))
-            .when(raw.rlike(raw_pair), F.regexp_extract(raw, raw_pair, k))
-            .when(raw.rlike(raw_one), F.regexp_extract(raw, raw_one, 1))
-            .when(description.rlike(square), F.regexp_extract(description, square, 1))
+            F.when(description.rlike(PAIR), F.regexp_extract(description, PAIR, k))
+            .when(raw.rlike(RAW_PAIR), F.regexp_extract(raw, RAW_PAIR, k))
+            .when(raw.rlike(RAW_ONE), F.regexp_extract(raw, RAW_ONE, 1))
+            .when(description.rlike(SQUARE), F.regexp_extract(description, SQUARE, 1))
         )
         return found.try_cast("double")
 
@@ -159,7 +164,10 @@ def value_with_unit(text: Column, unit: str | None = None) -> Column:
 
 
 def confidence_label(raw: Column) -> Column:
-    """high, medium or low from a label or a number from 0 to 1 (0.8 and 0.5 are the limits); others raise."""
+    """high, medium or low from a label or a number from 0 to 1 (0.8 and 0.5 are the limits).
+
+    Other text raises an error whatever the session's ANSI mode.
+    """
     text, value = F.lower(F.trim(raw)), F.trim(raw).try_cast("double")
     return (
         F.when(text.isin("high", "medium", "low"), text)

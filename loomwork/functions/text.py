@@ -14,7 +14,7 @@ STOP_WORDS = ("a", "an", "and", "for", "in", "is", "of", "on", "or", "the", "to"
 
 
 def target_tokens(text: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
-    """Distinct lower-case ASCII words without stop words, and single CJK characters."""
+    """Distinct lower-case ASCII words without stop words, and single CJK characters (a fixed range)."""
     low = F.lower(text)
     words = F.array_except(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), F.array(*map(F.lit, stop)))
     return F.array_union(words, F.regexp_extract_all(low, F.lit(r"[\x{4e00}-\x{9fff}]"), F.lit(0)))
