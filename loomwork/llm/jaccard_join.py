@@ -210,7 +210,7 @@ def promising(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             yield _pairs(found)
 
     sized = lambda end, n, p: prefixes.select(F.col("cid").alias(end), F.col("n_shingles").alias(n), F.col("prefix").alias(p))
-    joined = pairs.join(sized("u", "n", "a"), "u").join(sized("v", "m", "b"), "v")
+    joined = sized("u", "n", "a").join(small_side(pairs), "u").join(sized("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b")
     return materialize(joined.mapInArrow(run, "u long, v long"), "promising")
 
 
@@ -260,7 +260,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             rows = zip(*(batch.column(c) for c in ("u", "v", "a", "b")))
             yield _pairs([(u.as_py(), v.as_py()) for u, v, a, b in rows if _linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent)])
 
-    joined = pairs.join(sets.select(F.col("cid").alias("u"), F.col("tokens").alias("a")), "u").join(sets.select(F.col("cid").alias("v"), F.col("tokens").alias("b")), "v")
+    first = sets.select(F.col("cid").alias("u"), F.col("tokens").alias("a")).join(small_side(pairs), "u")
+    joined = first.join(sets.select(F.col("cid").alias("v"), F.col("tokens").alias("b")), "v").select("u", "v", "a", "b")
     return materialize(joined.mapInArrow(run, "u long, v long"), "links")
 
 
@@ -345,8 +346,8 @@ def matrix_meetings(rows: DataFrame, roots: DataFrame, percent: int) -> tuple[Da
 
 def group_links(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between queries and members of the groups that they meet."""
-    left = members.join(sets, "cid")
-    right = queries.join(sets, "cid").select(*[F.col(c).alias(c) for c in ("group", "share", "cid", "root", "tokens")])  # columns of their own
+    left = sets.join(small_side(members), "cid").select("group", "share", "cid", "root", "tokens")
+    right = sets.join(small_side(queries), "cid").select(*[F.col(c).alias(c) for c in ("group", "share", "cid", "root", "tokens")])  # columns of their own
     return materialize(left.groupBy("group", "share").cogroup(right.groupBy("group", "share")).applyInArrow(_opened(percent), "u long, v long"), "links")
 
 
