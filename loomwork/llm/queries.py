@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import line_dedup, secrets
+from loomwork.llm import divergence, line_dedup, secrets
 from loomwork.llm import quality_rules as quality
 from loomwork.llm.decontamination import contamination
 from loomwork.llm.jaccard_join import jaccard_components
@@ -66,6 +66,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_documents(spark, sf_dir), least_docs=30, k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -77,10 +81,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op3_secrets": secrets.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_quality_rules": quality.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
