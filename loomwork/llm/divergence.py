@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.llm.best_first import best_first
+from loomwork.llm.terms import LETTERS, terms_of
 from loomwork.plans.storage import materialize
 
 SCALE, SMOOTHING = 1_000_000_000, 5
@@ -35,43 +36,45 @@ FLUSH, FLUSH_BYTES = 400_000, 200 << 20
 BLOCK, HELD = 1 << 21, 1 << 20
 #: Buckets of counts per doubling.
 PER_OCTAVE = 4
-#: Bytes that part terms become blanks, A-Z become a-z.
-_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(flush: int, flush_bytes: int):
     """Partial sums of a task: (lang, source, term, n), (lang, null, term, df) and one row per (lang, source)."""
-    sources: dict = {}
-    langs: dict = {}
-    held = read = 0
-
-    def out():
-        columns: list[list] = [[], [], [], [], []]
-        for (lang, source), counter in sources.items():
-            for column, values in zip(columns, ([lang] * len(counter), [source] * len(counter), counter.keys(), counter.values(), [0] * len(counter))):
-                column.extend(values)
-            for column, value in zip(columns, (lang, source, None, 0, 0)):
-                column.append(value)
-        for lang, counter in langs.items():
-            for column, values in zip(columns, ([lang] * len(counter), [None] * len(counter), counter.keys(), [0] * len(counter), counter.values())):
-                column.extend(values)
-        arrays = [pa.array(c, pa.binary()).cast(pa.string()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:]]
-        return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "df"])
-
-    for batch in batches:
-        for lang, source, text in zip(*(batch.column(k).cast(pa.binary()) for k in range(3))):
-            lang, source, text = lang.as_py(), source.as_py(), text.as_py()
-            words = text.translate(_WORDS).split()
-            own, every = sources.setdefault((lang, source), Counter()), langs.setdefault(lang, Counter())
-            before = len(own) + len(every)
-            own.update(words)
-            every.update(set(words))
-            held, read = held + len(own) + len(every) - before, read + len(text)
-            if held > FLUSH or read > FLUSH_BYTES:
-                yield out()
-                sources.clear(), langs.clear()
-                held = read = 0
-    yield out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources: dict = {}
+        langs: dict = {}
+        held = read = 0
+
+        def out():
+            columns: list[list] = [[], [], [], [], []]
+            for (lang, source), counter in sources.items():
+                for column, values in zip(columns, ([lang] * len(counter), [source] * len(counter), counter.keys(), counter.values(), [0] * len(counter))):
+                    column.extend(values)
+                for column, value in zip(columns, (lang, source, None, 0, 0)):
+                    column.append(value)
+            for lang, counter in langs.items():
+                for column, values in zip(columns, ([lang] * len(counter), [None] * len(counter), counter.keys(), [0] * len(counter), counter.values())):
+                    column.extend(values)
+            arrays = [pa.array(c, pa.binary()).cast(pa.string()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:]]
+            return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "df"])
+
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(k).cast(pa.binary()) for k in range(3))):
+                lang, source, text = lang.as_py(), source.as_py(), text.as_py()
+                words = terms_of(text, LETTERS)
+                own, every = sources.setdefault((lang, source), Counter()), langs.setdefault(lang, Counter())
+                before = len(own) + len(every)
+                own.update(words)
+                every.update(set(words))
+                held, read = held + len(own) + len(every) - before, read + len(text)
+                if held > flush or read > flush_bytes:
+                    yield out()
+                    sources.clear(), langs.clear()
+                    held = read = 0
+        yield out()
+
+    return run
 
 
 def term_postings(docs: DataFrame, least_docs: int) -> DataFrame:
@@ -81,7 +84,7 @@ def term_postings(docs: DataFrame, least_docs: int) -> DataFrame:
     dealt once, by language and term.
     """
     own = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    partial = own.mapInArrow(_counts, "lang string, source string, term string, n long, df long").repartition("lang", "term")
+    partial = own.mapInArrow(_counts(FLUSH, FLUSH_BYTES), "lang string, source string, term string, n long, df long").repartition("lang", "term")
     summed = partial.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     listed = F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n"))).alias("sources")
     return summed.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("df").alias("df"), listed).where((F.col("df") >= least_docs) | F.col("term").isNull())
@@ -95,49 +98,53 @@ def _share(count: Column | str, total: str, terms: str) -> Column:
     return F.call_function("div", above, below) + 1
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_sums(block: int, most: int):
     """From postings (lang, place, share, absent as arrays): what terms of both of two sources add to the pair."""
-    held: dict[str, list] = {}
-    size = 0
-
-    def compact() -> int:
-        for lang, parts in held.items():
-            keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            sums = np.zeros(len(keys), np.int64)
-            np.add.at(sums, inverse, np.concatenate([v for _, v in parts]))
-            held[lang] = [(keys, sums)]
-        return sum(len(parts[0][0]) for parts in held.values())
-
-    def out():
-        for lang, ((keys, sums),) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys >> 31), pa.array(keys & 0x7FFFFFFF), pa.array(sums)], ["lang", "a", "b", "value"])
-        held.clear()
-
-    for batch in batches:
-        lists = batch.column(1)
-        starts, flat = lists.offsets.to_numpy(), lists.values
-        place, share, absent = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
-        lang, length = np.array(batch.column(0).to_pylist(), object), np.diff(starts)
-        for name, n in {(a, b) for a, b in zip(lang, length) if b > 1}:
-            rows = starts[:-1][(lang == name) & (length == n)]
-            # All pairs of n places, in blocks of first places and then of terms.
-            for low in range(0, n - 1, max(1, BLOCK // n)):
-                i, j = np.nonzero(np.arange(low, min(n - 1, low + max(1, BLOCK // n)))[:, None] < np.arange(n)[None])
-                i = i + low
-                step = max(1, BLOCK // len(i))
-                for k in range(0, len(rows), step):
-                    x, y = rows[k : k + step, None] + i, rows[k : k + step, None] + j
-                    p, q, s, t = share[x], share[y], absent[x], absent[y]
-                    value = np.abs(p - q) - np.abs(p - t) - np.abs(q - s) + np.abs(s - t)
-                    held.setdefault(name, []).append(((np.minimum(place[x], place[y]) << 31 | np.maximum(place[x], place[y])).ravel(), value.ravel()))
-                    size += value.size
-                    if size > HELD:
-                        size = compact()
-                        if size > HELD // 2:
-                            yield from out()
-                            size = 0
-    compact()
-    yield from out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        size = 0
+
+        def compact() -> int:
+            for lang, parts in held.items():
+                keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                sums = np.zeros(len(keys), np.int64)
+                np.add.at(sums, inverse, np.concatenate([v for _, v in parts]))
+                held[lang] = [(keys, sums)]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def out():
+            for lang, ((keys, sums),) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys >> 31), pa.array(keys & 0x7FFFFFFF), pa.array(sums)], ["lang", "a", "b", "value"])
+            held.clear()
+
+        for batch in batches:
+            lists = batch.column(1)
+            starts, flat = lists.offsets.to_numpy(), lists.values
+            place, share, absent = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
+            lang, length = np.array(batch.column(0).to_pylist(), object), np.diff(starts)
+            for name, n in {(a, b) for a, b in zip(lang, length) if b > 1}:
+                rows = starts[:-1][(lang == name) & (length == n)]
+                # All pairs of n places, in blocks of first places and then of terms.
+                for low in range(0, n - 1, max(1, block // n)):
+                    i, j = np.nonzero(np.arange(low, min(n - 1, low + max(1, block // n)))[:, None] < np.arange(n)[None])
+                    i = i + low
+                    step = max(1, block // len(i))
+                    for k in range(0, len(rows), step):
+                        x, y = rows[k : k + step, None] + i, rows[k : k + step, None] + j
+                        p, q, s, t = share[x], share[y], absent[x], absent[y]
+                        value = np.abs(p - q) - np.abs(p - t) - np.abs(q - s) + np.abs(s - t)
+                        held.setdefault(name, []).append(((np.minimum(place[x], place[y]) << 31 | np.maximum(place[x], place[y])).ravel(), value.ravel()))
+                        size += value.size
+                        if size > most:
+                            size = compact()
+                            if size > most // 2:
+                                yield from out()
+                                size = 0
+        compact()
+        yield from out()
+
+    return run
 
 
 def divergence(docs: DataFrame, least_docs: int = 30, k: int = 50) -> DataFrame:
@@ -185,7 +192,7 @@ def _top_terms(shared: DataFrame, k: int) -> DataFrame:
 def _pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value of all ordered pairs of sources of a language."""
     postings = shared.groupBy("lang", "term").agg(F.collect_list(F.struct("place", "p", "absent")).alias("list")).select("lang", "list")
-    both = postings.mapInArrow(_pair_sums, "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    both = postings.mapInArrow(_pair_sums(BLOCK, HELD), "lang string, a long, b long, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     # A source's shares and the other sources' shares of absent terms, in one order: running sums give every sum of differences.
     shares = shared.groupBy("lang", "place", F.col("p").alias("at")).agg(F.count("*").alias("n")).select("lang", "place", "at", F.lit(None).cast("int").alias("other"), "n", (F.col("n") * F.col("at")).alias("mass"), F.lit(None).cast("long").alias("absent"), F.lit(None).cast("long").alias("terms"))
     others = groups.select("lang", F.col("place").alias("other"), F.col("absent").alias("at"))

@@ -13,6 +13,7 @@ from loomwork.llm.decontamination import contamination
 from loomwork.llm.jaccard_join import jaccard_components
 from loomwork.llm.licenses import license_scan
 from loomwork.llm.packing import pack
+from loomwork.llm.ranked_search import ranked_search
 from loomwork.llm.repeats import remove_repeats
 from loomwork.llm.token_counts import token_counts
 from loomwork.llm.toxicity import toxicity
@@ -66,6 +67,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_documents(spark, sf_dir), least_docs=30, k=50)
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op12_ranked_search": op12_ranked_search,
     "op13_divergence": op13_divergence,
 }
 
