@@ -13,6 +13,7 @@ from loomwork.llm.decontamination import contamination
 from loomwork.llm.jaccard_join import jaccard_components
 from loomwork.llm.licenses import license_scan
 from loomwork.llm.packing import pack
+from loomwork.llm.personal_data import personal_data
 from loomwork.llm.ranked_search import ranked_search
 from loomwork.llm.repeats import remove_repeats
 from loomwork.llm.token_counts import token_counts
@@ -67,6 +68,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), threshold=0.8)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_documents(spark, sf_dir))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"), k=20)
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_licenses": op9_licenses,
     "op10_decontamination": op10_decontamination,
+    "op11_personal_data": op11_personal_data,
     "op12_ranked_search": op12_ranked_search,
     "op13_divergence": op13_divergence,
 }
