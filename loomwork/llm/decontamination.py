@@ -14,7 +14,6 @@ number of items is searched by several passes and never broadcast whole.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -88,28 +87,56 @@ class HammingIndex:
         return at[near], item[near]
 
 
+#: Rows and slots (a power of two) of the sketch that counts items by shingle.
+ROWS, SLOT_BITS = 2, 20
+
+
+def _slots(shingles: np.ndarray, row: int) -> np.ndarray:
+    return ((shingles >> np.uint64(64 - (row + 1) * SLOT_BITS)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
+
+
+def _item_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, slot, n) of the distinct shingles of a batch of items."""
+    for batch in batches:
+        sets = [distinct(shingle_hashes(word_hashes(text.as_py() or ""))) for text in batch.column(0)]
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        for row in range(ROWS):
+            slot, n = np.unique(_slots(flat, row), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), row, np.int32)), pa.array(slot.astype(np.int32)), pa.array(n)], ["row", "slot", "n"])
+
+
+def shingle_weights(items: DataFrame) -> np.ndarray:
+    """Per row and slot of the sketch 1 / (1 + log n), n being how many shingles of items lie there; 1 where none does.
+
+    A shingle weighs the greatest of its slots' weights: one that several items
+    share says less about each of them.  The sketch counts the whole benchmark
+    and has a fixed size, so weights do not depend on the blocks of a search.
+    """
+    table = items.select("text").mapInArrow(_item_slots, "row int, slot int, n long").groupBy("row", "slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    weights = np.ones((ROWS, 1 << SLOT_BITS), np.float32)
+    weights[table["row"].to_numpy(), table["slot"].to_numpy()] = 1 / (1 + np.log(table["n"].to_numpy()))
+    return weights
+
+
 class Benchmark:
-    """The items of one block, ready to be searched."""
+    """The items of one block, ready to be searched; ``weights`` are those of ``shingle_weights``."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, radius: int):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, radius: int, weights: np.ndarray):
         self.ids, self.sets, self.lengths = [], [], []
         for item_id, text in items:
             own = word_hashes(text or "")
             if len(own):
                 self.ids.append(item_id), self.lengths.append(len(own)), self.sets.append(distinct(shingle_hashes(own)))
         self.threshold = threshold
-        counts = Counter(h for s in self.sets for h in s.tolist())
-        self.known = np.array(sorted(counts), np.uint64)
-        #: A shingle that several items share says less about each of them.
-        self.weights = 1 / (1 + np.log([counts[h] for h in self.known.tolist()]))
+        self.known = distinct(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        self.weights = weights
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.known >> np.uint64(44)] = True
         prints = [fingerprint((signs(own) * self.weigh(own)[:, None]).sum(axis=0, keepdims=True)) for own in self.sets]
         self.index = HammingIndex(np.concatenate(prints) if prints else np.zeros((0, BITS // BLOCK), np.uint16), np.array(self.lengths, np.int64), radius)
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, shingles), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == shingles, self.weights[at], 1.0) if len(self.known) else np.ones(len(shingles))
+        return np.max([self.weights[row][_slots(shingles, row)] for row in range(ROWS)], axis=0).astype(float)
 
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         maybe = self.filter[shingles >> np.uint64(44)]
@@ -208,10 +235,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = []
+    found, weights = [], shingle_weights(items)
     for k, n in item_blocks(items):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        known = docs.sparkSession.sparkContext.broadcast(Benchmark([(r["item_id"], r["text"]) for r in block], threshold, radius))
+        known = docs.sparkSession.sparkContext.broadcast(Benchmark([(r["item_id"], r["text"]) for r in block], threshold, radius, weights))
         part = slim.mapInArrow(_search(known), "doc_id long, item_id long, similarity double, first_word long, n_words long")
         if n > 1:  # one block after the other, so that the driver never holds two
             part = materialize(part, "contamination")

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.bitmap import in_bitmap, plan_bitmap
+from loomwork.llm.names import fresh
 from loomwork.llm.shingles import distinct, mix, shingle_hashes, word_hashes
 from loomwork.operators.components import connected_components
 from loomwork.plans.storage import materialize, small_side
@@ -374,11 +375,12 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     The row of each component's smallest doc_id stays, one of them where that
     id repeats; rows without shingles and components without any id stay.
     """
-    keyed = docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64("text", F.lit(7), "doc_id")})
+    a, b = fresh(docs.columns, "_k1", "_k2")
+    keyed = docs.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64("text", F.lit(7), "doc_id")})
     found = materialize(_components(docs, percent).where("component_id is not null and n_shingles > 0"), "components")
     keepers = found.where("doc_id = component_id").groupBy("component_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
-    gone = found.select("k1", "k2").distinct().join(keepers, ["k1", "k2"], "left_anti").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    return keyed.join(gone, ["_k1", "_k2"], "left_anti").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    gone = found.select("k1", "k2").distinct().join(keepers, ["k1", "k2"], "left_anti").select(F.col("k1").alias(a), F.col("k2").alias(b))
+    return keyed.join(gone, [a, b], "left_anti").dropDuplicates([a, b]).select(*docs.columns)
 
 
 def _components(docs: DataFrame, percent: int) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.bitmap import in_bitmap, plan_bitmap
+from loomwork.llm.names import fresh
 from loomwork.plans.storage import materialize
 
 MASK = "<*>"
@@ -141,15 +142,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_con
     exact = materialize(_exact(lines, min_docs, exact_docs), "exact")
     gone = lines.join(exact, ["a", "b"]).where("doc <> keeper").select("k1", "k2", "pos")
     gone = gone.union(_templates(slim, lines, min_docs, min_tokens, min_constant).where("doc <> keeper").select("k1", "k2", "pos"))
-    gone = materialize(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias("_gone")), "gone")
-    own = docs.select("*", F.struct(*_key()).alias("_key"))
-    changes = in_bitmap(F.col("_key.k1"), materialize(plan_bitmap(gone, "k1"), "changed"))
-    joined = own.where(changes).join(gone.select(F.struct("k1", "k2").alias("_other"), "_gone"), F.col("_key") == F.col("_other"), "left").drop("_other")
-    same = own.where(~changes).withColumn("_gone", F.lit(None).cast("array<int>"))
+    key, other, lost = fresh(docs.columns, "_key", "_other", "_gone")
+    gone = materialize(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias(lost)), "gone")
+    own = docs.select("*", F.struct(*_key()).alias(key))
+    changes = in_bitmap(F.col(f"{key}.k1"), materialize(plan_bitmap(gone, "k1"), "changed"))
+    joined = own.where(changes).join(gone.select(F.struct("k1", "k2").alias(other), lost), F.col(key) == F.col(other), "left").drop(other)
+    same = own.where(~changes).withColumn(lost, F.lit(None).cast("array<int>"))
     split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.array_size("_gone"), F.lit(0))}
+    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col(lost), i)), "\n")
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)
+    counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.array_size(lost), F.lit(0))}
     return joined.unionByName(same).select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *[v.cast("long").alias(k) for k, v in counts.items()])
 
 

@@ -83,13 +83,18 @@ class ToxicityModel:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """toxic, features of at most ``train_rows`` labelled documents outside the held-out fold."""
+    """toxic, features of at most ``train_rows`` rows of labelled documents outside the held-out fold.
+
+    Of the rows of the chosen ids, those of the least hashes of id and text,
+    as an id may repeat.
+    """
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = int(min(1.0, train_rows / max(1, own.count())) * 1_000_000)
     order = F.xxhash64(F.lit("train"), "doc_id")
     own = own.where(F.pmod(order, F.lit(1_000_000)) <= share * 11 // 10).orderBy(order, "doc_id").limit(train_rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    joined = texts.join(F.broadcast(own), "doc_id").select("toxic", "text")  # at most train_rows ids
+    joined = texts.join(F.broadcast(own), "doc_id")  # at most train_rows ids
+    joined = joined.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(train_rows).select("toxic", "text")
     return materialize(joined.mapInArrow(_hashed, "toxic int, features array<int>, patterns array<int>"), "toxicity")
 
 
