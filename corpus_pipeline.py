@@ -11,20 +11,18 @@ from pyspark.sql import functions as F
 from loomwork.llm.decontamination import contamination
 from loomwork.llm.jaccard_join import one_of_each
 from loomwork.llm.line_dedup import dedup_lines
+from loomwork.llm.names import fresh
 from loomwork.llm.packing import pack
 from loomwork.llm.quality_rules import quality_rules
 from loomwork.plans.storage import materialize, small_side
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows are told apart by id and text, as an id may repeat."""
-    return docs.withColumns({"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64("text", F.lit(7), "doc_id")})
-
-
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
-    rejected = materialize(quality_rules(keyed, host="source", keep=("_k1", "_k2")).where("not kept").select("_k1", "_k2").distinct(), "rejected")
-    return keyed.join(small_side(rejected), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    """Rows are told apart by id and text, as an id may repeat."""
+    a, b = fresh(docs.columns, "_k1", "_k2")
+    keyed = docs.withColumns({a: F.xxhash64("doc_id", "text"), b: F.xxhash64("text", F.lit(7), "doc_id")})
+    rejected = materialize(quality_rules(keyed, host="source", keep=(a, b)).where("not kept").select(a, b).distinct(), "rejected")
+    return keyed.join(small_side(rejected), [a, b], "left_anti").select(*docs.columns)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +36,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = contamination(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark, threshold=0.8)
-    leaked = materialize(found.select(F.col("doc_id").alias("_row")).distinct(), "leaked")
-    return keyed.join(small_side(leaked), "_row", "left_anti").select(*docs.columns)
+    (row,) = fresh(docs.columns, "_row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = contamination(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark, threshold=0.8)
+    leaked = materialize(found.select(F.col("doc_id").alias(row)).distinct(), "leaked")
+    return keyed.join(small_side(leaked), row, "left_anti").select(*docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
