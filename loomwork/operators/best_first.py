@@ -20,14 +20,14 @@ from loomwork.plans.storage import materialize
 FIRST, GROWTH = 8, 8
 
 
-def best_first(bounds: DataFrame, by: Sequence[str], k: int, evaluate: Callable[[DataFrame], DataFrame], ties: Sequence[Column], least: int = 1, first: int = FIRST) -> DataFrame:
+def best_first(bounds: DataFrame, by: Sequence[str], k: int, evaluate: Callable[[DataFrame], DataFrame], ties: Sequence[Column], least: int = 1, first: int | None = None) -> DataFrame:
     """The ``k`` rows of highest ``value`` (at least ``least``) of each group, with their ``rank``.
 
     ``bounds`` has the columns ``by``, cell and bound and should read a written
     table.  ``evaluate`` takes the opened cells (``by``, cell) and returns all
     their rows with ``by`` and value; ``ties`` orders rows of equal value.
     """
-    by, width, best, state = list(by), first, None, None
+    by, width, best, state = list(by), first or FIRST, None, None
     turn = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("bound"), "cell"))
     while True:
         left = bounds.where(F.col("bound") >= least)

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.operators.tables import gaps, issues
+from loomwork.operators.ordering import gaps
+from loomwork.operators.tables import issues
 
 
 def numbering(entries: DataFrame, number: Column, check: str = "numbering") -> DataFrame:
-    """Missing and repeated numbers of a sequence."""
-    numbered = entries.select(F.lit(0).alias("all"), number.alias("number"))
-    missing = issues(gaps(numbered, ["all"], "number"), "ERROR", check, F.col("after") + 1, F.concat(F.col("n").cast("string"), F.lit(" missing")))
+    """Missing and repeated numbers of a sequence over the whole table."""
+    numbered = entries.select(number.alias("number"))
+    missing = issues(gaps(numbered, "number"), "ERROR", check, F.col("after") + 1, F.concat(F.col("n").cast("string"), F.lit(" missing")))
     twice = numbered.groupBy("number").count().where("count > 1")
     return missing.unionByName(issues(twice, "ERROR", check, F.col("number"), F.concat(F.col("count").cast("string"), F.lit(" times"))))
 
