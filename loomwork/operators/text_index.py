@@ -314,7 +314,7 @@ class TextIndex:
         idf = F.create_map(*[F.lit(x) for t in terms for x in (t, max(float(np.log((n - df[t] + 0.5) / (df[t] + 0.5))), 1e-6))])
         part = lambda count, length: idf[F.col("term")] * (F.col(count) * (k1 + 1)) / (F.col(count) + k1 * (1 - b + b * F.col(length) / F.lit(mean)))
         whole = rows.groupBy(F.lit(0).alias("q"), F.col("block").alias("cell")).agg(F.count_distinct("term").alias("held"), F.sum(part("most", "shortest")).alias("bound"))
-        bounds = materialize(whole.where(F.col("held") == len(terms)).select("q", "cell", (F.col("bound") + 1e-6).alias("bound")), "bounds")
+        bounds = materialize(whole.where(F.col("held") == len(terms)).select("q", "cell", (F.col("bound") * (1 + 1e-12) + 1e-9).alias("bound")), "bounds")
         docs = self.documents(state)
 
         def evaluate(opened: DataFrame) -> DataFrame:
