@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.llm import best_first, bisection, divergence, ranked_search
+from loomwork.llm import bisection, divergence, ranked_search
 from loomwork.llm.queries import QUERIES
+from loomwork.operators import best_first
 
 SMALL = "/root/testdata/sf0.001"
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
