@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomwork.catalogue import ORACLES
 from loomwork.catalogue_knowledge import PHRASES
-from loomwork.operators import ordering
+from loomwork.operators import ordering, vectors
 from loomwork.operators.text_index import TextIndex
 from loomwork.plans.storage import shared_folder
 from loomwork.registry import query
@@ -78,3 +78,48 @@ def event_runs(t):
 def assigned_ids(t):
     """Suppliers that become customers get the next ids, by their order."""
     return ordering.with_new_ids(t.customer, t.supplier.select("s_name", "s_suppkey"), "c_custkey", ["s_suppkey"]).select("s_name", "c_custkey")
+
+
+# Vectors in cells
+
+
+@query(ORACLES["cosine_topk"])
+def kept_vectors_topk(t):
+    """From a table of vectors that was added to, changed and purged; cells are opened by their bounds."""
+    index = vectors.VectorIndex(t.spark, f"{shared_folder(t.spark)}/vectors-{uuid.uuid4().hex}")
+    rows = t.embeddings.select("vec_id", "label", "embedding")
+    index.create(rows, "vec_id", "embedding")
+    stale = rows.where("label < 7").select("vec_id", F.when(F.col("label") == 2, F.reverse("embedding")).otherwise(F.col("embedding")).alias("embedding"))
+    strays = rows.where("label = 3").select((-F.col("vec_id") - 1).alias("vec_id"), "embedding")
+    index.add(stale.union(strays), "vec_id", "embedding")
+    index.add(rows.where("label >= 7 or label = 2"), "vec_id", "embedding")
+    index.remove(strays.select("vec_id"))
+    found = index.exact(t.embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10)
+    return found.select("query", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+#: Every vector, and its sum with a share of the next one's; a share of 0.5 makes a pair to write, one of 0.8 a pair to review.
+MIXED = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    m AS (SELECT vec_id, v FROM e UNION ALL SELECT -1 - a.vec_id, list_transform(list_zip(a.v, b.v), lambda x: x[1] + CASE WHEN a.vec_id % 3 = 0 THEN 0.5 ELSE 0.8 END * x[2]) FROM e a JOIN e b ON b.vec_id = a.vec_id + 1
+          UNION ALL SELECT vec_id + 10000000, v FROM e)"""
+
+
+@query(f"""WITH {MIXED}, r AS (SELECT min(vec_id) AS id, v FROM m GROUP BY v),
+    s AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, list_cosine_similarity(x.v, y.v) AS similarity FROM r x JOIN r y ON x.id < y.id)
+    SELECT a, b, CASE WHEN similarity >= 0.85 THEN 'write' ELSE 'review' END AS action FROM s WHERE similarity >= 0.7""")
+def alike_vectors(t):
+    """Pairs of all vectors at 0.7 or more, between representatives of equal vectors."""
+    own = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    following = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    met = own.join(following, "vec_id").withColumn("share", F.when(F.col("vec_id") % 3 == 0, 0.5).otherwise(0.8))
+    mixed = met.select((-1 - F.col("vec_id")).alias("vec_id"), F.zip_with("v", "w", lambda x, y: x + F.col("share") * y).alias("v"))
+    everything = own.union(mixed).union(own.select((F.col("vec_id") + 10_000_000).alias("vec_id"), "v"))
+    pairs, _ = vectors.similar_vectors(everything, "vec_id", "v", 0.7)
+    return pairs.select("a", "b", vectors.action("similarity").alias("action"))
+
+
+@query("SELECT vec_id AS key, min(vec_id) OVER (PARTITION BY embedding) AS representative FROM (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 10000000, embedding FROM embeddings WHERE label = 4)")
+def vector_members(t):
+    """Which representative stands for each vector."""
+    rows = t.embeddings.select("vec_id", "embedding")
+    return vectors.classes(rows.union(t.embeddings.where("label = 4").select(F.col("vec_id") + 10_000_000, "embedding")), "vec_id", "embedding")
