@@ -399,7 +399,7 @@ TOKENS = """list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9_]+
 def jaccard_conflict(t):
     left = t.benchmark.select(F.col("item_id").alias("id"), "text")
     right = t.documents.select(F.col("doc_id").alias("id"), "text")
-    found = search.similar_pairs(left, right, 0.12)
+    found = search.similar_to_items(left, right, 0.12)
     return found.select(F.col("left_id").alias("item_id"), F.col("right_id").alias("doc_id"), F.bround("score", 4).alias("score"))
 
 
@@ -533,7 +533,7 @@ def review_proposals(t):
     SELECT DISTINCT l_suppkey AS source_id, coalesce(new, l_partkey) AS target_id FROM lineitem LEFT JOIN m ON l_partkey = old""")
 def id_migration(t):
     """Edges re-pointed to the first of equal parts, then deduplicated."""
-    mapped = t.part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("new"), F.collect_list("p_partkey").alias("olds")).select("new", F.explode("olds").alias("old"))
+    mapped = t.part.select(F.col("p_partkey").alias("old"), F.min("p_partkey").over(W.partitionBy("p_name", "p_brand")).alias("new"))
     edges = t.lineitem.join(mapped, F.col("l_partkey") == F.col("old"), "left")
     return edges.select(F.col("l_suppkey").alias("source_id"), F.coalesce("new", "l_partkey").alias("target_id")).distinct()
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from loomwork.catalogue import ORACLES
 from loomwork.catalogue_knowledge import PHRASES
-from loomwork.operators import ordering, vectors
+from loomwork.operators import aliases, ordering, vectors
 from loomwork.operators.text_index import TextIndex
+from loomwork.operators.versioned import VersionedTable
 from loomwork.plans.storage import shared_folder
 from loomwork.registry import query
 
@@ -123,3 +124,56 @@ def vector_members(t):
     """Which representative stands for each vector."""
     rows = t.embeddings.select("vec_id", "embedding")
     return vectors.classes(rows.union(t.embeddings.where("label = 4").select(F.col("vec_id") + 10_000_000, "embedding")), "vec_id", "embedding")
+
+
+# Names of a registry table in texts
+
+PAIRS = "SELECT DISTINCT lower(w[i] || ' ' || w[i + 1]) AS alias FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(replace(text, chr(10), ' '), ' ') AS w FROM benchmark)) WHERE length(w[i] || w[i + 1]) > 1"
+
+
+def _registry(t):
+    """Pairs of neighbouring words of the benchmark, as a table of names."""
+    words = t.benchmark.select(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ").alias("w")).where("size(w) > 1")
+    pair = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))).alias("alias"))
+    return pair.where("length(alias) > 2")
+
+
+@query(f"SELECT DISTINCT doc_id, alias FROM documents, ({PAIRS}) WHERE contains(lower(text), alias)")
+def registry_aliases(t):
+    """Every text against a table of names, by one automaton."""
+    return aliases.alias_matches(t.documents, _registry(t), "doc_id", "text", "alias").select(F.col("key").alias("doc_id"), "alias")
+
+
+@query(f"WITH c AS (SELECT conv_id * 100 + turn AS id, lower(text) AS x FROM conversations) SELECT DISTINCT id, alias FROM c, ({PAIRS}) WHERE contains(x, alias)")
+def registry_aliases_joined(t):
+    """The same by a join on each name's rarest gram, as for registries that no task should hold."""
+    turns = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return aliases.alias_matches(turns, _registry(t), "id", "text", "alias", bound=(0, 0)).select(F.col("key").alias("id"), "alias")
+
+
+# Versions of a keyed table
+
+
+def _versioned(t) -> VersionedTable:
+    """Orders in four versions: those that are not pending; all urgent ones at twice the price; low ones removed; what lacks, added."""
+    orders = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
+    table = VersionedTable(t.spark, f"{shared_folder(t.spark)}/versions-{uuid.uuid4().hex}", "o_orderkey long, o_orderpriority string, o_totalprice double", ["o_orderkey"])
+    urgent = orders.where("o_orderpriority = '1-URGENT'").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    table.apply(t.orders.where("o_orderstatus <> 'P'").select(*orders.columns), batch=("loader", 0))
+    table.apply(urgent, batch=("loader", 1))
+    table.apply(removed=orders.where("o_orderpriority = '5-LOW'"), batch=("loader", 2))
+    table.apply(orders.where("o_orderpriority <> '5-LOW'"), new_only=True, batch=("loader", 3))
+    table.apply(orders, batch=("loader", 1))  # a batch that comes again
+    return table
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END * o_totalprice AS o_totalprice FROM orders WHERE o_orderpriority <> '5-LOW'")
+def versioned_orders(t):
+    """The last version."""
+    return _versioned(t).read().select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END * o_totalprice AS o_totalprice FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '1-URGENT'")
+def versioned_orders_before(t):
+    """The second version, after two more were committed."""
+    return _versioned(t).read(2).select("o_orderkey", "o_totalprice")

@@ -190,6 +190,48 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, suppresse
     return found
 
 
+def similar_to_items(items: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """left_id, right_id, score of a stated set of items (id, text) against all texts, at this Jaccard similarity (above 0) or more.
+
+    Items go to all tasks in blocks, as for each token the items that have
+    it; a task adds these up per text, so only pairs that reach the threshold
+    are rows.  Ids are longs.
+    """
+    spark = texts.sparkSession
+    sets = lambda df: df.select(F.col("id").cast("long").alias("id"), target_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    asked = materialize(sets(items), "tokens")
+    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    n = 1 if n == 1 else 2 * n
+    schema, own, legs = "left_id long, right_id long, score double", sets(texts), []
+    for part in range(n):
+        rows = asked.where(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == part).collect()
+        if rows:
+            holders: dict[str, list[int]] = {}
+            for k, r in enumerate(rows):
+                for token in r.t:
+                    holders.setdefault(token, []).append(k)
+            block = spark.sparkContext.broadcast((np.array([r.id for r in rows]), np.array([len(r.t) for r in rows]), {t: np.array(k, np.int32) for t, k in holders.items()}))
+            legs.append(own.mapInArrow(_overlaps(block, threshold), schema))
+    return reduce(DataFrame.unionByName, legs) if legs else spark.createDataFrame([], schema)
+
+
+def _overlaps(block, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, holders = block.value
+        for batch in batches:
+            found: list[tuple] = [(ids[:0], np.zeros(0, np.int64), np.zeros(0))]
+            for key, tokens in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist()):
+                held = [holders[t] for t in tokens if t in holders]
+                if held:
+                    both = np.bincount(np.concatenate(held), minlength=len(ids))
+                    score = both / (sizes + len(tokens) - both)
+                    at = np.flatnonzero(score >= threshold)
+                    found.append((ids[at], np.full(len(at), key), score[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["left_id", "right_id", "score"])
+
+    return run
+
+
 def phrase_bm25(docs: DataFrame, key: str, text: str, phrases: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, score of the documents that contain every phrase, in any script: BM25 over three-letter grams.
 
@@ -226,4 +268,4 @@ def conflicts(left: DataFrame, right: DataFrame, threshold: float = 0.4) -> Data
     return scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
 
 
-__all__ = ["any_like", "bm25", "conflicts", "cross_table", "fuse", "in_scope", "jaccard", "nearest", "optional", "phrase_bm25", "postings", "similar_pairs", "top_k", "unmarked"]
+__all__ = ["any_like", "bm25", "conflicts", "cross_table", "fuse", "in_scope", "jaccard", "nearest", "optional", "phrase_bm25", "postings", "similar_pairs", "similar_to_items", "top_k", "unmarked"]

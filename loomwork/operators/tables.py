@@ -89,14 +89,17 @@ def excluded_by(column: str, prefixes: Sequence[str]) -> Column:
 
 
 def exclusion_summary(df: DataFrame, key: str, rule: Column, samples: int = 5) -> DataFrame:
-    """rule, n, sample of the smallest keys per rule.
-
-    Every part of the table first keeps its own smallest keys, so no task sees
-    all rows of a rule.
-    """
+    """rule, n, sample of the smallest keys per rule: every task keeps its own smallest before they are dealt."""
     ruled = df.select(rule.alias("rule"), F.col(key).alias("key")).where("rule is not null")
-    salted = ruled.groupBy("rule", F.pmod(F.xxhash64("key"), F.lit(1024)).alias("salt")).agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("key")), 1, samples).alias("own"))
-    return salted.groupBy("rule").agg(F.sum("n").alias("n"), F.array_join(F.slice(F.sort_array(F.flatten(F.collect_list("own"))), 1, samples), ",").alias("sample"))
+    counted = ruled.groupBy("rule").agg(F.count("*").alias("n"))
+    return counted.join(_smallest(ruled, "rule", "key", samples, "sample"), "rule")
+
+
+def _smallest(df: DataFrame, group: str, value: str, n: int, name: str) -> DataFrame:
+    """group, name: the ``n`` smallest values of each group, joined by commas; at most ``n`` of a task's rows are dealt."""
+    turn = F.row_number().over(W.partitionBy(group).orderBy(value))
+    first = df.withColumn("_turn", turn).where(F.col("_turn") <= n)
+    return first.groupBy(group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_turn", value))), lambda x: x[value].cast("string")), ",").alias(name))
 
 
 def not_in(df: DataFrame, key: str, listed: DataFrame, value: str) -> DataFrame:
@@ -170,8 +173,7 @@ def next_id(df: DataFrame, ids: Column, prefix: str) -> DataFrame:
 def sample_values(df: DataFrame, columns: Sequence[str], n: int = 3) -> DataFrame:
     """column_name, samples: the least distinct values of each column, as text."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value").where("value is not null").distinct()
-    salted = long.groupBy("column_name", F.pmod(F.xxhash64("value"), F.lit(256)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("value")), 1, n).alias("own"))
-    return salted.groupBy("column_name").agg(F.array_join(F.slice(F.sort_array(F.flatten(F.collect_list("own"))), 1, n), ",").alias("samples"))
+    return _smallest(long, "column_name", "value", n, "samples")
 
 
 TRACKING = ("_operation_id", "_source_file", "_source_version", "_source_row")
