@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.catalogue import ORACLES
@@ -13,6 +14,7 @@ from loomwork.operators.text_index import TextIndex
 from loomwork.operators.versioned import VersionedTable
 from loomwork.plans.storage import shared_folder
 from loomwork.registry import query
+from loomwork.streaming.attempts import RESULT, attempt_stream
 
 
 def _kept(t, kind: str) -> TextIndex:
@@ -177,3 +179,21 @@ def versioned_orders(t):
 def versioned_orders_before(t):
     """The second version, after two more were committed."""
     return _versioned(t).read(2).select("o_orderkey", "o_totalprice")
+
+
+# Attempts as a stream with state
+
+
+@query(ORACLES["attempt_states"])
+def attempt_stream_states(t):
+    """The states of ``attempt_states``, kept by a stream of three batches and upserted as they change."""
+    folder = f"{shared_folder(t.spark)}/attempts-{uuid.uuid4().hex}"
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    made = t.events.select(F.col("user_id").alias("node"), seq.cast("long").alias("seq"), (F.col("event_type") == "purchase").alias("ok"), F.col("value").alias("seconds"), F.lit(80.0).alias("limit"), F.col("ts").cast("timestamp").alias("at"))
+    made.repartition(3).write.parquet(f"{folder}/in")
+    table = VersionedTable(t.spark, f"{folder}/out", RESULT, ["node", "kind"])
+    stream = t.spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    keep = lambda rows, number: table.apply(rows, batch=("attempts", number)) and None
+    kept = attempt_stream(stream, late="365 days").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint")
+    kept.trigger(availableNow=True).start().awaitTermination()
+    return table.read().where("kind = 'state'").select("node", "tries", "state")
