@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import text
-from loomwork.operators import graph, knowledge, search, tables
+from loomwork.operators import conflicts, graph, knowledge, search, tables
 from loomwork.registry import NODES, query
 from loomwork.sources import logs
 
@@ -117,7 +117,7 @@ def conflict_floor(t):
     """Token Jaccard with the floor of 0.6 where one text contains the other."""
     one = t.part.select(F.col("p_name").alias("id"), F.col("p_name").alias("text")).distinct()
     name = F.concat("p_name", F.lit(" of "), "p_type")
-    found = search.conflicts(one, t.part.select(name.alias("id"), name.alias("text")).distinct(), 0.4)
+    found = conflicts.conflicts(one, t.part.select(name.alias("id"), name.alias("text")).distinct(), 0.4)
     return found.select(F.col("left_id").alias("x"), F.col("right_id").alias("y"), F.bround("score", 4).alias("score"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.catalogue import ORACLES
 from loomwork.catalogue_knowledge import PHRASES
-from loomwork.operators import aliases, ordering, vectors
+from loomwork.operators import aliases, conflicts, ordering, vectors
 from loomwork.operators.text_index import TextIndex
 from loomwork.operators.versioned import VersionedTable
 from loomwork.plans.storage import shared_folder
@@ -197,3 +197,18 @@ def attempt_stream_states(t):
     kept = attempt_stream(stream, late="365 days").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint")
     kept.trigger(availableNow=True).start().awaitTermination()
     return table.read().where("kind = 'state'").select("node", "tries", "state")
+
+
+# Conflicts of short texts
+
+WORDS = "list_distinct(list_filter(regexp_extract_all(x, '[a-z0-9_]+'), lambda w: w NOT IN ('a', 'an', 'and', 'for', 'in', 'is', 'of', 'on', 'or', 'the', 'to', 'with')))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, lower(substr(split_part(text, chr(10), 1), 1, 60)) AS x FROM documents), s AS (SELECT doc_id, x, {WORDS} AS t FROM f),
+    j AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS k, len(a.t) + len(b.t) AS n, contains(a.x, b.x) OR contains(b.x, a.x) AS inside FROM s a JOIN s b ON a.doc_id < b.doc_id)
+    SELECT a, b, round_even(greatest(k / (n - k)::DOUBLE, CASE WHEN inside THEN 0.6 ELSE 0 END), 4) AS score FROM j WHERE k > 0 AND greatest(k / (n - k)::DOUBLE, CASE WHEN inside THEN 0.6 ELSE 0 END) >= 0.4""")
+def first_line_conflicts(t):
+    """Documents whose first lines may contradict."""
+    lines = t.documents.select(F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("text"))
+    found = conflicts.conflicts(lines, lines, 0.4).where("left_id < right_id")
+    return found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.bround("score", 4).alias("score"))

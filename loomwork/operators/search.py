@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwork.functions.text import conflict_score, jaccard, target_tokens
+from loomwork.functions.text import jaccard, target_tokens
 from loomwork.plans.storage import materialize
 
 
@@ -257,15 +257,4 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
-def conflicts(left: DataFrame, right: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """left_id, right_id, score of short texts (id, text) that may contradict: token Jaccard, at least 0.6 if one contains the other.
-
-    Texts meet on shared tokens; a text inside another shares all of its own.
-    """
-    own = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text"), F.explode(target_tokens(F.col("text"))).alias("token"))
-    met = own(left, "left").join(own(right, "right"), "token").drop("token").distinct()
-    scored = met.withColumn("score", conflict_score(F.col("left_text"), F.col("right_text")))
-    return scored.where(F.col("score") >= threshold).select("left_id", "right_id", "score")
-
-
-__all__ = ["any_like", "bm25", "conflicts", "cross_table", "fuse", "in_scope", "jaccard", "nearest", "optional", "phrase_bm25", "postings", "similar_pairs", "similar_to_items", "top_k", "unmarked"]
+__all__ = ["any_like", "bm25", "cross_table", "fuse", "in_scope", "jaccard", "nearest", "optional", "phrase_bm25", "postings", "similar_pairs", "similar_to_items", "top_k", "unmarked"]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import materials, text
-from loomwork.operators import checks, knowledge, search, tables
+from loomwork.operators import checks, conflicts, knowledge, search, tables
 from loomwork.streaming import events as stream
 
 
@@ -30,7 +30,7 @@ def test_phrases_in_any_script(spark):
 def test_conflicts_have_a_floor(spark):
     left = spark.createDataFrame([(1, "red ring"), (2, "模組 版本"), (3, None)], "id int, text string")
     right = spark.createDataFrame([(10, "the red ring of the large old machine"), (11, "blue bolt"), (12, "模組 版本 更新")], "id int, text string")
-    assert rows(search.conflicts(left, right)) == [(1, 10, 0.6), (2, 12, pytest.approx(4 / 6))]
+    assert rows(conflicts.conflicts(left, right)) == [(1, 10, 0.6), (2, 12, pytest.approx(4 / 6))]
 
 
 def test_nearest_of_blocks_and_marks(spark, monkeypatch):
