@@ -606,6 +606,6 @@ def coverage_and_checksum(t):
     return joined.groupBy(F.col("lang").alias("project")).agg(F.round(100.0 * F.count("quality") / F.count("*"), 4).alias("labelled"), checksum.alias("checksum"))
 
 
-from loomwork import catalogue_checks, catalogue_entries, catalogue_knowledge, catalogue_materials, catalogue_retrieval  # noqa: E402, F401  they register their queries
+from loomwork import catalogue_checks, catalogue_entries, catalogue_knowledge, catalogue_materials, catalogue_retrieval, catalogue_texts  # noqa: E402, F401  they register their queries
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

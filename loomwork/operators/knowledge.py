@@ -90,6 +90,15 @@ def resolved(queries: DataFrame, modules: DataFrame) -> DataFrame:
     return best.where("b.n = 1").select("query", F.col("b.path").alias("path"))
 
 
+def resolved_exactly(queries: DataFrame, modules: DataFrame) -> DataFrame:
+    """query, path: the module of that path, else of that base name if it is unique; both by equality, for many queries."""
+    base = F.element_at(F.split("path", "/"), -1)
+    names = modules.select("path", F.explode(F.array_distinct(F.array("path", base))).alias("query")).withColumn("whole", F.col("query") == F.col("path"))
+    each = queries.distinct().join(names, "query").groupBy("query", "whole").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    best = each.groupBy("query").agg(F.max_by(F.struct("n", "path"), "whole").alias("b"))
+    return best.where("b.n = 1").select("query", F.col("b.path").alias("path"))
+
+
 def attempts(events: DataFrame, most: int = 3) -> DataFrame:
     """node, tries, state, wait of attempt events (node, seq, ok, seconds, limit): done, retry after a doubling wait, or failed.
 

@@ -119,7 +119,7 @@ def test_instrument_files(spark):
     one = parsed.where("path like '%112.csv'")
     assert rows(one.where("kind = 'spec'").select("param", "std_item", "upper", "lower")) == [(0, "VF", 1.5, 0.5), (1, "IR", None, None), (2, "VF", 3.0, 1.0)]
     assert rows(instrument.measurements(one).select("unit", "param", "value")) == [(1, 0, 0.9), (1, 1, 7.0), (1, 2, 1.9), (2, 1, 8.0), (2, 2, 2.5), (3, 0, 1.1)]
-    names = {r.path[-5:]: (r.lot, r.continuation, r.device_type, r.ga_order) for r in instrument.file_names(files).collect()}
+    names = {r.path[-5:]: (r.lot, r.continuation, r.device, r.work_order) for r in instrument.file_names(files).collect()}
     assert names["2.csv"] == ("lotA/LTX_DEV_TXS-1_GA12-3_2024010112", 0, "DEV", "GA12") and names["1.csv"][1] == 1 and names["t.csv"][2] == "short"
     assert rows(instrument.lot_limits(parsed, files).select("param", "least", "most", "n"))[0] == (0, 0.9, 1.1, 4)
 
