@@ -19,10 +19,11 @@ FLAT = "replace(text, chr(10), ' ')"
 
 
 @query(f"""WITH s AS (SELECT conv_id, turn, role, {FLAT} AS x, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations),
-    g AS (SELECT conv_id, section, max(CASE WHEN role = 'user' THEN substr(x, 1, 40) END) AS title, trim(coalesce(string_agg(CASE WHEN role <> 'user' THEN x END, chr(10) ORDER BY turn), '')) AS content, min(turn) // 2 AS first, coalesce(lead(min(turn)) OVER (PARTITION BY conv_id ORDER BY section), max(turn)) // 2 AS last FROM s WHERE section > 0 GROUP BY ALL)
+    g AS (SELECT conv_id, section, max(CASE WHEN role = 'user' THEN substr(x, 1, 40) END) AS title, trim(coalesce(string_agg(CASE WHEN role <> 'user' THEN x END, chr(10) ORDER BY turn), '')) AS content, min(turn) AS t0, max(turn) AS t1 FROM s WHERE section > 0 GROUP BY conv_id, section),
+    p AS (SELECT *, t0 // 2 AS first, coalesce(lead(t0) OVER (PARTITION BY conv_id ORDER BY section), t1) // 2 AS last FROM g)
     SELECT conv_id, title, content, len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> ''))::INT AS word_count,
            CASE WHEN regexp_matches(title || ' ' || substr(content, 1, 200), '(?i)the ing|tion') THEN 'tion' ELSE 'other' END AS content_type, 'p' || first || CASE WHEN last > first THEN '-' || last ELSE '' END AS source_page
-    FROM g WHERE len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) >= 5""")
+    FROM p WHERE len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) >= 5""")
 def conversation_sections(t):
     """Turns as Markdown lines, each after a mark of its page: a user's turn opens a section, the others are its body."""
     flat = F.replace("text", F.lit("\n"), F.lit(" "))
