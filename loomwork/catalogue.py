@@ -278,7 +278,7 @@ def audit_issues(t):
     )
 
 
-@query("SELECT 2 AS exit_code")
+@query(f"SELECT coalesce(max(CASE severity WHEN 'ERROR' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END), 0)::INT AS exit_code FROM ({ORACLES['audit_issues']})")
 def audit_exit_code(t):
     return tables.exit_code(audit_issues(t))
 

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwork.catalogue import ORACLES
+from loomwork.catalogue import ORACLES, SPARSE
 from loomwork.catalogue_knowledge import PHRASES
-from loomwork.operators import aliases, conflicts, ordering, vectors
+from loomwork.operators import aliases, conflicts, graph, ordering, vectors
 from loomwork.operators.text_index import TextIndex
 from loomwork.operators.versioned import VersionedTable
 from loomwork.plans.storage import shared_folder
@@ -212,3 +212,18 @@ def first_line_conflicts(t):
     lines = t.documents.select(F.col("doc_id").alias("id"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("text"))
     found = conflicts.conflicts(lines, lines, 0.4).where("left_id < right_id")
     return found.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), F.bround("score", 4).alias("score"))
+
+
+# Many paths at once
+
+
+@query(f"""WITH RECURSIVE {SPARSE}, p AS (SELECT 'S:' || a.s_suppkey AS a, CASE WHEN a.s_suppkey % 5 = 0 THEN 'P:' || a.s_suppkey ELSE 'S:' || b.s_suppkey END AS b FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1),
+    r(src, node, depth) AS (SELECT DISTINCT a, a, 0 FROM p UNION SELECT src, e.v, depth + 1 FROM r JOIN e ON e.u = r.node WHERE depth < 3)
+    SELECT a, b, min(depth) AS hops FROM p LEFT JOIN r ON src = a AND node = b GROUP BY a, b""")
+def pair_distances(t):
+    """Hops, at most three, between each supplier and the next one, or a part."""
+    following = t.supplier.select((F.col("s_suppkey") - 1).alias("k"), F.concat(F.lit("S:"), "s_suppkey").alias("next"))
+    met = t.supplier.join(following, F.col("s_suppkey") == F.col("k"))
+    part = F.concat(F.lit("P:"), "s_suppkey")
+    pairs = met.select(F.concat(F.lit("S:"), "s_suppkey").alias("a"), F.when(F.col("s_suppkey") % 5 == 0, part).otherwise(F.col("next")).alias("b"))
+    return graph.path_lengths(t.edges(), pairs, 3)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomwork.functions import parsing, text
-from loomwork.operators import aliases, checks, graph, knowledge, tables
+from loomwork.operators import aliases, checks, entries, graph, knowledge, tables
 from loomwork.plans.storage import shared_folder
 from loomwork.registry import query
 from loomwork.sources import code, logs
@@ -155,6 +155,16 @@ def resolved_arguments(t):
     return knowledge.resolved_exactly(modules.select(name.alias("query")).union(modules.select("path")), modules)
 
 
+@query("SELECT DISTINCT l_orderkey AS workflow, p_name AS agent FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'SMALL'")
+def workflow_delegates(t):
+    """Which agents the nodes of a workflow delegate to, out of its definition in JSON; an order's lines are its nodes."""
+    node = F.struct(F.col("l_linenumber").alias("step"), F.struct(F.col("l_partkey").alias("part")).alias("delegate"))
+    written = t.lineitem.groupBy("l_orderkey").agg(F.to_json(F.struct(F.col("l_orderkey").alias("name"), F.collect_list(node).alias("nodes"))).alias("definition"))
+    read = written.select(F.from_json("definition", "name long, nodes array<struct<step:int,delegate:struct<part:long>>>").alias("d"))
+    nodes = read.select(F.col("d.name").alias("name"), F.col("d.nodes.delegate.part").alias("nodes"))
+    return entries.delegates(nodes, t.part.where("p_type = 'SMALL'").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("agent")))
+
+
 # Writing entries
 
 

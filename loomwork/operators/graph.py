@@ -39,6 +39,40 @@ def path_length(edges: DataFrame, start, end, most: int = 6) -> DataFrame:
     return found.agg(F.min("depth").alias("hops"))
 
 
+def path_lengths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
+    """a, b, hops of many pairs (a, b) at once, along (u, v); null beyond ``most``, 0 where both are the same node.
+
+    Frontiers go out from all first ends and, against the edges, from all last
+    ends, by turns; a pair is met where its two reach one node, and ends that
+    only met pairs have go no further.  Hops up to ``most`` so take half the
+    depth from either end.
+    """
+    against = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    wanted = materialize(pairs.select("a", "b").where("a is not null and b is not null").distinct(), "pairs")
+    met = materialize(wanted.where("a = b").select("a", "b", F.lit(0).alias("hops")), "met")
+    left = wanted.where("a <> b")
+    sides = {}
+    for end in ("a", "b"):
+        start = materialize(left.select(F.col(end).alias("end"), F.col(end).alias("node")).distinct().withColumn("depth", F.lit(0)), "side")
+        sides[end] = (start, start)
+    for hops in range(1, most + 1):
+        end, other = ("a", "b") if hops % 2 else ("b", "a")
+        seen, frontier = sides[end]
+        going = left.select(F.col(end).alias("end")).distinct()
+        step = frontier.join(going, "end", "left_semi").join(edges if end == "a" else against, F.col("node") == F.col("u"))
+        reached = step.select("end", F.col("v").alias("node")).distinct().join(seen.select("end", "node"), ["end", "node"], "left_anti")
+        frontier = materialize(reached.withColumn("depth", F.lit((hops + 1) // 2)), "side")
+        sides[end] = (seen.union(frontier), frontier)
+        there = sides[other][0].select(F.col("end").alias(other), "node")
+        found = left.join(frontier.select(F.col("end").alias(end), "node"), end).join(there, [other, "node"], "left_semi").select("a", "b").distinct()
+        found = materialize(found.withColumn("hops", F.lit(hops)), "met")
+        met = met.union(found)
+        left = materialize(left.join(found, ["a", "b"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+    return met.union(wanted.where("a <> b").join(met.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", F.lit(None).cast("int")))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """node, degree over both ends."""
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -106,10 +107,10 @@ def attempts(events: DataFrame, most: int = 3) -> DataFrame:
     success does not count.
     """
     good = F.col("ok") & (F.col("seconds") <= F.col("limit"))
-    first = events.withColumn("good", good).groupBy("node").agg(F.min(F.when(F.col("good"), F.col("seq"))).alias("first_ok"), F.collect_list(F.struct("seq", "good")).alias("all"))
-    tries = F.size(F.filter("all", lambda x: F.col("first_ok").isNull() | (x["seq"] <= F.col("first_ok"))))
-    state = F.when(F.col("first_ok").isNotNull(), "done").when(tries >= most, "failed").otherwise("retry")
-    return first.select("node", tries.alias("tries"), state.alias("state"), F.when(state == "retry", F.pow(F.lit(2.0), tries - 1)).alias("wait"))
+    first = F.min(F.when(good, F.col("seq"))).over(W.partitionBy("node"))
+    counted = events.withColumn("first_ok", first).groupBy("node").agg(F.max("first_ok").alias("first_ok"), F.count_if(F.col("first_ok").isNull() | (F.col("seq") <= F.col("first_ok"))).cast("int").alias("tries"))
+    state = F.when(F.col("first_ok").isNotNull(), "done").when(F.col("tries") >= most, "failed").otherwise("retry")
+    return counted.select("node", "tries", state.alias("state"), F.when(state == "retry", F.pow(F.lit(2.0), F.col("tries") - 1)).alias("wait"))
 
 
 def row_json(*columns: str, limit: int = 300) -> Column:

@@ -53,6 +53,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], k1: float =
     whole = lambda term: rf"(?<![a-z0-9]){term}(?![a-z0-9])"
     count = lambda term: F.when(F.col("_low").contains(term), F.regexp_count("_low", F.lit(whole(term)))).otherwise(0)
     counted = own.select(key, F.regexp_count("_low", F.lit("[a-z0-9]+")).alias("_len"), *[count(t).alias(f"_tf{k}") for k, t in enumerate(terms)])
+    counted = materialize(counted, "counts")
     totals = counted.agg(F.count("*").alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))]).first()
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -241,6 +242,7 @@ def phrase_bm25(docs: DataFrame, key: str, text: str, phrases: Sequence[str], k1
     own = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
     count = lambda p: (F.length("_low") - F.length(F.replace("_low", F.lit(p), F.lit("")))) / len(p)
     counted = own.select(key, F.greatest(F.length("_low") - 2, F.lit(0)).alias("_len"), *[count(p.lower()).alias(f"_tf{i}") for i, p in enumerate(phrases)])
+    counted = materialize(counted, "counts")
     totals = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))])
     joined, score, every = counted.crossJoin(F.broadcast(totals)), F.lit(0.0), F.lit(True)  # one row
     for i in range(len(phrases)):
