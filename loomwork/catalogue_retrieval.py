@@ -15,6 +15,7 @@ from loomwork.operators.versioned import VersionedTable
 from loomwork.plans.storage import shared_folder
 from loomwork.registry import query
 from loomwork.streaming.attempts import RESULT, attempt_stream
+from loomwork.streaming.logs import LogReader
 
 
 def _kept(t, kind: str) -> TextIndex:
@@ -227,3 +228,20 @@ def pair_distances(t):
     part = F.concat(F.lit("P:"), "s_suppkey")
     pairs = met.select(F.concat(F.lit("S:"), "s_suppkey").alias("a"), F.when(F.col("s_suppkey") % 5 == 0, part).otherwise(F.col("next")).alias("b"))
     return graph.path_lengths(t.edges(), pairs, 3)
+
+
+# A log that grows
+
+
+@query("""SELECT event_type AS kind, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY event_type UNION ALL SELECT 'bad', count(*) FROM events WHERE event_type = 'error'""")
+def growing_log(t):
+    """Events as JSON lines in two parts, read by a reader that stops between them; cut lines are counted apart."""
+    folder = f"{shared_folder(t.spark)}/log-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct("event_id", "event_type", "value"))
+    lines = t.events.select("event_type", "ts", F.when(F.col("event_type") == "error", F.substring(line, 1, 30)).otherwise(line).alias("value"))
+    reader = LogReader(t.spark, f"{folder}/in", f"{folder}/kept", "event_id long, event_type string, value double", ("event_id",))
+    for part in ("ts < '2024-01-15'", "ts >= '2024-01-15'"):
+        lines.where(part).select("value").write.mode("append").text(f"{folder}/in")
+        reader.catch_up()
+    good = reader.rows.read().groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return good.union(reader.rejects.read().agg(F.lit("bad"), F.coalesce(F.sum("n"), F.lit(0))))
