@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loomwork.functions import parsing, text
+from loomwork.functions import encodings, parsing, text
 from loomwork.operators import aliases, checks, entries, graph, knowledge, tables
 from loomwork.plans.storage import shared_folder
 from loomwork.registry import query
@@ -234,3 +234,16 @@ def source_exit_codes(t):
     rule = F.when(F.length("text") > 5000, "ERROR").when(F.length("text") < 50, "WARN").otherwise("INFO")
     level = F.max(F.when(rule == "ERROR", 2).when(rule == "WARN", 1).otherwise(0))
     return t.documents.groupBy(F.col("source").alias("rule")).agg(level.alias("exit_code"))
+
+
+# Encodings
+
+
+@query("""SELECT doc_id, CASE WHEN text = '' THEN 'utf-8' WHEN lang = 'de' THEN 'utf-16-le' WHEN lang = 'en' THEN 'utf-16-be' WHEN lang = 'fr' AND regexp_matches(substr(text, 1, 10000), '[\\x{80}-\\x{ff}]') THEN 'latin-1' ELSE 'utf-8' END AS encoding FROM documents""")
+def detected_encodings(t):
+    """The encodings of files that each language writes in its own."""
+    names = {"de": "UTF-16LE", "en": "UTF-16BE", "fr": "ISO-8859-1", "es": "UTF-8"}
+    # Characters that Latin-1 lacks are written as question marks, as its writers do.
+    known = F.when(F.col("lang") == "fr", F.regexp_replace("text", r"[^\x{0}-\x{ff}]", "?")).otherwise(F.col("text"))
+    content = F.coalesce(*[F.when(F.col("lang") == k, F.encode(known, v)) for k, v in names.items()])
+    return t.documents.select("doc_id", encodings.encoding(content).alias("encoding"))
