@@ -26,8 +26,10 @@ from loomwork.llm.token_counts import load_tokenizer
 from loomwork.plans.storage import materialize
 
 END_OF_DOCUMENT = 1
-#: Blank-separated strings, and words in them, that a worker remembers; it starts anew beyond that.
-REMEMBERED_STRINGS, REMEMBERED_WORDS = 600_000, 800_000
+#: Blank-separated strings, and words in them, that a worker remembers, of so many characters at most; it starts anew beyond that.
+REMEMBERED_STRINGS, REMEMBERED_WORDS, REMEMBERED_CHARS = 200_000, 200_000, 40
+#: Strings of a text between two looks at how much is remembered.
+STRETCH = 100_000
 #: Separators to str.split, but not to the tokenizer.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Composed letters that the tokenizer's normalizer only lower-cases.
@@ -44,7 +46,9 @@ class _Words(dict):
         self.encode, self.split, self.merge = tokenizer.encode, tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
 
     def __missing__(self, string: str) -> bytes:
-        value = self[string] = array("I", self.encode(string, add_special_tokens=False).ids).tobytes()
+        value = array("I", self.encode(string, add_special_tokens=False).ids).tobytes()
+        if len(string) <= REMEMBERED_CHARS:
+            self[string] = value
         return value
 
     def plain(self, word: str) -> bytes:
@@ -52,7 +56,9 @@ class _Words(dict):
         value = self.get(word)
         if value is None:
             [(piece, _)] = [(word, None)] if word.isascii() else self.split(word)
-            value = self[word] = array("I", [t.id for t in self.merge(piece)]).tobytes()
+            value = array("I", [t.id for t in self.merge(piece)]).tobytes()
+            if len(word) <= REMEMBERED_CHARS:
+                self[word] = value
         return value
 
 
@@ -75,17 +81,21 @@ class WordIds(dict):
                 value += self.words[mark]
         else:
             value = self.words[string]
-        self[string] = value
+        if len(string) <= REMEMBERED_CHARS:
+            self[string] = value
         return value
 
     def of(self, text: str) -> bytes:
-        if len(self) > REMEMBERED_STRINGS:
-            self.clear()
-        if len(self.words) > REMEMBERED_WORDS:
-            self.words.clear()
         if _NOT_SPACE.search(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        strings, parts = text.split(), []
+        for k in range(0, len(strings), STRETCH):
+            if len(self) > REMEMBERED_STRINGS:
+                self.clear()
+            if len(self.words) > REMEMBERED_WORDS:
+                self.words.clear()
+            parts.append(b"".join(map(self.__getitem__, strings[k : k + STRETCH])))
+        return b"".join(parts)
 
 
 _WORDS: dict[str, WordIds] = {}

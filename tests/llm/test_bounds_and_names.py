@@ -84,3 +84,30 @@ def test_columns_with_working_names_keep_their_values(spark):
         got, plain = step(named), step(docs)
         assert all(got.where(F.col(name) != (F.col("doc_id") * 7 + k).cast("string")).isEmpty() for k, name in enumerate(NAMES))
         assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in plain.select("doc_id").collect())
+
+
+def test_remembered_strings_are_short_and_few(monkeypatch):
+    import public_tokenizers
+
+    from loomwork.llm import packing
+    from loomwork.llm.token_counts import load_tokenizer
+
+    tokenizer = load_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(packing, "REMEMBERED_STRINGS", 50)
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 50)
+    monkeypatch.setattr(packing, "STRETCH", 20)
+    rng = random.Random(3)
+    known = packing.WordIds(tokenizer)
+    for text in ("一二三四五六七八九十" * 500, "x" * 3_000 + " y", " ".join(words(rng, 400)), "Word, word! WORD (word) " * 40):
+        assert np.frombuffer(known.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(known) <= 70 and len(known.words) <= 70 and max(map(len, (*known, *known.words)), default=0) <= packing.REMEMBERED_CHARS
+
+
+def test_a_hot_group_of_copies_is_one_text_of_the_sample(spark):
+    from loomwork.llm.licenses import corpus_paragraphs
+
+    rng = random.Random(7)
+    texts = [" ".join(words(rng, 12)) for _ in range(300)]
+    docs = spark.createDataFrame([(t,) for t in texts] + [("the same text of all copies\n\nthe same text of all copies",)] * 600, "text string").repartition(4)
+    found = corpus_paragraphs(docs, sample=100)
+    assert len(found) == len(set(found)) > 50
