@@ -26,8 +26,8 @@ from loomwork.llm.token_counts import load_tokenizer
 from loomwork.plans.storage import materialize
 
 END_OF_DOCUMENT = 1
-#: Blank-separated strings, and words in them, that a worker remembers, of so many characters at most; it starts anew beyond that.
-REMEMBERED_STRINGS, REMEMBERED_WORDS, REMEMBERED_CHARS = 200_000, 200_000, 40
+#: Blank-separated strings that a task, and words in them that a worker remembers, of so many characters at most; it starts anew beyond that.
+REMEMBERED_STRINGS, REMEMBERED_WORDS, REMEMBERED_CHARS = 500_000, 300_000, 40
 #: Strings of a text between two looks at how much is remembered.
 STRETCH = 100_000
 #: Separators to str.split, but not to the tokenizer.
@@ -118,6 +118,7 @@ def _cut(tokenizer_path: str, capacity: int):
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.clear()  # few strings of one task are in the next; a worker that waits should hold little
 
     return run
 
