@@ -416,13 +416,13 @@ _DOUBTFUL = r"\bMIT\b|(?i:licen[cs]|copyright|rights|permi|redistrib|domain|comm
 
 
 def corpus_paragraphs(docs: DataFrame, sample: int = SAMPLE_DOCS) -> list[str]:
-    """Paragraphs of at most ``sample`` documents of the least hashes, SAMPLE_CHARS characters in all at most."""
+    """Distinct paragraphs of at most ``sample`` distinct texts of the least hashes, SAMPLE_CHARS characters in all at most."""
     n = docs.count()
     share = int(min(1.0, 2 * sample / max(1, n)) * 1_000_000)
     order = F.xxhash64(F.lit("licence"), "text")
-    chosen = docs.where(F.pmod(order, F.lit(1_000_000)) <= share).select(order.alias("h"), "text").orderBy("h", "text").limit(sample)
+    chosen = docs.where(F.pmod(order, F.lit(1_000_000)) <= share).select(order.alias("h"), "text").dropDuplicates(["h"]).orderBy("h").limit(sample)
     parts = chosen.select("h", F.explode(F.split("text", "\n[ \t\r]*\n")).alias("p")).where((F.length("p") < 1_000) & ~F.col("p").rlike(_DOUBTFUL))
-    rows = parts.orderBy("h", "p").limit(SAMPLE_CHARS // 1_000).collect()
+    rows = parts.groupBy("p").agg(F.min("h").alias("h")).orderBy("h", "p").limit(SAMPLE_CHARS // 1_000).collect()
     return [r["p"] for r in rows]
 
 
