@@ -34,3 +34,10 @@ def test_columns(spark):
     got = spark.createDataFrame(rows, "k string, data binary").select("k", encoding("data").alias("e"), text_of("data").alias("t")).collect()
     assert [(r.k, r.e) for r in got] == [*CASES[:6], ("none", None), ("mark", "utf-8")]
     assert all(r.t == TEXTS[r.k] for r in got[:6]) and got[7].t == "abc"
+
+
+def test_words_of_accents_and_figures():
+    words = ["Éèçier, vequmo les vequcon et euxan, aiçè menton oupale.", "Èéèaux éêvi enpaierre eauelle.", "Ééêle, " * 40, "aééèç et Ééêèle", "« oui » et non"]
+    assert {detect(w.encode("latin-1")) for w in words} == {"latin-1"}
+    assert {detect(w.encode("utf-8")) for w in words} == {"utf-8"}
+    assert detect(b"10203040 a0b0") == detect(b"0000") == "utf-8"
