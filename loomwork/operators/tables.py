@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomwork.plans.storage import materialize
+
 
 def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``table`` with the rows of ``changes`` in place of those of equal keys."""
@@ -141,22 +143,42 @@ def cooling(result: Column, age: Column) -> Column:
     return F.when(result.isNull(), False).otherwise((wait > 0) & F.coalesce(age < wait, F.lit(True)))
 
 
+#: Rows that are equal in shape and stay together in one row.
+ALIKE = 1_024
+
+
 def overlapping(rects: DataFrame, cell: float, tolerance: float = 0.0) -> DataFrame:
-    """Pairs of rectangles (id, page, x0, y0, x1, y1) of a page that overlap by more than ``tolerance`` both ways: a, b, area.
+    """Pairs of rectangles (id, page, x0, y0, x1, y1) of a page that overlap by more than ``tolerance`` both ways: a, b, area."""
+    return overlap_shares(rects, cell, tolerance).select("a", "b", "area")
+
+
+def overlap_shares(rects: DataFrame, cell: float, tolerance: float = 0.0) -> DataFrame:
+    """a, b, area of ``overlapping`` and the share of the smaller rectangle that the area covers.
 
-    Rectangles meet in the grid cells that they touch, and a pair is reported
-    in the cell of its overlap's lower corner alone; edges that only touch do
-    not overlap.
+    Equal rectangles meet others once, as lists of at most ALIKE
+    ids, and are told apart in the result alone.  Shapes meet in the grid
+    cells that they touch, and a pair is reported in the cell of its
+    overlap's lower corner alone; edges that only touch do not overlap.
     """
+    shape = ["page", "x0", "y0", "x1", "y1"]
+    placed = rects.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in ("id", *shape)]))
+    counts = placed.groupBy(*shape).agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    shapes = materialize(placed.groupBy(*shape, F.pmod(F.xxhash64("id"), F.lit(-(-most // ALIKE) or 1)).alias("_k")).agg(F.collect_list("id").alias("ids")), "shapes")
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    gridded = rects.withColumn("cx", cells("x0", "x1")).withColumn("cy", cells("y0", "y1"))
+    gridded = shapes.withColumn("cx", cells("x0", "x1")).withColumn("cy", cells("y0", "y1"))
     a, b = gridded.alias("a"), gridded.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("page", "cx", "cy")]
     x, y = F.greatest("a.x0", "b.x0"), F.greatest("a.y0", "b.y0")
     corner = (F.floor(x / cell) == F.col("a.cx")) & (F.floor(y / cell) == F.col("a.cy"))
     w, h = F.least("a.x1", "b.x1") - x, F.least("a.y1", "b.y1") - y
-    met = a.join(b, [*same, F.col("a.id") < F.col("b.id"), corner, w > tolerance, h > tolerance])
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (w * h).alias("area"))
+    size = lambda r: (F.col(f"{r}.x1") - F.col(f"{r}.x0")) * (F.col(f"{r}.y1") - F.col(f"{r}.y0"))
+    least = F.least(size("a"), size("b"))
+    own = lambda r: F.struct(*[F.col(f"{r}.{c}") for c in (*shape, "_k")])
+    met = a.join(b, [*same, own("a") <= own("b"), corner, w > tolerance, h > tolerance])
+    met = met.select((w * h).alias("area"), F.when(least <= 0, 0.0).otherwise(w * h / least).alias("share"), F.col("a.ids").alias("left"), F.col("b.ids").alias("right"), (own("a") == own("b")).alias("one"))
+    every = met.select("area", "share", "one", "right", F.explode("left").alias("p")).select("area", "share", "one", "p", F.explode("right").alias("q"))
+    return every.where(F.when(F.col("one"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "area", "share")
 
 
 def table_counts(named: dict[str, DataFrame]) -> DataFrame:

@@ -150,3 +150,12 @@ def test_stream_equals_batch(spark, tmp_path, make):
     last = max(r.ts for r in batch.select(F.max("ts").alias("ts")).collect())
     closed = [r for r in want if max(x for x in r if isinstance(x, dt.datetime)) < last - dt.timedelta(days=2)]
     assert closed and {repr(r) for r in closed} <= {repr(r) for r in got} <= {repr(r) for r in want}
+
+
+def test_equal_rectangles_meet_others_as_one(spark):
+    shapes = {(0.0, 0.0, 4.0, 2.0): range(0, 3000), (1.0, 1.0, 3.0, 3.0): range(5000, 5002), (4.0, 0.0, 5.0, 2.0): [9000]}
+    rects = spark.createDataFrame([(i, 1, *s) for s, ids in shapes.items() for i in ids], "id long, page int, x0 double, y0 double, x1 double, y1 double")
+    found = tables.overlap_shares(rects, 2.0)
+    got = found.groupBy("area", "share").count().collect()
+    assert sorted(tuple(r) for r in got) == [(2.0, 0.5, 6000), (4.0, 1.0, 1), (8.0, 1.0, 3000 * 2999 // 2)]
+    assert found.where("a >= b").isEmpty() and found.distinct().count() == found.count()
