@@ -71,11 +71,7 @@ def rectangle_tolerance(t):
     key = F.col("p_partkey")
     x, y = (key % 97).cast("double"), (key % 89).cast("double")
     rects = t.part.select(key.alias("id"), (F.col("p_size") % 5).alias("page"), x.alias("x0"), y.alias("y0"), (x + 1 + F.col("p_size") % 7).alias("x1"), (y + 2).alias("y1"))
-    met = tables.overlapping(rects, cell=8.0, tolerance=0.5)
-    side = lambda s: rects.select(F.col("id").alias(s), F.struct("x0", "y0", "x1", "y1").alias(f"r{s}"))
-    both = met.join(side("a"), "a").join(side("b"), "b")
-    corners = lambda s: {c: F.col(f"r{s}.{c}") for c in ("x0", "y0", "x1", "y1")}
-    return both.select("a", "b", F.round(materials.overlap_share(corners("a"), corners("b")), 6).alias("share"))
+    return tables.overlap_shares(rects, cell=8.0, tolerance=0.5).select("a", "b", F.round("share", 6).alias("share"))
 
 
 @query("SELECT p_name, CASE WHEN p_name LIKE 'red%' THEN 'core' WHEN p_name LIKE 'b%' THEN 'base' ELSE 'other' END AS tier FROM (SELECT DISTINCT p_name FROM part)")
