@@ -108,3 +108,11 @@ def test_replayed_batches_lose_nothing(spark, tmp_path):
     run(batch(("c", 3, "w")), 2)
     at = stream.latest_version(spark, folder)
     assert at == 2 and rows(spark.read.parquet(f"{folder}/v{at}")) == [("a", 2, "z"), ("b", 1, "y"), ("c", 3, "w")]
+
+
+def test_products_of_one_batch_are_bounded(spark, monkeypatch):
+    queries = spark.range(0, 900).selectExpr("id", "array(sin(id), cos(id), 0.1D) AS v", "id % 3 AS mark")
+    shapes, plain = spark.sparkContext.accumulator(0), search._matrix
+    monkeypatch.setattr(search, "_matrix", lambda column: (shapes.add(len(column) > 600), plain(column))[1])
+    found = search.nearest(queries, spark.range(0, 9000, 1, 1).selectExpr("id", "array(sin(id), cos(id), 0.1D) AS v", "id % 3 AS mark"), "id", "v", k=3, unless="mark")
+    assert found.count() == 2700 and shapes.value <= 1  # the block of queries itself
