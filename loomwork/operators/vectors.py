@@ -19,14 +19,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.operators.best_first import best_first
-from loomwork.operators.search import QUERY_BLOCK, _matrix
+from loomwork.operators.search import PRODUCTS, QUERY_BLOCK, _matrix
 from loomwork.plans.storage import materialize
 from loomwork.plans.versions import Versions
 
 #: Vectors that pivots and codes are fitted on, and pivots at most.
 SAMPLE, PIVOTS = 8_192, 1_024
-#: Vectors of a side that two tasks' worth of a cell compare at once.
-CHUNK = 4_096
+#: Vectors of a part of which a task compares two; smaller tables have smaller parts, down to SMALL.
+CHUNK, SMALL = 32_768, 1_024
 #: Folders that cells are dealt over.
 BANDS = 16
 #: What rounding may move a distance.
@@ -105,21 +105,51 @@ def _replicas(known):
     return run
 
 
-def _compared(least: float):
-    """Chunks of a cell's own vectors and of its own and replicated ones to pairs (a, b, similarity), a < b."""
+def _parts(pivots: np.ndarray, counts: np.ndarray, most: int) -> list[list[tuple[int, int]]]:
+    """Cells in parts of at most ``most`` vectors, neighbours together: of each part its (cell, pieces of that cell); a cell of more is cut into pieces."""
+    between, left, parts, size = _distances(pivots, pivots), set(np.flatnonzero(counts).tolist()), [], most + 1
+    cell = min(left)
+    while True:
+        left.discard(cell)
+        pieces = -(-int(counts[cell]) // most)
+        if pieces > 1:
+            parts += [[(cell, pieces)]] * pieces
+            size = most + 1
+        elif size + counts[cell] > most:
+            parts.append([(cell, 1)])
+            size = counts[cell]
+        else:
+            parts[-1].append((cell, 1))
+            size += counts[cell]
+        if not left:
+            return parts
+        cell = min(left, key=lambda c: between[cell, c])
+
+
+def _compared(known, least: float):
+    """Two parts' vectors (i, j, key, home, vector) to pairs (a, b, similarity), a < b; cells beyond reach of one another never meet."""
 
     def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        near_cells = known.value
         left, right = own["key"].to_numpy(), asked["key"].to_numpy()
-        rows = _matrix(own["vector"].combine_chunks())
-        found: list[tuple] = []
-        asking, same = _matrix(asked["vector"].combine_chunks()), asked["home"].to_numpy() == asked["cell"].to_numpy()
-        for k in range(0, len(right), 512):
-            near = asking[k : k + 512] @ rows.T
-            ok = (near >= least) & (~same[k : k + 512, None] | (left[None] < right[k : k + 512, None]))
-            q, at = np.nonzero(ok)
-            found.append((right[k + q], left[at], near[q, at]))
-        x, y, s = (np.concatenate(c) for c in zip(*found)) if found else (right[:0], left[:0], np.zeros(0))
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": s})
+        found: list[tuple] = [(left[:0], left[:0], np.zeros(0))]
+        if own.num_rows and asked.num_rows:
+            rows, asking = _matrix(own["vector"].combine_chunks()), _matrix(asked["vector"].combine_chunks())
+            homes, asking_homes = own["home"].to_numpy(), asked["home"].to_numpy()
+            same = own["i"][0] == own["j"][0]
+            for cell in np.unique(asking_homes):
+                here = np.flatnonzero(near_cells[cell][homes])
+                block, ask = rows[here].T, np.flatnonzero(asking_homes == cell)
+                step = max(1, PRODUCTS // max(1, len(here)))
+                for k in range(0, len(ask), step):
+                    some = ask[k : k + step]
+                    near = asking[some] @ block
+                    q, at = np.nonzero(near >= least)
+                    x, y, value = right[some[q]], left[here[at]], near[q, at]
+                    kept = x > y if same else slice(None)
+                    found.append((x[kept], y[kept], value[kept]))
+        x, y, value = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": value})
 
     return run
 
@@ -134,10 +164,10 @@ def classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def similar_vectors(vectors: DataFrame, key: str, vector: str, least: float, cells: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b, similarity) of representatives at cosine ``least`` (above 0) or more, and members (key, representative).
 
-    Equal vectors are one representative.  A vector meets its own cell and
-    the lower cells within reach; each pair is found in the lower of its cells
-    alone.  Cells with many vectors are compared chunk by chunk, so no task
-    holds more than two chunks.  Keys are unique longs.
+    Equal vectors are one representative.  Cells are put together in parts of
+    at most CHUNK vectors, larger cells cut into such; two parts meet in one
+    task if some of their cells are within reach, so a vector is sent once a
+    part and no task holds more than two parts.  Keys are unique longs.
     """
     spark = vectors.sparkSession
     members = materialize(classes(vectors, key, vector), "members")
@@ -150,19 +180,23 @@ def similar_vectors(vectors: DataFrame, key: str, vector: str, least: float, cel
     if not n:
         return spark.createDataFrame([], "a long, b long, similarity double"), members
     homes = materialize(own.mapInArrow(_homes(spark.sparkContext.broadcast(pivots)), "key long, home int, apart double, vector array<double>"), "homes")
-    reach, radius = float(np.sqrt(max(0.0, 2 - 2 * least))), np.full(len(pivots), -np.inf)
-    for r in homes.groupBy("home").agg(F.max("apart").alias("radius")).collect():  # a row per pivot
-        radius[r.home] = r.radius
-    known = spark.sparkContext.broadcast((pivots, radius, reach))
-    asked = materialize(homes.mapInArrow(_replicas(known), "key long, home int, cell int, vector array<double>"), "asked")
-    counts = asked.groupBy("cell").agg(F.count("*").alias("asking"), F.count_if(F.col("home") == F.col("cell")).alias("own"))
-    shares = counts.select("cell", F.ceil(F.col("own") / CHUNK).cast("int").alias("as"), F.ceil(F.col("asking") / CHUNK).cast("int").alias("bs"))
-    shares = F.broadcast(materialize(shares, "shares"))  # a row per pivot
-    dealt = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = homes.withColumnRenamed("home", "cell").join(shares, "cell").select("cell", dealt("as").alias("x"), "key", "vector", all_of("bs").alias("y"))
-    right = asked.join(shares, "cell").select("cell", dealt("bs").alias("y"), "key", "home", "vector", all_of("as").alias("x"))
-    pairs = left.groupBy("cell", "x", "y").cogroup(right.groupBy("cell", "x", "y")).applyInArrow(_compared(least), "a long, b long, similarity double")
+    reach, radius, counts = float(np.sqrt(max(0.0, 2 - 2 * least))), np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in homes.groupBy("home").agg(F.max("apart").alias("radius"), F.count("*").alias("n")).collect():  # a row per pivot
+        radius[r.home], counts[r.home] = r.radius, r.n
+    near = _distances(pivots, pivots) <= radius[:, None] + radius[None] + reach + SLACK
+    parts = _parts(pivots, counts, min(CHUNK, max(SMALL, -(-n // 16))))
+    known = spark.sparkContext.broadcast(near)
+    holds = np.zeros((len(parts), len(pivots)), np.float32)
+    for part, cells_of in enumerate(parts):
+        holds[part, [c for c, _ in cells_of]] = 1
+    i, j = np.nonzero(np.triu(holds @ near.astype(np.float32) @ holds.T > 0))
+    met = spark.createDataFrame(pa.table({"i": i.astype(np.int32), "j": j.astype(np.int32)}))  # of parts, which are as many as n / CHUNK and the pivots
+    first = {c: part for part, cells_of in reversed(list(enumerate(parts))) for c, _ in cells_of}
+    places = spark.createDataFrame([(c, first[c], m) for part in parts for c, m in part], "home int, first int, pieces int").distinct()
+    placed = homes.join(F.broadcast(places), "home").select("key", "home", "vector", (F.col("first") + F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")).alias("part"))
+    placed = materialize(placed, "placed")
+    dealt = lambda side: placed.withColumnRenamed("part", side).join(F.broadcast(met), side).select(*[F.col(c).alias(c) for c in ("i", "j", "key", "home", "vector")])
+    pairs = dealt("i").groupBy("i", "j").cogroup(dealt("j").groupBy("i", "j")).applyInArrow(_compared(known, least), "a long, b long, similarity double")
     return pairs, members
 
 

@@ -138,3 +138,9 @@ def test_exact_search_opens_near_cells_only(spark, tmp_path):
 def test_classes(spark):
     df = frame(spark, [(3, [1, 2]), (1, [1, 2]), (2, [2, 4])])
     assert sorted(tuple(r) for r in classes(df, "id", "v").collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_parts_are_bounded_and_keep_neighbours():
+    pivots = np.array([[0.0, 1.0], [1.0, 0.0], [0.1, 0.995], [0.995, 0.1]])
+    assert vectors._parts(pivots, np.array([40, 30, 50, 60]), 100) == [[(0, 1), (2, 1)], [(3, 1), (1, 1)]]
+    assert vectors._parts(pivots, np.array([10, 0, 250, 5]), 100) == [[(0, 1)], [(2, 3)], [(2, 3)], [(2, 3)], [(3, 1)]]
