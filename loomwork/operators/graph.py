@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.plans.storage import materialize
@@ -39,14 +39,34 @@ def path_length(edges: DataFrame, start, end, most: int = 6) -> DataFrame:
     return found.agg(F.min("depth").alias("hops"))
 
 
+#: Longs of a frontier's bits.
+LONGS = 4
+
+
+def _bits(node: Column) -> list[Column]:
+    """Per long the bits that the hashes of a group's nodes choose."""
+    place = F.pmod(F.xxhash64(node), F.lit(64 * LONGS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    return [F.bit_or(F.when(F.floor(place / 64) == k, bit).otherwise(F.lit(0).cast("long"))) for k in range(LONGS)]
+
+
+def _has(bits: Column, node: Column) -> Column:
+    """Whether a node's bit is set; true of all nodes of the group and of some others."""
+    place = F.pmod(F.xxhash64(node), F.lit(64 * LONGS))
+    own = F.get(bits, F.floor(place / 64).cast("int"))
+    return F.call_function("shiftright", own, (place % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def path_lengths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
     """a, b, hops of many pairs (a, b) at once, along (u, v); null beyond ``most``, 0 where both are the same node.
 
     Frontiers go out from all first ends and, against the edges, from all last
     ends, by turns; a pair is met where its two reach one node, and ends that
     only met pairs have go no further.  Hops up to ``most`` so take half the
-    depth from either end.
+    depth from either end.  What the last hop reaches is not kept: it only has
+    to meet the other end's frontier, which bits of that frontier tell first.
     """
+    edges = materialize(edges.select("u", "v").where("u is not null and v is not null").distinct(), "edges")
     against = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     wanted = materialize(pairs.select("a", "b").where("a is not null and b is not null").distinct(), "pairs")
     met = materialize(wanted.where("a = b").select("a", "b", F.lit(0).alias("hops")), "met")
@@ -60,10 +80,17 @@ def path_lengths(edges: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame
         seen, frontier = sides[end]
         going = left.select(F.col(end).alias("end")).distinct()
         step = frontier.join(going, "end", "left_semi").join(edges if end == "a" else against, F.col("node") == F.col("u"))
+        there = sides[other][1].select(F.col("end").alias(other), "node")
+        if hops == most:
+            bits = materialize(there.groupBy(other).agg(F.array(*_bits(F.col("node"))).alias("bits")), "bits")
+            asked = frontier.join(left.withColumnRenamed(end, "end"), "end").join(bits, other).select("end", other, "node", "bits")
+            met_last = asked.join(edges if end == "a" else against, F.col("node") == F.col("u")).where(_has(F.col("bits"), F.col("v")))
+            found = met_last.select(F.col("end").alias(end), other, F.col("v").alias("node")).join(there, [other, "node"], "left_semi").select("a", "b").distinct()
+            met = met.union(materialize(found.withColumn("hops", F.lit(hops)), "met"))
+            break
         reached = step.select("end", F.col("v").alias("node")).distinct().join(seen.select("end", "node"), ["end", "node"], "left_anti")
         frontier = materialize(reached.withColumn("depth", F.lit((hops + 1) // 2)), "side")
         sides[end] = (seen.union(frontier), frontier)
-        there = sides[other][0].select(F.col("end").alias(other), "node")
         found = left.join(frontier.select(F.col("end").alias(end), "node"), end).join(there, [other, "node"], "left_semi").select("a", "b").distinct()
         found = materialize(found.withColumn("hops", F.lit(hops)), "met")
         met = met.union(found)

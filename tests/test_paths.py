@@ -43,3 +43,11 @@ def test_each_end_goes_half_the_way(spark, monkeypatch):
     pairs = spark.createDataFrame([(0, 6), (3, 9)], "a int, b int")
     assert sorted(tuple(r) for r in path_lengths(spark.createDataFrame(chain, "u int, v int"), pairs, 6).collect()) == [(0, 6, 6), (3, 9, 6)]
     assert max(depths) == 3
+
+
+def test_last_hop_is_not_kept(spark, monkeypatch):
+    names, plain = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name="step": (names.append(name), plain(df, name))[1])
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "u int, v int")
+    assert [tuple(r) for r in path_lengths(edges, spark.createDataFrame([(0, 2)], "a int, b int"), 2).collect()] == [(0, 2, 2)]
+    assert names.count("side") == 3
