@@ -35,13 +35,19 @@ def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def islands(df: DataFrame, keys: Sequence[str], at: str, longest: int | None = None) -> DataFrame:
     """Runs of consecutive integers per key: first, last, n; longer runs are split at ``longest``."""
     w = W.partitionBy(*keys).orderBy(at)
-    runs = df.select(*keys, at).distinct().withColumn("_run", F.col(at) - F.row_number().over(w))
+    # One sort serves all steps, and no task holds a table of its runs.
+    here, inside = F.col(at), w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    apart = lambda x, y: F.coalesce(F.try_subtract(y, x) > 1, F.lit(True))
+    once = df.select(*keys, at).withColumns({"_n": F.row_number().over(w), "_before": F.lag(at).over(w)})
+    once = once.where((F.col("_n") == 1) | ~here.eqNullSafe(F.col("_before"))).withColumn("_after", F.lead(at).over(w))
+    once = once.withColumns({"_first": apart(F.col("_before"), here), "_last": apart(here, F.col("_after"))})
     if longest:
-        inner = W.partitionBy(*keys, "_run").orderBy(at)
-        runs = runs.withColumn("_piece", F.floor((F.row_number().over(inner) - 1) / longest))
-    else:
-        runs = runs.withColumn("_piece", F.lit(0))
-    return runs.groupBy(*keys, "_run", "_piece").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("_run", "_piece")
+        place = here - F.last(F.when(F.col("_first"), here), ignorenulls=True).over(inside)
+        once = once.withColumn("_place", F.coalesce(place, F.lit(0)))
+        once = once.withColumns({"_first": F.col("_first") | (F.col("_place") % longest == 0), "_last": F.col("_last") | ((F.col("_place") + 1) % longest == 0)})
+    ends = once.where("_first or _last").withColumn("last", F.when(F.col("_last"), here).otherwise(F.lead(at).over(w)))
+    n = F.coalesce(F.col("last").cast("long") - F.col("first").cast("long") + 1, F.lit(1).cast("long"))
+    return ends.where("_first").select(*keys, here.alias("first"), "last").withColumn("n", n)
 
 
 def gaps(df: DataFrame, keys: Sequence[str], at: str) -> DataFrame:

@@ -69,6 +69,17 @@ def test_islands_split(spark):
     assert rows(tables.gaps(ids, ["key"], "at")) == [("k", 10, 20, 9), ("k", 5, 9, 3)]
 
 
+def test_islands_by_one_sort(spark):
+    held = [("k", x) for x in (None, None, 7, -(2**31), 2**31 - 1, 2**31 - 2, 8, 9, 9)] + [("l", None), (None, 3), (None, 4)]
+    df = spark.createDataFrame(held, "key string, at int")
+    runs = [("k", None, None, 1), ("l", None, None, 1), (None, 3, 4, 2), ("k", -(2**31), -(2**31), 1), ("k", 2**31 - 2, 2**31 - 1, 2)]
+    assert set(map(tuple, tables.islands(df, ["key"], "at").collect())) == {*runs, ("k", 7, 9, 3)}
+    assert set(map(tuple, tables.islands(df, ["key"], "at", longest=2).collect())) == {*runs, ("k", 7, 8, 2), ("k", 9, 9, 1)}
+    for longest in (None, 2):
+        plan = tables.islands(df, ["key"], "at", longest)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Sort [") == plan.count("Exchange hash") == 1 and "Aggregate" not in plan
+
+
 def test_cooling(spark):
     cases = [("proposed", 999.0, True), ("failed", 29.9, True), ("failed", 30.0, False), ("overlap", 6.0, True), ("in_progress", 1.5, False), ("accepted", 0.1, False), ("failed", None, True), (None, None, False)]
     df = spark.createDataFrame(cases, "r string, a double, want boolean")
