@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork import catalogue, standin
 from loomwork.operators import components, graph, search, tables
 from loomwork.sources import instrument, logs, ranges
 from loomwork.streaming import events as stream
@@ -170,3 +171,14 @@ def test_equal_rectangles_meet_others_as_one(spark):
     got = found.groupBy("area", "share").count().collect()
     assert sorted(tuple(r) for r in got) == [(2.0, 0.5, 6000), (4.0, 1.0, 1), (8.0, 1.0, 3000 * 2999 // 2)]
     assert found.where("a >= b").isEmpty() and found.distinct().count() == found.count()
+
+
+def test_relations_are_sorted_in_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(standin, "SHARE", 10)
+    held = [(k % 7, k % 5) for k in range(100)] + [(None, 1), (None, 1)]
+    spark.createDataFrame(held, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = standin.Tables(spark, str(tmp_path)).relations()
+    got = found.collect()
+    assert len(got) == len(set(got)) == 36 and set(map(tuple, got)) == set(held)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and ", 11)" in plan
