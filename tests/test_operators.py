@@ -182,3 +182,10 @@ def test_relations_are_sorted_in_shares(spark, tmp_path, monkeypatch):
     assert len(got) == len(set(got)) == 36 and set(map(tuple, got)) == set(held)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and ", 11)" in plan
+
+
+def test_first_row_of_equals(spark, tmp_path):
+    held = [(1, 5, 2, float(q)) for q in (9, 4, 8, 3, 7)] + [(1, 6, 1, 0.0)]
+    for k, rows_ in enumerate((held, held[::-1])):
+        spark.createDataFrame(rows_, "l_partkey long, l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        assert rows(catalogue.QUERIES["first_row_per_key"](spark, f"{tmp_path}/{k}")) == [(1, 5, 2, 3.0)]
