@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from loomwork.operators import aliases
 from loomwork.operators.aliases import alias_matches, grams
 from loomwork.operators.search import similar_pairs, similar_to_items
 
@@ -25,6 +26,14 @@ def test_equals_containment(spark, bound):
     assert alias_matches(spark.createDataFrame([], "id long, text string"), spark.createDataFrame([("a",)], "name string"), "id", "text", "name", bound).count() == 0
 
 
+def test_short_grams_alone_are_no_candidates(spark, monkeypatch):
+    made, kept = {}, aliases.materialize
+    monkeypatch.setattr(aliases, "materialize", lambda df, name: made.setdefault(name, kept(df, name)))
+    texts = [(k, "abc bcd cde def efg fgh") for k in range(40)] + [(50, "so ABCDEFGH it is")]
+    found = alias_matches(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([("abcdefgh",)], "name string"), "id", "text", "name", (0, 0))
+    assert [tuple(r) for r in found.collect()] == [(50, "abcdefgh")] and made["met"].count() == 1
+
+
 def test_no_nested_loop(spark):
     texts, names = spark.createDataFrame([(1, "abc abd")], "id long, text string"), spark.createDataFrame([("abc",), ("bd",)], "name string")
     plan = alias_matches(texts, names, "id", "text", "name", (0, 0))._jdf.queryExecution().executedPlan().toString()
