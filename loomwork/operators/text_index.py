@@ -1,7 +1,7 @@
 """A kept text index: postings in a shared folder, changed by batches, read by the terms of a query alone.
 
 Every batch writes a segment: one row per term and block of documents, with
-the documents' numbers, counts and positions.  Rows are partitioned by a
+the documents' numbers, counts and positions, packed as steps.  Rows are partitioned by a
 bucket of the term and sorted by term, so a query's scan lists the files of
 its terms' buckets only and skips row groups by term.  Replaced and deleted
 documents are listed as dead until a merge; ``plans.versions`` makes a batch
@@ -41,7 +41,7 @@ GRAM, END = 3, "\0"
 
 _WORD = re.compile("[a-z0-9]+")
 
-POSTINGS = "term string, block long, n int, most int, shortest int, ids array<long>, counts array<int>, positions array<int>"
+POSTINGS = "term string, block long, n int, most int, shortest int, ids binary, counts binary, positions binary"
 
 
 def _terms(text: str, kind: str) -> tuple[int, list[tuple[str, np.ndarray]]]:
@@ -111,11 +111,46 @@ def _postings(kind: str):
     return run
 
 
-_SCHEMA = pa.schema([("term", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("shortest", pa.int32()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
+_SCHEMA = pa.schema([("term", pa.string()), ("block", pa.int64()), ("n", pa.int32()), ("most", pa.int32()), ("shortest", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
+
+
+def _packed(rows: list[np.ndarray]) -> pa.Array:
+    """Each row of numbers as bytes: the steps from one to the next, signs last, seven bits a byte."""
+    ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    steps = np.diff(flat, prepend=0)
+    first = np.r_[0, ends[:-1]][np.diff(ends, prepend=0) > 0]
+    steps[first] = flat[first]
+    codes = steps << 1 ^ steps >> 63
+    width = 1 + sum((codes >> 7 * k > 0).astype(np.int64) for k in range(1, 9))
+    at = np.r_[0, np.cumsum(width)]
+    out = np.zeros(at[-1], np.uint8)
+    for k in range(width.max(initial=0)):
+        has = np.flatnonzero(width > k)
+        out[at[has] + k] = codes[has] >> 7 * k & 127 | (width[has] > k + 1) << 7
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at[np.r_[0, ends]].astype(np.int32)), pa.py_buffer(out)])
+
+
+def _unpacked(packed: pa.Array) -> np.ndarray:
+    """The numbers of all rows that ``_packed`` made, one after another."""
+    _, offsets, data = packed.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[packed.offset : packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, np.int32)
+    if offsets[0] == offsets[-1]:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    last = data < 128
+    ends = np.flatnonzero(last) + 1
+    starts = np.r_[0, ends[:-1]]
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts)
+    codes = np.add.reduceat((data & 127).astype(np.int64) << 7 * place, starts)
+    sums = np.r_[0, np.cumsum(codes >> 1 ^ -(codes & 1))]
+    rows = np.r_[0, np.cumsum(last)][offsets - offsets[0]]
+    return sums[1:] - np.repeat(sums[rows[:-1]], np.diff(rows))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], field.type) for k, field in enumerate(_SCHEMA)], schema=_SCHEMA)
+    plain = [pa.array([r[k] for r in rows], field.type) for k, field in enumerate(_SCHEMA) if field.type != pa.binary()]
+    return pa.RecordBatch.from_arrays([*plain, *(_packed([r[k] for r in rows]) for k in range(len(plain), len(_SCHEMA)))], schema=_SCHEMA)
 
 
 def _opened(positions: bool):
@@ -124,12 +159,12 @@ def _opened(positions: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts = batch.column("ids"), batch.column("counts").flatten()
-            where = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ids.offsets.to_numpy())))
-            arrays = [batch.column("term").take(where), batch.column("block").take(where), ids.flatten(), counts]
+            counts = _unpacked(batch.column("counts"))
+            where = pa.array(np.repeat(np.arange(batch.num_rows), batch.column("n").to_numpy()))
+            arrays = [batch.column("term").take(where), batch.column("block").take(where), pa.array(_unpacked(batch.column("ids"))), pa.array(counts, pa.int32())]
             if positions:
-                offsets = np.r_[0, np.cumsum(counts.to_numpy())].astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(offsets, batch.column("positions").flatten()))
+                offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(offsets, pa.array(_unpacked(batch.column("positions")), pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
@@ -149,7 +184,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted(held)
         held.clear()
         term, block = key or (None, None)
-        return [(term, block, len(own), max(c for _, c, _, _ in own), min(n for _, _, _, n in own), [i for i, *_ in own], [c for _, c, _, _ in own], [p for _, _, ps, _ in own for p in ps])] if own else []
+        return [(term, block, len(own), max(c for _, c, _, _ in own), min(n for _, _, _, n in own), [i for i, *_ in own], [c for _, c, _, _ in own], np.array([p for _, _, ps, _ in own for p in ps], np.int32))] if own else []
 
     for batch in batches:
         rows: list[tuple] = []
@@ -265,13 +300,13 @@ class TextIndex:
     def _write_segment(self, name: str, staged: DataFrame) -> None:
         blocks = staged.select("id", "block", "text").repartition("block").sortWithinPartitions("block", "id")
         rows = materialize(blocks.mapInArrow(_postings(self.kind), POSTINGS), "postings")
-        sizes = rows.where("term is null").select("block", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("counts").alias("length"))))
+        sizes = _each(rows.where("term is null"), positions=False).withColumnRenamed("count", "length")
         staged.select("key", "id", "block").join(sizes.select("id", "length"), "id").select("key", "id", "block", "length").write.parquet(f"{self.folder}/documents/{name}")
         self._write_postings(name, rows.where("term is not null"))
 
     def _write_postings(self, name: str, rows: DataFrame) -> None:
         dealt = rows.withColumn("bucket", _bucket("term", self.kind)).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SHARES)))
-        dealt.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.folder}/postings/segment={name}")
+        dealt.sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={name}")
 
     def merge(self) -> int:
         """All segments as one, without dead documents, in blocks of up to BLOCK_DOCS; the new version's number."""
@@ -308,7 +343,7 @@ class TextIndex:
         if state["dead"]:
             touched = self._dead(state).select("block").distinct()
             dead = self._dead(state).select("id")
-            lost = rows.join(touched, "block", "left_semi").select("term", F.explode("ids").alias("id")).join(dead, "id", "left_semi")
+            lost = _each(rows.join(touched, "block", "left_semi"), positions=False).select("term", "id").join(dead, "id", "left_semi")
             df |= {r.term: df[r.term] - r.n for r in lost.groupBy("term").agg(F.count("*").alias("n")).collect()}
         n, mean = state["n"], state["length"] / max(1, state["n"]) or 1.0
         idf = F.create_map(*[F.lit(x) for t in terms for x in (t, max(float(np.log((n - df[t] + 0.5) / (df[t] + 0.5))), 1e-6))])

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from loomwork.operators import best_first, text_index
@@ -130,3 +131,13 @@ def test_a_killed_batch_leaves_no_trace(spark, tmp_path, monkeypatch):
     assert [r.key for r in index.bm25(["one"], 5).collect()] == [1] and index.bm25(["two"], 5).count() == 0
     versions = Versions(spark, f"{tmp_path}/i")
     assert versions.numbers() == [1] and versions.read(1)["n"] == 1
+
+
+def test_positions_are_packed():
+    rng = np.random.default_rng(3)
+    own = [np.sort(rng.integers(0, n, n // 3)).astype(np.int32) for n in (0, 9, 300, 0, 70_000)] + [np.array([2**61, 0, 5, 2**31 - 1, 127, 64, -(2**61)]), np.zeros(0, np.int32)]
+    packed = text_index._packed(own)
+    assert text_index._unpacked(packed).tolist() == np.concatenate(own).tolist()
+    assert text_index._unpacked(packed.slice(2, 3)).tolist() == np.concatenate(own[2:5]).tolist()
+    assert text_index._unpacked(packed.slice(3, 1)).tolist() == text_index._unpacked(text_index._packed([])).tolist() == []
+    assert packed.nbytes < 0.5 * sum(r.nbytes for r in own)
