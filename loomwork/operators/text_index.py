@@ -63,26 +63,31 @@ def _terms(text: str, kind: str) -> tuple[int, list[tuple[str, np.ndarray]]]:
     return max(0, len(text) - 2), list(zip(names, np.split(order, cuts[1:])))
 
 
-def _numbered(segment: int):
-    """(key, text) to (key, text, id, block): ids are unique, blocks bounded."""
+def _length(text: str, kind: str) -> int:
+    """The length of a text, in terms."""
+    return len(_WORD.findall(text)) if kind == "words" else max(0, len(text) - GRAM + 1)
+
+
+def _numbered(segment: int, kind: str):
+    """(key, text) to (key, text, id, block, length): ids are unique, blocks bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = block = segment << 48 | TaskContext.get().partitionId() << 30
         chars = 0
         for batch in batches:
-            ids, blocks = [], []
-            for text in batch.column(1):
+            ids, blocks, lengths = [], [], []
+            for text in batch.column(1).to_pylist():
                 if at - block >= BLOCK_DOCS or chars >= BLOCK_CHARS:
                     block, chars = at, 0
-                ids.append(at), blocks.append(block)
-                at, chars = at + 1, chars + len(text.as_py())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64()), pa.array(blocks, pa.int64())], ["key", "text", "id", "block"])
+                ids.append(at), blocks.append(block), lengths.append(_length(text, kind))
+                at, chars = at + 1, chars + len(text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64()), pa.array(blocks, pa.int64()), pa.array(lengths, pa.int32())], ["key", "text", "id", "block", "length"])
 
     return run
 
 
 def _postings(kind: str):
-    """(id, block, text), blocks in order, to POSTINGS rows and, with a null term, each block's ids and lengths."""
+    """(id, block, text), blocks in order, to POSTINGS rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -92,7 +97,6 @@ def _postings(kind: str):
         def out() -> pa.RecordBatch:
             size = dict(lengths)
             rows = [(term, block, len(own), max(len(p) for _, p in own), min(size[i] for i, _ in own), [i for i, _ in own], [len(p) for _, p in own], np.concatenate([p for _, p in own])) for term, own in held.items()]
-            rows.append((None, block, len(lengths), 0, 0, [i for i, _ in lengths], [n for _, n in lengths], np.zeros(0, np.int32)))
             held.clear(), lengths.clear()
             return _rows(rows)
 
@@ -278,7 +282,7 @@ class TextIndex:
         if upserts is not None:
             low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
             rows = upserts.select(F.col("key").cast(self.key).alias("key"), low.alias("text")).where("key is not null")
-            rows = rows.groupBy("key").agg(F.max("text").alias("text")).mapInArrow(_numbered(number + 1), f"key {self.key}, text string, id long, block long")
+            rows = rows.groupBy("key").agg(F.max("text").alias("text")).mapInArrow(_numbered(number + 1, self.kind), f"key {self.key}, text string, id long, block long, length int")
             staged = materialize(rows, "staged")
             self._write_segment(name, staged)
             added = self._read([f"{self.folder}/documents/{name}"], self.document).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first().asDict()
@@ -299,10 +303,8 @@ class TextIndex:
 
     def _write_segment(self, name: str, staged: DataFrame) -> None:
         blocks = staged.select("id", "block", "text").repartition("block").sortWithinPartitions("block", "id")
-        rows = materialize(blocks.mapInArrow(_postings(self.kind), POSTINGS), "postings")
-        sizes = _each(rows.where("term is null"), positions=False).withColumnRenamed("count", "length")
-        staged.select("key", "id", "block").join(sizes.select("id", "length"), "id").select("key", "id", "block", "length").write.parquet(f"{self.folder}/documents/{name}")
-        self._write_postings(name, rows.where("term is not null"))
+        staged.select("key", "id", "block", "length").write.parquet(f"{self.folder}/documents/{name}")
+        self._write_postings(name, blocks.mapInArrow(_postings(self.kind), POSTINGS))
 
     def _write_postings(self, name: str, rows: DataFrame) -> None:
         dealt = rows.withColumn("bucket", _bucket("term", self.kind)).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SHARES)))

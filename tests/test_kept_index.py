@@ -141,3 +141,11 @@ def test_positions_are_packed():
     assert text_index._unpacked(packed.slice(2, 3)).tolist() == np.concatenate(own[2:5]).tolist()
     assert text_index._unpacked(packed.slice(3, 1)).tolist() == text_index._unpacked(text_index._packed([])).tolist() == []
     assert packed.nbytes < 0.5 * sum(r.nbytes for r in own)
+
+
+def test_postings_are_written_once(spark, tmp_path, monkeypatch):
+    made, kept = [], text_index.materialize
+    monkeypatch.setattr(text_index, "materialize", lambda df, name: made.append(name) or kept(df, name))
+    index = TextIndex(spark, str(tmp_path), "words", "long")
+    index.apply(spark.createDataFrame([(1, "one two two"), (2, ""), (3, None)], "key long, text string"))
+    assert {r.key: r.length for r in index.documents().collect()} == {1: 3, 2: 0, 3: 0} and "postings" not in made
