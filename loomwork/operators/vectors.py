@@ -14,6 +14,7 @@ from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from loomwork.plans.versions import Versions
 SAMPLE, PIVOTS = 8_192, 1_024
 #: Vectors of a part of which a task compares two; smaller tables have smaller parts, down to SMALL.
 CHUNK, SMALL = 32_768, 1_024
+#: Queries of an exact search that are sent to all tasks at once, with a bit for each cell that they open.
+ASKED = 4_096
 #: Folders that cells are dealt over.
 BANDS = 16
 #: What rounding may move a distance.
@@ -315,10 +318,10 @@ class VectorIndex:
         own, table = self.rows().select("key"), vectors.select(F.col(key).cast(self.key).alias("key")).where("key is not null").distinct()
         return table.join(own, "key", "left_anti").withColumn("problem", F.lit("missing")).union(own.join(table, "key", "left_anti").withColumn("problem", F.lit("stray")))
 
-    def _blocks(self, queries: DataFrame, key: str, vector: str):
-        """Queries (keys, rows at length 1) in blocks that may be sent to all tasks."""
+    def _blocks(self, queries: DataFrame, key: str, vector: str, most: int = QUERY_BLOCK):
+        """Queries (keys, rows at length 1) in blocks of about ``most`` that may be sent to all tasks."""
         slim = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast(self.key).alias("key"), F.col(vector).alias("vector"))
-        n = max(1, -(-slim.count() // QUERY_BLOCK))
+        n = max(1, -(-slim.count() // most))
         n = 1 if n == 1 else 2 * n
         for part in range(n):
             table = slim.where(F.pmod(F.xxhash64("key"), F.lit(n)) == part).toArrow().combine_chunks()
@@ -382,29 +385,96 @@ class VectorIndex:
         return self._named(exact.withColumn("rank", ranked).where(F.col("rank") <= k), keys)
 
     def exact(self, queries: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
-        """query, key, similarity, rank of the ``k`` nearest vectors: cells by bound, until no unseen one reaches the k-th."""
-        legs = [self._best_first(keys, rows, k) for keys, rows in self._blocks(queries, key, vector)]
-        return reduce(DataFrame.unionByName, legs) if legs else self._empty()
+        """query, key, similarity, rank of the ``k`` nearest vectors: cells by bound, until no unseen one reaches the k-th.
 
-    def _best_first(self, keys: list, asked: np.ndarray, k: int) -> DataFrame:
-        rows, pivots = self.rows(), self.model.pivots
-        radius = np.full(len(pivots), np.nan)
+        A cell's rows meet all queries that open it in matrix products of at
+        most PRODUCTS numbers, and a task passes on its ``k`` best of each query.
+        """
+        state = self._state()[1]
+        rows = self.rows(state).select("key", "cell", "apart", "vector")
+        # What was replaced is taken out once, not in every wave.
+        rows = materialize(rows.sortWithinPartitions("cell"), "live") if state["dead"] else rows
+        radius = np.full(len(self.model.pivots), np.nan)
         for r in rows.groupBy("cell").agg(F.max("apart").alias("radius")).collect():  # a row per pivot
             radius[r.cell] = r.radius
-        # A vector of the cell is at least so far from the query.
-        least = np.maximum(0, _distances(asked, pivots) - radius - SLACK)
-        bound = np.minimum(1 - least**2 / 2, asked @ pivots.T + radius) + SLACK
-        q, cell = np.nonzero(~np.isnan(bound))
-        table = pa.table({"q": q.astype(np.int32), "cell": cell.astype(np.int32), "bound": bound[q, cell]})
-        bounds = materialize(self.spark.createDataFrame(table), "bounds")  # of a block of queries and the pivots
-        block = self.spark.sparkContext.broadcast((keys, asked))
+        legs = [self._best_first(rows, radius, keys, asked, k) for keys, asked in self._blocks(queries, key, vector, ASKED)]
+        return reduce(DataFrame.unionByName, legs) if legs else self._empty()
+
+    def _best_first(self, rows: DataFrame, radius: np.ndarray, keys: list, asked: np.ndarray, k: int) -> DataFrame:
+        kind = pa.int64() if self.key == "long" else pa.string()
+        context = self.spark.sparkContext
+        block, known = context.broadcast((pa.array(keys, kind), asked)), context.broadcast((self.model.pivots, radius))
+        bounds = materialize(self.spark.range(len(keys)).mapInArrow(_bounds(block, known), "q int, cell int, bound double"), "bounds")
 
         def evaluate(opened: DataFrame) -> DataFrame:
-            met = rows.select("key", "cell", "vector").join(opened, "cell").select("q", "key", "vector")
-            return met.mapInArrow(_similarities(block), f"q int, key {self.key}, similarity double").withColumn("value", F.round("similarity", 9))
+            wanted = np.zeros((len(radius), len(keys)), bool)
+            table = opened.groupBy("cell").agg(F.collect_list("q").alias("q")).toArrow()  # a row per pivot, of a block of queries
+            for cell, q in zip(table["cell"].to_pylist(), table["q"]):
+                wanted[cell, q.values.to_numpy()] = True
+            cells = np.flatnonzero(wanted.any(axis=1)).tolist()
+            bits = context.broadcast(np.packbits(wanted, axis=1))
+            return rows.where(F.col("cell").isin(cells)).select("key", "cell", "vector").mapInArrow(_best(block, bits, k), f"q int, key {self.key}, similarity double, value double")
 
-        found = best_first(bounds, ["q"], k, evaluate, [F.col("key")], least=-1)
-        return self._named(found, keys)
+        return self._named(best_first(bounds, ["q"], k, evaluate, [F.col("key")], least=-1), keys)
+
+
+def _bounds(block, known):
+    """(number of a query) to (q, cell, bound of the similarities in the cell)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (_, asked), (pivots, radius) = block.value, known.value
+        step = max(1, PRODUCTS // len(pivots))
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for at in range(0, len(numbers), step):
+                own = numbers[at : at + step]
+                # A vector of the cell is at least so far from the query.
+                least = np.maximum(0, _distances(asked[own], pivots) - radius - SLACK)
+                bound = np.minimum(1 - least**2 / 2, asked[own] @ pivots.T + radius) + SLACK
+                q, cell = np.nonzero(~np.isnan(bound))
+                yield pa.RecordBatch.from_arrays([pa.array(own[q].astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(bound[q, cell])], ["q", "cell", "bound"])
+
+    return run
+
+
+def _best(block, bits, k: int):
+    """(key, cell, vector) to the task's ``k`` best (q, key, similarity, value to nine decimals) of each query that opens the cell, without its own key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = block.value
+        wanted = np.unpackbits(bits.value, axis=1, count=len(names)).astype(bool)
+        floor = np.full(len(names), -np.inf)  # what a row must reach to be among a query's best
+
+        def cut(found: list[pa.RecordBatch]) -> pa.Table:
+            table = pa.Table.from_batches(found)
+            table = table.take(pc.sort_indices(table, [("q", "ascending"), ("value", "descending"), ("key", "ascending")])).combine_chunks()
+            q, at = table["q"].to_numpy(), np.arange(table.num_rows)
+            turn = at - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]][: len(q)], at, 0))
+            floor[q[turn == k - 1]] = table["value"].to_numpy()[turn == k - 1]
+            return table.filter(pa.array(turn < k))
+
+        found, size = [], 0
+        for batch in batches:
+            rows, cell = _matrix(batch.column("vector")), batch.column("cell").to_numpy()
+            for c in np.unique(cell):
+                here, asking = np.flatnonzero(cell == c), np.flatnonzero(wanted[c])
+                step = max(1, PRODUCTS // max(1, len(asking)))
+                for start in range(0, len(here), step):
+                    some = here[start : start + step]
+                    near = asked[asking] @ rows[some].T
+                    value = np.round(near, 9)
+                    a, b = np.nonzero(value >= floor[asking][:, None])
+                    q, key = asking[a], batch.column("key").take(pa.array(some[b]))
+                    part = pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), key, pa.array(near[a, b]), pa.array(value[a, b])], ["q", "key", "similarity", "value"])
+                    found.append(part.filter(pc.not_equal(names.take(pa.array(q)), key)))
+                    size += found[-1].num_rows
+                    if size >= PRODUCTS:
+                        found = cut(found).to_batches()
+                        size = 0
+        if found:
+            yield from cut(found).to_batches()
+
+    return run
 
 
 def _similarities(block):

@@ -135,6 +135,34 @@ def test_exact_search_opens_near_cells_only(spark, tmp_path):
     assert got == {(r["query"], r.id) for r in nearest(asked, df, "id", "v", k=3).collect()} and sum(opened) < 0.25 * 40 * 40
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_exact_search_passes_on_few_rows(spark, monkeypatch, tmp_path, kind):
+    """Tasks pass on the best of each query, not a row a pair; the rest equals brute force, with ties by key, in blocks, after changes."""
+    rows = np.repeat(clustered(400, 400, 0.1, width=8), 2, axis=0).astype(np.float32)  # every vector twice
+    df = frame(spark, enumerate(rows)).withColumn("id", F.col("id").cast(kind))
+    index = VectorIndex(spark, f"{tmp_path}/i", kind)
+    index.create(df, "id", "v", cells=10, parts=4)
+    index.add(df, "id", "v")
+    index.add(df.where("id % 3 = 0"), "id", "v")
+    passed, plain = [], vectors.best_first
+
+    def spy(bounds, by, k, evaluate, ties, **more):
+        return plain(bounds, by, k, lambda o: (lambda found: (passed.append((o.count(), found.count(), found.rdd.getNumPartitions())), found)[1])(evaluate(o)), ties, first=10, **more)
+
+    monkeypatch.setattr(vectors, "best_first", spy)
+    monkeypatch.setattr(vectors, "ASKED", 90, raising=False)
+    monkeypatch.setattr(vectors, "PRODUCTS", 300)
+    asked = df.where("id % 8 = 0")
+    got = sorted((r["query"], r["rank"], r.key) for r in index.exact(asked, "id", "v", k=3).collect())
+    assert len(passed) > 1 and all(rows <= 3 * opened / 10 * tasks for opened, rows, tasks in passed) and sum(r for _, r, _ in passed) < 0.25 * 100 * 800
+    unit = rows / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    names, want = [str(n) if kind == "string" else n for n in range(800)], []
+    for q in range(0, 800, 8):
+        order = sorted((-round(float(s), 9), names[n]) for n, s in enumerate(unit @ unit[q]) if n != q)
+        want += [(names[q], rank + 1, key) for rank, (_, key) in enumerate(order[:3])]
+    assert got == sorted(want)
+
+
 def test_classes(spark):
     df = frame(spark, [(3, [1, 2]), (1, [1, 2]), (2, [2, 4])])
     assert sorted(tuple(r) for r in classes(df, "id", "v").collect()) == [(1, 1), (2, 2), (3, 1)]
