@@ -1,16 +1,17 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
 
-Lines are compared with white space made single.  The texts are read three
-times:
+Lines are compared with white space made single.  The texts are split once and
+read again at the end:
 
-1. Every line becomes a row of hashes: of the line as it is and of its leaf in
-   the tree, which is its token count and its leading tokens with digits
-   masked.  Lines that recur as they are go at ``min_docs`` documents, long
+1. Every line becomes a row of its text and two hashes: of the line as it is and
+   of its leaf in the tree, which is its token count and its leading tokens with
+   digits masked.  Lines that recur as they are go at ``min_docs`` documents, long
    ones at ``exact_docs``.
-2. Masked lines of leaves that recur are read again.  Within a leaf, a token is
-   constant when at least ``min_docs`` distinct documents have it at its place,
-   and any other is variable, which makes a line's template.  Templates with
-   enough constant tokens in ``min_docs`` distinct documents are boilerplate.
+2. Lines of leaves that recur are read from these rows and masked.  Within a
+   leaf, a token is constant when at least ``min_docs`` distinct documents have
+   it at its place, and any other is variable, which makes a line's template.
+   Templates with enough constant tokens in ``min_docs`` distinct documents are
+   boilerplate.
 3. Such lines are dropped from all documents but the first of their line or
    template, so that a group of copies never loses its text altogether.
 
@@ -20,6 +21,9 @@ fixed size, so only candidate lines and the texts that change are shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,23 +36,25 @@ LEADING = 3
 _NO_ID = (1 << 63) - 1
 #: White space but the line feed, and the characters that make a look at it worthwhile.
 BLANKS = r"[\t\x0B\f\r \x{85}\p{Z}]+"
-RARE_BLANKS = ("\t", "\r", "  ", "\x0b", "\f", "\x85", "\xa0", " ", "　")
+RARE_BLANKS, FOREIGN_BLANKS = ("\t", "\r", "  ", "\x0b", "\f"), r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{206f}\x{3000}]"
 #: Twenty letters of scripts written without spaces: Thai, Lao, Burmese, Khmer, kana, Chinese characters.
 UNSPACED = r"(?:[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿][^\n]{0,2}?){20}"
 
 
-def plain_lines(text: Column) -> Column:
-    """Trimmed lines with single spaces for any white space."""
-    text = F.coalesce(text, F.lit(""))
-    odd = F.lit(False)
-    for blank in RARE_BLANKS:
-        odd = odd | text.contains(blank)
-    odd = odd | ((F.octet_length(text) > F.length(text)) & text.rlike(r"[\x{2000}-\x{206f}]"))
-    return F.transform(F.split(F.when(odd, F.regexp_replace(text, BLANKS, " ")).otherwise(text), "\n"), F.trim)
+def plain_lines(docs: DataFrame, *keep: Column) -> DataFrame:
+    """``keep``, pos, line: the lines of ``text`` that are not empty, trimmed, with single spaces for any white space.
+
+    ``keep`` is worked out once a row, before the text is split.
+    """
+    text = F.coalesce("text", F.lit(""))
+    odd = reduce(or_, [text.contains(blank) for blank in RARE_BLANKS]) | ((F.octet_length(text) > F.length(text)) & text.rlike(FOREIGN_BLANKS))
+    split = docs.select(*keep, F.split(F.when(odd, F.regexp_replace(text, BLANKS, " ")).otherwise(text), "\n").alias("lines"))
+    # Without "outer" Spark adds a filter on the size of the lists, for which it splits every text once more.
+    return split.select(*split.columns[:-1], F.posexplode_outer("lines").alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
 
 
 def n_tokens(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.size(F.split(line, " "))
 
 
 def masked(line: Column) -> Column:
@@ -71,12 +77,13 @@ def _two(*of: Column | str) -> list[Column]:
 
 
 def _lines(docs: DataFrame, min_tokens: int, long_tokens: int) -> DataFrame:
-    """doc, k1, k2, pos, long, a, b (the line), leaf of every line that is not empty."""
-    lines = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), F.posexplode(plain_lines(F.col("text"))).alias("pos", "line")).where("line <> ''")
-    lines = lines.withColumn("n", n_tokens(F.col("line")))
+    """doc, k1, k2, pos, long, a, b (hashes of the line), leaf, line (where it has a leaf) of every line that is not empty."""
+    own = F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc")
+    lines = plain_lines(docs, own, *_key()).withColumn("n", n_tokens(F.col("line")))
     a, b = _two("line")
     long = (F.col("n") >= long_tokens) | ((F.octet_length("line") - F.length("line") >= 40) & F.col("line").rlike(UNSPACED))
-    return lines.select("doc", "k1", "k2", "pos", long.alias("long"), a.alias("a"), b.alias("b"), leaf(F.col("line"), F.col("n"), min_tokens).alias("leaf"))
+    place = leaf(F.col("line"), F.col("n"), min_tokens).alias("leaf")
+    return lines.select("doc", "k1", "k2", "pos", long.alias("long"), a.alias("a"), b.alias("b"), place, F.when(F.col("n") >= min_tokens, F.col("line")).alias("line"))
 
 
 def _exact(lines: DataFrame, min_docs: int, exact_docs: int) -> DataFrame:
@@ -86,13 +93,12 @@ def _exact(lines: DataFrame, min_docs: int, exact_docs: int) -> DataFrame:
     return known.where(F.col("n") >= F.when(F.col("long"), exact_docs).otherwise(min_docs)).select("a", "b", "keeper")
 
 
-def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, min_tokens: int, min_constant: float) -> DataFrame:
+def _templates(lines: DataFrame, min_docs: int, min_tokens: int, min_constant: float) -> DataFrame:
     """k1, k2, pos, doc, keeper of the lines of recurring templates."""
     leaves = lines.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("k1").alias("least"), F.max("k1").alias("most"))
     leaves = leaves.where((F.col("n") >= min_docs) & (F.col("least") != F.col("most"))).select("leaf")
     bits = materialize(plan_bitmap(leaves, "leaf"), "leaves")
-    read = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), *_key(), F.posexplode(plain_lines(F.col("text"))).alias("pos", "line")).where("line <> ''")
-    read = read.withColumn("leaf", leaf(F.col("line"), n_tokens(F.col("line")), min_tokens)).where(in_bitmap(F.col("leaf"), bits))
+    read = lines.where(in_bitmap(F.col("leaf"), bits)).select("doc", "k1", "k2", "pos", "line", "leaf")
     ma, mb = _two("leaf", "line")
     read = read.withColumn("line", masked(F.col("line"))).withColumns({"ma": ma, "mb": mb})
     # The line of one document stands for those of all.
@@ -141,7 +147,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, min_con
     lines = materialize(_lines(slim, min_tokens, long_tokens), "lines")
     exact = materialize(_exact(lines, min_docs, exact_docs), "exact")
     gone = lines.join(exact, ["a", "b"]).where("doc <> keeper").select("k1", "k2", "pos")
-    gone = gone.union(_templates(slim, lines, min_docs, min_tokens, min_constant).where("doc <> keeper").select("k1", "k2", "pos"))
+    gone = gone.union(_templates(lines, min_docs, min_tokens, min_constant).where("doc <> keeper").select("k1", "k2", "pos"))
     key, other, lost = fresh(docs.columns, "_key", "_other", "_gone")
     gone = materialize(gone.groupBy("k1", "k2").agg(F.collect_set("pos").alias(lost)), "gone")
     own = docs.select("*", F.struct(*_key()).alias(key))

@@ -1,5 +1,6 @@
 """Lines that recur as they are or as templates, on planted lines."""
 
+from loomwork.llm import line_dedup
 from loomwork.llm.line_dedup import dedup_lines
 
 SCHEMA = "doc_id long, text string, n_lines string"
@@ -52,3 +53,15 @@ def test_awkward_rows(spark):
     got = dedup_lines(docs, min_docs=2)
     assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got.collect()) == sorted([("1", None, 0, 0), ("2", "", 1, 0), ("None", "a b c\n\nq", 3, 0), ("3", "  \n\t\n", 3, 0), ("3", "  \n\t\n", 3, 0)])
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_texts_are_split_once_for_all_lines(spark, monkeypatch):
+    """One pass splits the texts, once each, whatever the white space; templates come from what it wrote."""
+    passes, plain = [], line_dedup.plain_lines
+    monkeypatch.setattr(line_dedup, "plain_lines", lambda *of: passes.append(plain(*of)) or passes[-1])
+    blanks = ["\t", "\r", "  ", "\x0b", "\f", "\x85", "\xa0", "\u1680", "\u2000", "\u2028", "\u202f", "\u205f", "\u3000"]
+    texts = [f"{blank}User x{k} logged{blank}in from host alpha at night{blank}\nalone{k}" for k, blank in enumerate(blanks)]
+    assert dropped(spark, texts).keys() == {t.split("\n")[0] for t in texts[1:]}
+    assert len(passes) == 1
+    plan = passes[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
