@@ -23,12 +23,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.operators.best_first import best_first
 from loomwork.operators.ordering import running_sum
-from loomwork.plans.storage import materialize
+from loomwork.plans.storage import materialize, materialize_in_groups, small_side
 from loomwork.plans.versions import Versions
 
 BUCKETS = 64
@@ -36,6 +36,10 @@ BUCKETS = 64
 BLOCK_DOCS, BLOCK_CHARS = 1024, 4_000_000
 #: Rows of one bucket are written by so many tasks, so that a hot term is not one task's.
 SHARES = 8
+#: Keys that repeat in a batch up to which other rows' texts are not shuffled.
+REPEATED = 500_000
+#: Rows of a batch up to which it is shuffled whole, as its parts would fill few blocks.
+SMALL_BATCH = 16 * BLOCK_DOCS
 #: Characters of ``grams``; END pads a text, so that its last characters begin a gram too.
 GRAM, END = 3, "\0"
 
@@ -120,8 +124,11 @@ _SCHEMA = pa.schema([("term", pa.string()), ("block", pa.int64()), ("n", pa.int3
 
 def _packed(rows: list[np.ndarray]) -> pa.Array:
     """Each row of numbers as bytes: the steps from one to the next, signs last, seven bits a byte."""
-    ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    return _packed_runs(np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.cumsum([len(r) for r in rows], dtype=np.int64))
+
+
+def _packed_runs(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The same of rows that lie one after another and end at ``ends``."""
     steps = np.diff(flat, prepend=0)
     first = np.r_[0, ends[:-1]][np.diff(ends, prepend=0) > 0]
     steps[first] = flat[first]
@@ -132,7 +139,7 @@ def _packed(rows: list[np.ndarray]) -> pa.Array:
     for k in range(width.max(initial=0)):
         has = np.flatnonzero(width > k)
         out[at[has] + k] = codes[has] >> 7 * k & 127 | (width[has] > k + 1) << 7
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at[np.r_[0, ends]].astype(np.int32)), pa.py_buffer(out)])
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at[np.r_[0, ends]].astype(np.int32)), pa.py_buffer(out)])
 
 
 def _unpacked(packed: pa.Array) -> np.ndarray:
@@ -179,28 +186,69 @@ def _each(rows: DataFrame, positions: bool = True) -> DataFrame:
     return rows.mapInArrow(_opened(positions), "term string, block long, id long, count int" + ", positions array<int>" * positions)
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (term, block, id, count, positions, length, dead), by term and block, to POSTINGS rows of the live."""
-    held: list[tuple] = []
-    key = None
+def _dead_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(to, ids array) to (block, ids packed)."""
+    for batch in batches:
+        lists = batch.column(1)
+        ids = _packed([np.sort(own.values.to_numpy()) for own in lists])
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["block", "ids"])
+
 
-    def out() -> list[tuple]:
-        own = sorted(held)
-        held.clear()
-        term, block = key or (None, None)
-        return [(term, block, len(own), max(c for _, c, _, _ in own), min(n for _, _, _, n in own), [i for i, *_ in own], [c for _, c, _, _ in own], np.array([p for _, _, ps, _ in own for p in ps], np.int32))] if own else []
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """POSTINGS rows and bucket, by bucket, term, block and ids, to rows of the live, one a term and block.
+
+    Rows without a term come first in a bucket: their ids are the dead ones of
+    a block.  The shortest document may be a dead one's, which leaves bounds
+    bounds.
+    """
+    dead, bucket = np.zeros(0, np.int64), None
+    held: tuple | None = None  # the last term and block, as its next rows may be in the next batch
+
+    def out(keys: list[tuple], flat: list[np.ndarray], n: np.ndarray, shortest: np.ndarray) -> pa.RecordBatch:
+        ids, counts, positions = flat
+        some = np.flatnonzero(n > 0)
+        ends = np.cumsum(n)
+        counted = np.r_[0, np.cumsum(counts)]
+        most = np.maximum.reduceat(counts, (ends - n)[some]) if len(some) else np.zeros(0, np.int64)
+        keys = [keys[k] for k in some.tolist()]
+        plain = [pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array(n[some], pa.int32()), pa.array(most, pa.int32()), pa.array(shortest[some], pa.int32())]
+        packed = [_packed_runs(ids, ends[some]), _packed_runs(counts, ends[some]), _packed_runs(positions, counted[ends[some]])]
+        return pa.RecordBatch.from_arrays([*plain, *packed, pa.array([k[0] for k in keys], pa.int32())], schema=_SCHEMA.append(pa.field("bucket", pa.int32())))
 
     for batch in batches:
-        rows: list[tuple] = []
-        for term, block, doc, count, positions, length in zip(*(batch.column(c).to_pylist() for c in ("term", "block", "id", "count", "positions", "length"))):
-            if key != (term, block):
-                rows += out()
-                key = (term, block)
-            held.append((doc, count, positions, length))
-        if rows:
-            yield _rows(rows)
-    if held:
-        yield _rows(out())
+        own = batch.column("bucket").to_pylist()
+        cuts = [k for k in range(1, len(own)) if own[k] != own[k - 1]]
+        for start, end in zip([0, *cuts], [*cuts, len(own)]):  # the rows of one bucket
+            part = batch.slice(start, end - start)
+            if own[start] != bucket:
+                bucket, dead = own[start], np.zeros(0, np.int64)
+            gone = part.num_rows - part.column("term").null_count
+            lost = part.slice(0, part.num_rows - gone)
+            if lost.num_rows:
+                dead = np.sort(np.r_[dead, _unpacked(lost.column("ids"))])
+            part = part.slice(lost.num_rows)
+            if not part.num_rows:
+                continue
+            ids, counts, positions = (_unpacked(part.column(c)) for c in ("ids", "counts", "positions"))
+            n = part.column("n").to_numpy().astype(np.int64)
+            if len(dead):
+                live = dead[np.minimum(np.searchsorted(dead, ids), len(dead) - 1)] != ids
+                n = np.diff(np.r_[0, np.cumsum(live)][np.r_[0, np.cumsum(n)]])
+                ids, positions, counts = ids[live], positions[np.repeat(live, counts)], counts[live]
+            keys = list(zip(own[start:end][lost.num_rows :], part.column("term").to_pylist(), part.column("block").to_pylist()))
+            shortest = part.column("shortest").to_numpy()
+            if held is not None:
+                keys, n, shortest = [held[0], *keys], np.r_[held[1], n], np.r_[held[2], shortest]
+                ids, counts, positions = (np.r_[x, y] for x, y in zip(held[3], (ids, counts, positions)))
+            firsts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1])]
+            n, shortest, keys = np.add.reduceat(n, firsts), np.minimum.reduceat(shortest, firsts), [keys[k] for k in firsts]
+            last = len(ids) - n[-1]
+            at = counts[:last].sum()
+            held = keys[-1], n[-1:], shortest[-1:], (ids[last:], counts[last:], positions[at:])
+            if len(keys) > 1:
+                yield out(keys[:-1], [ids[:last], counts[:last], positions[:at]], n[:-1], shortest[:-1])
+    if held is not None:
+        yield out([held[0]], list(held[3]), held[1], held[2])
 
 
 def _bucket(term: Column | str, kind: str) -> Column:
@@ -272,7 +320,8 @@ class TextIndex:
         """One batch: rows (key, text) that replace those of their keys, and keys to delete; the new version's number.
 
         Null keys are ignored, null texts are empty; of
-        rows of one key that of the greatest text stays.  If another writer was
+        rows of one key that of the greatest text stays.  Rows are read twice
+        and should come the same each time, as from a scan or a written table.  If another writer was
         first nothing changes and ``versions.Conflict`` is raised: the batch may
         be applied again.
         """
@@ -282,8 +331,8 @@ class TextIndex:
         if upserts is not None:
             low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
             rows = upserts.select(F.col("key").cast(self.key).alias("key"), low.alias("text")).where("key is not null")
-            rows = rows.groupBy("key").agg(F.max("text").alias("text")).mapInArrow(_numbered(number + 1, self.kind), f"key {self.key}, text string, id long, block long, length int")
-            staged = materialize(rows, "staged")
+            rows = self._once(rows).mapInArrow(_numbered(number + 1, self.kind), f"key {self.key}, text string, id long, block long, length int")
+            staged = materialize_in_groups(rows, "staged")
             self._write_segment(name, staged)
             added = self._read([f"{self.folder}/documents/{name}"], self.document).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first().asDict()
             keys.append(staged.select("key"))
@@ -301,29 +350,56 @@ class TextIndex:
         self._versions().commit(number + 1, new)
         return number + 1
 
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """Rows (key, text) with one of each key; only texts of keys that repeat are shuffled, unless those are many or the batch is small."""
+        seen = Observation()
+        again = materialize(rows.observe(seen, F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+        n, greatest = again.count(), lambda df: df.groupBy("key").agg(F.max("text").alias("text"))
+        if n > REPEATED or seen.get["n"] <= SMALL_BATCH:
+            return greatest(rows)
+        if not n:
+            return rows
+        several = greatest(rows.join(F.broadcast(again), "key", "left_semi"))
+        return rows.join(F.broadcast(again), "key", "left_anti").unionByName(several)
+
     def _write_segment(self, name: str, staged: DataFrame) -> None:
-        blocks = staged.select("id", "block", "text").repartition("block").sortWithinPartitions("block", "id")
+        # A staged file has its blocks in order.  Where a read cuts a block in two, its terms have two rows, as between segments.
         staged.select("key", "id", "block", "length").write.parquet(f"{self.folder}/documents/{name}")
-        self._write_postings(name, blocks.mapInArrow(_postings(self.kind), POSTINGS))
+        rows = staged.select("id", "block", "text").mapInArrow(_postings(self.kind), POSTINGS)
+        self._write_postings(name, self._dealt(rows.withColumn("bucket", _bucket("term", self.kind))))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows by bucket and a share of the blocks, in order."""
+        return rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SHARES))).sortWithinPartitions("bucket", "term", "block")
 
-    def _write_postings(self, name: str, rows: DataFrame) -> None:
-        dealt = rows.withColumn("bucket", _bucket("term", self.kind)).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(SHARES)))
-        dealt.sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={name}")
+    def _write_postings(self, name: str, dealt: DataFrame) -> None:
+        dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={name}")
 
     def merge(self) -> int:
-        """All segments as one, without dead documents, in blocks of up to BLOCK_DOCS; the new version's number."""
+        """All segments as one, without dead documents, in blocks of up to BLOCK_DOCS; the new version's number.
+
+        Rows of postings stay packed until the task that joins them, which also
+        gets the dead of its blocks.
+        """
         number, state = self._state()
         name = f"segment-{number + 1}-{uuid.uuid4().hex}"
         docs = materialize(self.documents(state), "live")
         sizes = docs.groupBy("block").agg(F.count("*").alias("n"))
         # Blocks in order are joined while they fit; ``to`` numbers the joined ones.
         moved = running_sum(sizes, ["block"], "n", "upto").select("block", (F.lit((number + 1) << 48) + F.floor((F.col("upto") - 1) / BLOCK_DOCS)).alias("to"))
-        docs = materialize(docs.join(moved, "block").select("key", "id", F.col("to").alias("block"), "length"), "moved")
-        docs.write.parquet(f"{self.folder}/documents/{name}")
-        rows = self._segments(state)
-        live = _each(rows).drop("block").join(docs.select("id", "block", "length"), "id")
-        dealt = live.repartition("term", "block").sortWithinPartitions("term", "block")
-        self._write_postings(name, dealt.mapInArrow(_joined, POSTINGS))
+        moved = small_side(materialize(moved, "moved"))
+        docs.join(moved, "block").select("key", "id", F.col("to").alias("block"), "length").write.parquet(f"{self.folder}/documents/{name}")
+        columns = ["term", "block", "n", "most", "shortest", "ids", "counts", "positions", "bucket"]
+        rows = self._segments(state).join(moved, "block").drop("block").withColumnRenamed("to", "block").select(*columns)
+        if state["dead"]:
+            lost = self._dead(state).join(moved, "block").groupBy("to", F.col("block").alias("own")).agg(F.collect_list("id").alias("ids"))
+            packed = lost.select("to", "ids").mapInArrow(_dead_rows, "block long, ids binary")
+            nothing = {"term": "string", "n": "int", "most": "int", "shortest": "int", "counts": "binary", "positions": "binary"}
+            every = packed.select("*", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
+            rows = rows.unionByName(every.select(*columns))
+        schema = POSTINGS + ", bucket int"
+        joined = self._dealt(rows).mapInArrow(_joined, schema)
+        self._write_postings(name, joined.sortWithinPartitions("bucket", "term", "block"))
         self._versions().commit(number + 1, state | {"segments": [name], "dead": []})
         return number + 1
 

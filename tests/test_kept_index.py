@@ -149,3 +149,47 @@ def test_postings_are_written_once(spark, tmp_path, monkeypatch):
     index = TextIndex(spark, str(tmp_path), "words", "long")
     index.apply(spark.createDataFrame([(1, "one two two"), (2, ""), (3, None)], "key long, text string"))
     assert {r.key: r.length for r in index.documents().collect()} == {1: 3, 2: 0, 3: 0} and "postings" not in made
+
+
+@pytest.mark.parametrize("most", [0, 1, 500])
+def test_only_texts_of_repeated_keys_are_shuffled(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(text_index, "REPEATED", most)
+    monkeypatch.setattr(text_index, "SMALL_BATCH", 0)
+    plans, plain = [], text_index.materialize_in_groups
+
+    def spy(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(text_index, "materialize_in_groups", spy)
+    frame(spark, [(k, f"word w{k}") for k in range(20)]).write.parquet(f"{tmp_path}/once")
+    once, index = spark.read.schema("key long, text string").parquet(f"{tmp_path}/once"), TextIndex(spark, f"{tmp_path}/i", "words", "long")
+    index.apply(once)
+    index.apply(once.union(frame(spark, [(3, "word zz z"), (3, "word a"), (4, "later"), (None, "x")])))
+    assert "Exchange" not in plans[0] and {r.key: r.length for r in index.documents().collect()} == {k: 3 if k == 3 else 2 for k in range(20)}
+    assert [r.key for r in index.bm25(["zz"], 5).collect()] == [3] and index.bm25(["later"], 5).count() == 0 and index.bm25(["word"], 50).count() == 20
+
+
+def test_a_merge_keeps_postings_packed(spark, tmp_path, monkeypatch):
+    """Blocks are joined and the dead dropped without a row per term and document."""
+    rng = random.Random(6)
+    monkeypatch.setattr(text_index, "BUCKETS", 4)
+    monkeypatch.setattr(text_index, "BLOCK_DOCS", 8)
+    index = TextIndex(spark, f"{tmp_path}/i", "words", "long")
+    words, live = [f"w{k}" for k in range(12)], {}
+    for batch in range(3):
+        changed = {k: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for k in rng.sample(range(80), 50)}
+        lost = [k for k in rng.sample(range(80), 10) if batch and k not in changed]
+        live = {k: t for k, t in (live | changed).items() if k not in lost}
+        index.apply(frame(spark, sorted(changed.items())), spark.createDataFrame([(k,) for k in lost], "key long"))
+    opened, plain = [], text_index._each
+    monkeypatch.setattr(text_index, "_each", lambda *args, **more: (opened.append(1), plain(*args, **more))[1])
+    for _ in range(2):
+        index.merge()
+        assert not opened
+        key = {r.id: r.key for r in index.documents().collect()}
+        rows = index._segments(index._state()[1])
+        got = {(r.term, key[r.id]): r.positions for r in plain(rows).collect()}
+        assert got == {(w, k): [i for i, x in enumerate(t.split()) if x == w] for k, t in live.items() for w in set(t.split())}
+        ids = rows.mapInArrow(text_index._opened(False), "term string, block long, id long, count int").groupBy("term", "block").agg({"id": "count", "count": "max"}).collect()
+        assert {(r.term, r.block): (r.n, r.most) for r in rows.collect()} == {(r[0], r[1]): (r["count(id)"], r["max(count)"]) for r in ids} and len(ids) == rows.count()
